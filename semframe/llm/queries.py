@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semframe.llm import mixing, packing, splitting, tokens
+from semframe.llm import encoding, mixing, packing, splitting, tokens
 from semframe.session import table
 
 
@@ -42,7 +42,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(mixing.sizes_of(table(spark, d, "documents")), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p4_assignments, p4_requests, p4_fill, p5_found, p5_pieces, p6_ids, p7_uses, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_assignments, p4_requests, p4_fill, p5_found, p5_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_restored)}
 
 SQL = {
     "p5_found": """
