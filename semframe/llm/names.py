@@ -179,12 +179,12 @@ def given_of(token: str) -> tuple[str, ...]:
     """The given names a token may stand for."""
     if token in NICK:
         return tuple(sorted(NICK[token]))
-    if len(token) < 4:
+    if len(token) < 3:
         return ()
     most = 2 if len(token) >= 8 else 1
     best, found = most + 1, set()
     for n, names in NICK.items():
-        if len(n) >= 4 and (d := edits(token, n, most)) <= most:
+        if len(n) >= min(4, len(token)) and (d := edits(token, n, most)) <= most:
             if d < best:
                 best, found = d, set()
             if d == best:
@@ -192,6 +192,19 @@ def given_of(token: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+@lru_cache(maxsize=50_000)
+def _glued(token: str) -> tuple[str, str] | None:
+    """Name and trade of a token that writes both without a space."""
+    for k in range(5, len(token) - 3):
+        tail = token[k:]
+        if len(tail) == 4 and tail[-1] in "aeiou":  # as a name may end
+            continue
+        for t in TRADES:
+            if t.startswith(tail):
+                return token[:k], t
+    return None
+
+
 def read_organisation(raw: str | None) -> dict | None:
     """``core, cut, options, initial, side``: name, whether it is cut short, its trade if given, "", its legal form."""
     if raw is None or _plain(raw).strip().lower() in PLACEHOLDERS:
@@ -212,6 +225,8 @@ def read_organisation(raw: str | None) -> dict | None:
         if len(t) <= 9 + 8 and (found := trade_of(t)):
             trade = trade or found
             continue
+        if trade is None and (split := _glued(t)):
+            t, trade = split
         core.append((t, stop))
     if not core:
         return None

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semframe.llm import encoding, mixing, packing, splitting, tokens
+from semframe.llm import encoding, mixing, names, packing, splitting, tokens
 from semframe.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.link(table(spark, d, "cutv_export")))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.link(table(spark, d, "cutv_export"))
+
+
 def p4_assignments(spark: SparkSession, d: str) -> DataFrame:
     return packing.assign(table(spark, d, "items"), table(spark, d, "limits")).drop("state_est", "ctx_total")
 
@@ -50,7 +58,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_assignments, p4_requests, p4_fill, p5_found, p5_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_assignments, p4_requests, p4_fill, p5_found, p5_pieces, p6_ids, p7_uses, p7_shares, p8_found, p8_restored)}
 
 SQL = {
     "p5_found": """
