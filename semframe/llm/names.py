@@ -209,7 +209,7 @@ def read_organisation(raw: str | None) -> dict | None:
     """``core, cut, options, initial, side``: name, whether it is cut short, its trade if given, "", its legal form."""
     if raw is None or _plain(raw).strip().lower() in PLACEHOLDERS:
         return None
-    s = re.sub(r"\s+(?:[A-Z]\w+\s+)?[A-Z]\w+\s+branch\s*$", "", " ".join(_plain(raw).split())) if raw.rstrip().endswith("branch") else _plain(raw)
+    s = re.sub(r"(?i)\s+[^\W\d_]+\s+branch$", "", " ".join(_plain(raw).split()))
     s = _cut_trails(s)
     s = re.sub(r"\b((?:\w\.\s?){2,4})(?=\W|$)", lambda m: m[1].replace(".", "").replace(" ", "") + " ", s)  # G.m.b.H., S. A.
     s = re.sub(r"\b([Ss]) ([Aa])\b", r"\1\2", s)
