@@ -82,7 +82,8 @@ def re2_to_java(pattern: str) -> str:
 
 def re2_to_python(pattern: str) -> str:
     """The same pattern for Python's ``regex`` module, which the span finder uses."""
-    return re2_to_java(pattern).removeprefix("(?d)").replace("\\z", "\\Z")
+    plain = re2_to_java(pattern).removeprefix("(?d)").replace("\\z", "\\Z")
+    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", plain)
 
 
 def parse_set(text: str) -> list[str]:

@@ -25,8 +25,8 @@ def with_position(df: DataFrame, by: Sequence[Column | str], out: str = "pos") -
     placed = placed.withColumn("_part", F.shiftright("_id", _LOCAL_BITS)).withColumn("_at", F.col("_id").bitwiseAND((1 << _LOCAL_BITS) - 1))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("_before", before).select("_part", "_before")
-    return placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_id", "_at", "_before")
+    offsets = sizes.withColumn("_sum_before", before).select("_part", "_sum_before")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_sum_before") + F.col("_at")).drop("_part", "_id", "_at", "_sum_before")
 
 
 def numbered(df: DataFrame, group: Sequence[str], by: Sequence[str], out: str = "num") -> DataFrame:
@@ -49,8 +49,8 @@ def running_sum(df: DataFrame, value: Column, out: str, group: Sequence[str] = (
     inner = F.sum("_v").over(Window.partitionBy(*group, "_block").orderBy(num).rowsBetween(Window.unboundedPreceding, 0))
     sums = cut.groupBy(*group, "_block").agg(F.sum("_v").alias("_s"))  # one row per block
     before = F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.withColumn("_before", before).select(*group, "_block", "_before")
-    return cut.withColumn("_inner", inner).join(offsets, [*group, "_block"]).withColumn(out, F.col("_inner") + F.col("_before")).drop("_v", "_block", "_inner", "_before")
+    offsets = sums.withColumn("_sum_before", before).select(*group, "_block", "_sum_before")
+    return cut.withColumn("_inner", inner).join(offsets, [*group, "_block"]).withColumn(out, F.col("_inner") + F.col("_sum_before")).drop("_v", "_block", "_inner", "_sum_before")
 
 
 def judge_where(df: DataFrame, judge: Judge, ask: Ask, out: str, condition: Column) -> DataFrame:
