@@ -8,20 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from semframe.functions.regexlang import class_of, expand, parse_set, re2_to_java, re2_to_python, translation
 from semframe.functions.templates import Label
 from semframe.functions.text import clean
 from semframe.plans.judge import Ask, Judge
 
-SPANS = "array<struct<start:int,end:int,text:string,groups:array<string>>>"
+SPANS = "array<struct<start:int,end:int,text:string,groups:array<string>,line:int,col:int,left:string,right:string>>"
+#: Characters of the line that are shown on either side of an occurrence.
 CONTEXT = 160
 KEEP = "keep"
 
 
-def match_spans(text: Column, *patterns: str) -> Column:
+def match_spans(text: Column, *patterns: str, context: int = CONTEXT) -> Column:
     """The non-empty matches of RE2 patterns in a text, as ``SPANS``: 0-based, end exclusive, leftmost then longest, not
-    overlapping.  Null has none."""
+    overlapping, each with its 1-based line and column and the clipped rest of the line.  One pass over the text; null has none."""
     for p in patterns:
         re2_to_java(p)  # refuse what RE2 refuses
 
@@ -38,17 +40,41 @@ def match_spans(text: Column, *patterns: str) -> Column:
             found = sorted(
                 ((m.start(), -m.end(), i, m) for i, c in enumerate(compiled) for m in c.finditer(t) if m.end() > m.start()), key=lambda x: x[:3]
             )
-            rows, at = [], 0
+            rows, at, line, begin, seen = [], 0, 1, 0, 0
             for a, b, _, m in found:
-                if a >= at:
-                    rows.append({"start": a, "end": -b, "text": m.group(), "groups": [m.group(), *m.groups()]})
-                    at = -b
+                if a < at:
+                    continue
+                at = -b
+                n = t.count("\n", seen, a)
+                if n:
+                    line, begin = line + n, t.rfind("\n", seen, a) + 1
+                seen = a
+                end = t.find("\n", at, at + context + 1)
+                left = ("…" + t[a - context : a]) if a - begin > context else t[begin:a]
+                right = t[at:end] if end >= 0 else t[at : at + context] + ("…" if len(t) > at + context else "")
+                rows.append({"start": a, "end": at, "text": m.group(), "groups": [m.group(), *m.groups()], "line": line, "col": a - begin + 1, "left": left, "right": right})
             out.append(rows)
         return pd.Series(out, dtype=object)
 
     return spans(text)
 
 
+@pandas_udf(StringType())
+def _rebuilt(texts: pd.Series, edits: pd.Series) -> pd.Series:
+    """The texts with their edits (sorted, not overlapping), in one pass each."""
+    out = []
+    for t, es in zip(texts, edits):
+        if es is None or not len(es):
+            out.append(t)
+            continue
+        parts, at = [], 0
+        for e in es:
+            parts += [t[at : e["start"]], e["replacement"]]
+            at = e["end"]
+        out.append("".join(parts) + t[at:])
+    return pd.Series(out, dtype=object)
+
+
 def set_pattern(set1: str, squeeze: bool = False) -> str:
     """Occurrences of a set: maximal runs, or with ``squeeze`` runs of one character, two or more."""
     chars = parse_set(set1)
@@ -57,20 +83,11 @@ def set_pattern(set1: str, squeeze: bool = False) -> str:
     return "|".join(f"\\x{{{ord(c):x}}}{{2,}}" for c in dict.fromkeys(chars))
 
 
-def occurrences(texts: DataFrame, patterns: Sequence[str], key: Sequence[str] = ("file_idx",), text: str = "text") -> DataFrame:
-    """``key, start, end, occ, groups, line, col, around, marked``: each match with its place, its line, and the line with the
-    match in brackets, clipped on either side."""
-    found = texts.select(*key, F.explode(match_spans(F.col(text), *patterns)).alias("s"), F.col(text).alias("_t")).select(*key, "s.*", "_t")
-    head = F.substring("_t", F.lit(1), F.col("start"))
-    before = F.element_at(F.split(head, "\n", -1), -1)
-    after = F.split(F.substring("_t", F.col("end") + 1, F.length("_t")), "\n", 2)[0]
-    out = (
-        found.withColumn("line", F.size(F.split(head, "\n", -1))).withColumn("col", F.length(before) + 1)
-        .withColumn("around", F.concat(before, F.col("text"), after))
-    )
-    left = F.when(F.length(before) > CONTEXT, F.concat(F.lit("…"), F.expr(f"right(element_at(split(substring(_t, 1, start), '\\n', -1), -1), {CONTEXT})"))).otherwise(before)
-    right = F.when(F.length(after) > CONTEXT, F.concat(F.substring(after, 1, CONTEXT), F.lit("…"))).otherwise(after)
-    return out.withColumn("marked", F.concat(left, F.lit("⟦"), F.col("text"), F.lit("⟧"), right)).withColumnRenamed("text", "occ").drop("_t")
+def occurrences(texts: DataFrame, patterns: Sequence[str], key: Sequence[str] = ("file_idx",), text: str = "text", context: int = CONTEXT) -> DataFrame:
+    """``key, start, end, occ, groups, line, col, around``: each match with its place and its line, the match in brackets,
+    clipped on either side."""
+    found = texts.select(*key, F.explode(match_spans(F.col(text), *patterns, context=context)).alias("s")).select(*key, "s.*")
+    return found.withColumn("around", F.concat("left", F.lit("⟦"), "text", F.lit("⟧"), "right")).withColumnRenamed("text", "occ").drop("left", "right")
 
 
 def _replacement(action: str, set1: str | None, set2: str | None, template: str | None, patterns: Sequence[str]) -> Column:
@@ -114,15 +131,15 @@ def sem_edit(texts: DataFrame, judge: Judge, instruction: str, *, action: str =
     if not patterns:
         raise ValueError("nothing to look for")
     found = occurrences(texts, patterns, key, text)
-    about = {"text": clean(F.col("around")), "marked": clean(F.col("marked"))}
+    about = {"marked": clean(F.col("occ")), "text": clean(F.col("around"))}
     if action == "choose":
         if len(set(options)) < len(options) or "" in options or KEEP in options or len(options) < 2:
             raise ValueError("options are two or more different texts, none of them empty or 'keep'")
-        ask = Ask("choice", f"{instruction}: what should stand for the marked part?", about, options=(*[Label(o) for o in options], Label(KEEP, "leave it as it is")))
+        ask = Ask("choice", f"{instruction}: what should stand for the part of `text` in brackets?", about, options=(*[Label(o) for o in options], Label(KEEP, "leave it as it is")))
         judged = judge.attach(found, ask, "_answer").withColumn("p", F.col("_answer.confidence")).withColumn("choice", F.col("_answer.choice"))
         replacement, acts = F.col("choice"), F.col("choice") != KEEP
     else:
-        ask = Ask("noul", f"Is it true that the marked part of `marked` {instruction}?", about)
+        ask = Ask("noul", f"Is it true that the part of `text` in brackets {instruction}?", about)
         judged = judge.attach(found, ask, "_answer").withColumn("p", F.col("_answer.noul")).withColumn("choice", F.lit(None).cast("string"))
         replacement, acts = _replacement(action, set1, set2, template, patterns), F.lit(True)
     acted = F.coalesce(F.col("_answer.error").isNull() & (F.col("p") >= threshold) & acts, F.lit(False))
@@ -132,13 +149,5 @@ def sem_edit(texts: DataFrame, judge: Judge, instruction: str, *, action: str =
         .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("_e"))
     )
     joined = texts.join(edits, list(key), "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<struct<start:int,end:int,replacement:string>>")))
-    # the text between the edits, and the edits
-    pieces = F.transform(
-        "_e",
-        lambda x, i: F.concat(
-            F.substring(F.col(text), F.coalesce(F.get("_e", i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get("_e", i - 1)["end"], F.lit(0))), x["replacement"]
-        ),
-    )
-    tail = F.substring(F.col(text), F.coalesce(F.try_element_at("_e", F.lit(-1))["end"], F.lit(0)) + 1, F.length(F.col(text)))
-    edited = joined.withColumn("changed", F.size("_e")).withColumn(text, F.when(F.size("_e") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))).drop("_e")
+    edited = joined.withColumn("changed", F.size("_e")).withColumn(text, F.when(F.size("_e") > 0, _rebuilt(F.col(text), F.col("_e"))).otherwise(F.col(text))).drop("_e")
     return edited, trace

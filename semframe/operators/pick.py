@@ -68,29 +68,28 @@ def windows_of(df: DataFrame, group: Sequence[str] = ("file_idx",), text: str =
 
 
 def candidates(texts: DataFrame, patterns: Sequence[str], key: Sequence[str] = ("file_idx",), text: str = "text") -> DataFrame:
-    """``key, start, span, line``: the distinct matches of several patterns in each whole text, each with its first place (the
+    """``key, start, span, line, around``: the distinct matches of several patterns in each whole text, each with its first place (the
     earlier pattern wins), in order of place; ``line`` is 1-based."""
     from semframe.operators.edit import match_spans
 
     out = None
     for i, p in enumerate(patterns):
-        one = texts.select(*key, F.explode(match_spans(F.col(text), p)).alias("s"), F.col(text).alias("_t")).select(*key, F.lit(i).alias("_pat"), "s.start", F.col("s.text").alias("span"), "_t")
+        one = texts.select(*key, F.explode(match_spans(F.col(text), p)).alias("s")).select(
+            *key, F.lit(i).alias("_pat"), "s.start", F.col("s.text").alias("span"), "s.line", F.concat("s.left", "s.text", "s.right").alias("around"))
         out = one if out is None else out.unionAll(one)
-    line = F.size(F.split(F.substring("_t", F.lit(1), F.col("start")), "\n", -1))
-    first = out.groupBy(*key, "span").agg(F.min(F.struct("_pat", "start", line.alias("line"))).alias("m"))
-    return first.select(*key, F.col("m.start").alias("start"), "span", F.col("m.line").alias("line"))
+    first = out.groupBy(*key, "span").agg(F.min(F.struct("_pat", "start", "line", "around")).alias("m"))
+    return first.select(*key, F.col("m.start").alias("start"), "span", F.col("m.line").alias("line"), F.col("m.around").alias("around"))
 
 
 def sem_pick_match(texts: DataFrame, judge: Judge, patterns: Sequence[str], question: str, *, threshold: float = 0.5, key: Sequence[str] = ("file_idx",),
                    text: str = "text") -> DataFrame:
     """The one match of the patterns that answers the question, per text: ``key, start, span, line, p, verdict``.
 
-    Each match is judged with the line it stands in; the best wins unless it is less likely than not (*no*, no row) or under
+    Each match is judged with the line it stands in, clipped; the best wins unless it is less likely than not (*no*, no row) or under
     ``threshold`` (*uncertain*).  Ties go to the earlier match.
     """
-    found = candidates(texts, patterns, key, text).join(texts.select(*key, F.col(text).alias("_t")), list(key))
-    around = F.element_at(F.split("_t", "\n", -1), F.col("line"))
-    ask = Ask("noul", f"Is `span` the answer to: {question}", {"text": clean(around), "span": clean(F.col("span"))})
+    found = candidates(texts, patterns, key, text)
+    ask = Ask("noul", f"Is `span` the answer to: {question}", {"text": clean(F.col("around")), "span": clean(F.col("span"))})
     judged = judge.attach(found, ask, "_answer").withColumn("p", F.col("_answer.noul"))
     best = judged.where(F.col("p").isNotNull()).groupBy(*key).agg(F.min(F.struct((-F.col("p")).alias("q"), "start", "span", "line")).alias("b"))
     out = best.select(*key, F.col("b.start").alias("start"), F.col("b.span").alias("span"), F.col("b.line").alias("line"), (-F.col("b.q")).alias("p"))

@@ -259,15 +259,17 @@ def _texts(spark, d):
 
 
 def _edited(**kw):
+    """Edits on odd lines only."""
+    j = O.ExprJudge(lambda ask: O.answer(noul=F.when(F.col("line") % 2 == 1, 0.95).otherwise(0.05)))
+
     def run(spark, d):
-        return edit.sem_edit(_texts(spark, d), _judge(), "stands where a problem is reported", threshold=0.3, key=["doc_id"], **kw)[0].select("doc_id", "text")
+        return edit.sem_edit(_texts(spark, d), j, "stands on an odd line", key=["doc_id"], **kw)[0].select("doc_id", "text")
 
     return run
 
 
 def _edit_sql(what: str) -> str:
-    line = _p_sql(_clean_sql("l"))
-    return f"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN {line} >= 0.3 THEN {what} ELSE l END), chr(10)) AS text
+    return f"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 2 = 1 THEN {what} ELSE l END), chr(10)) AS text
       FROM documents WHERE text IS NOT NULL"""
 
 
