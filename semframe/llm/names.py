@@ -36,6 +36,8 @@ DEPARTMENT = set(
     "desk helpdesk team dept department payable receivable accounts office support sales reception purchasing procurement service services"
     " admin administration hr info billing finance accounting marketing legal operations it staff switchboard secretary customer care".split()
 )
+# any of these makes a name the name of a department
+DEPARTMENT_SURE = set("desk helpdesk team dept department payable receivable purchasing procurement reception switchboard accounting".split())
 TITLES = set("mr mrs ms miss mx dr prof professor ing dipl sir dame herr frau attn attention sr sra mme mlle rev hon phd msc mba jr md".split())
 LEGAL = {
     "limited": "ltd", "ltd": "ltd", "llc": "llc", "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co",
@@ -241,7 +243,7 @@ def read_person(raw: str | None) -> dict | None:
     if raw is None or _plain(raw).strip().lower() in PLACEHOLDERS:
         return None
     s = _cut_trails(_plain(raw))
-    if all(t in DEPARTMENT for t, _, _ in _tokens(s)):
+    if all(t in DEPARTMENT for t, _, _ in _tokens(s)) or any(t in DEPARTMENT_SURE for t, _, _ in _tokens(s)):
         return None
     swapped = bool(re.search(r"\b[a-z][A-Z]{2,}", s))
     if swapped:

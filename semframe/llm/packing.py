@@ -99,39 +99,32 @@ def nnls(columns: list[tuple[tuple[int, int], ...]], target: list[int], sweeps:
     return x
 
 
-def pack_histogram(lens: list[int], counts: list[int], cap: int) -> list[tuple[int, int, int, int, int]]:
-    """``(len, first rank, how many, first bin, per bin)``: ranks ``first + i`` of a length go to bin ``first bin + i // per bin``.
+#: A combination is used if its count is at least this much; the rounding that needs the fewest requests is kept.
+ROUNDINGS = (0.25, 0.5, 0.75, 1.0, 1.5)
 
-    Every rank of every length is covered exactly once and no bin exceeds ``cap``.
-    """
-    order = sorted(range(len(lens)), key=lambda i: lens[i])
-    lens, left = [int(lens[i]) for i in order], [int(counts[i]) for i in order]
-    used, rows, bins = [0] * len(lens), [], 0
+
+def _rounded(lens: list[int], counts: list[int], cap: int, cols: list, x: list[float], least: float) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Requests and rank ranges for one way of rounding; ``lens`` ascending.  What is left is packed greedily: longest first,
+    into the request with the least sufficient room."""
+    left, used, rows, bins = list(counts), [0] * len(lens), [], 0
 
     def place(i: int, first_bin: int, times: int, per: int) -> None:
         rows.append((lens[i], used[i], times * per, first_bin, per))
         used[i] += times * per
         left[i] -= times * per
 
-    if lens and lens[-1] == cap:  # these fill a request by themselves
+    if lens and lens[-1] == cap and left[-1]:  # these fill a request by themselves
         n = left[-1]
         place(len(lens) - 1, bins, n, 1)
         bins += n
-    zero = 1 if lens and lens[0] == 0 else 0
-    index = [i for i in range(zero, len(lens)) if left[i] > 0]
-    if index:
-        cols = _columns([lens[i] for i in index], [left[i] for i in index], cap)
-        x = nnls(cols, [left[i] for i in index])
-        for j in sorted(range(len(cols)), key=lambda j: (-x[j], j)):
-            if x[j] < 0.25:
-                break
-            parts = [(index[i], m) for i, m in cols[j]]
-            times = min(max(1, int(x[j] + 0.5)), min(left[i] // m for i, m in parts))
-            if times > 0:
-                for i, m in parts:
-                    place(i, bins, times, m)
-                bins += times
-    # greedy packing of what is left: longest first, into the request with the least sufficient room
+    for j in sorted(range(len(cols)), key=lambda j: (-x[j], j)):
+        if x[j] < least:
+            break
+        times = min(max(1, int(x[j] + 0.5) if least < 1 else int(x[j])), min(left[i] // m for i, m in cols[j]))
+        if times > 0:
+            for i, m in cols[j]:
+                place(i, bins, times, m)
+            bins += times
     rooms: list[tuple[int, int]] = []
     for i in range(len(lens) - 1, -1, -1):
         while left[i] > 0:
@@ -149,7 +142,21 @@ def pack_histogram(lens: list[int], counts: list[int], cap: int) -> list[tuple[i
                 per = min(left[i], room // lens[i] if lens[i] else left[i])
                 place(i, b, 1, per)
                 insort(rooms, (room - per * lens[i], b))
-    return rows
+    return bins, rows
+
+
+def pack_histogram(lens: list[int], counts: list[int], cap: int) -> list[tuple[int, int, int, int, int]]:
+    """``(len, first rank, how many, first bin, per bin)``: ranks ``first + i`` of a length go to bin ``first bin + i // per bin``.
+
+    Every rank of every length is covered exactly once and no bin exceeds ``cap``.
+    """
+    order = sorted(range(len(lens)), key=lambda i: lens[i])
+    lens, counts = [int(lens[i]) for i in order], [int(counts[i]) for i in order]
+    index = [i for i in range(len(lens)) if 0 < lens[i] < cap and counts[i] > 0]
+    cols = _columns([lens[i] for i in index], [counts[i] for i in index], cap) if index else []
+    x = nnls(cols, [counts[i] for i in index])
+    cols = [tuple((index[i], m) for i, m in c) for c in cols]
+    return min((_rounded(lens, counts, cap, cols, x, least) for least in ROUNDINGS), key=lambda r: r[0])[1]
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------------
