@@ -100,7 +100,7 @@ def nnls(columns: list[tuple[tuple[int, int], ...]], target: list[int], sweeps:
 
 
 #: A combination is used if its count is at least this much; the rounding that needs the fewest requests is kept.
-ROUNDINGS = (0.25, 0.5, 0.75, 1.0, 1.5)
+ROUNDINGS = (0.25, 0.5, 0.75, 1.0, 1.5, 3.0, 8.0)
 
 
 def _rounded(lens: list[int], counts: list[int], cap: int, cols: list, x: list[float], least: float) -> tuple[int, list[tuple[int, int, int, int, int]]]:
