@@ -296,6 +296,12 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["field", "raw", "core", "cut", "options", "initial", "side"])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly Python work: few bytes would otherwise be few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 # --- MinHash banding ---------------------------------------------------------------------------------------------------
 def bands_for(similarity: float = RECALL_AT, recall: float = RECALL, chance: float = 0.08) -> tuple[int, int]:
     """``(bands, rows)`` with ``1 - (1 - s**rows)**bands >= recall`` at ``s = similarity``, that let the fewest chance pairs
@@ -366,14 +372,14 @@ def similar_cores(cores: DataFrame) -> DataFrame:
     """``field, a, b, sim`` with ``a < b``: pairs of distinct cores that spell one name."""
     bands, rows = bands_for()
     # one row per core and band; a core is in as many buckets as there are bands
-    banded = cores.select("field", "core").mapInPandas(_banded(bands, rows), "field string, core string, bucket bigint")
+    banded = _spread(cores.select("field", "core")).mapInPandas(_banded(bands, rows), "field string, core string, bucket bigint")
     left, right = banded.withColumnRenamed("core", "a"), banded.withColumnRenamed("core", "b")
     pairs = (
         left.join(right, ["field", "bucket"])
         .where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.greatest(F.length("a"), F.length("b")) * (1 - SIMILAR)))
         .select("field", "a", "b").distinct()
     )
-    return pairs.mapInPandas(_verified, "field string, a string, b string, sim double")
+    return _spread(pairs).mapInPandas(_verified, "field string, a string, b string, sim double")
 
 
 def stars(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -416,7 +422,7 @@ def link(accounts: DataFrame, key: str = "cust_id") -> DataFrame:
     kind = dict(accounts.dtypes)[key]
     long = accounts.select(F.col(key).alias("key"), F.expr("stack(2, 'acct_nm', acct_nm, 'prim_cntct', prim_cntct) as (field, raw)")).where(F.col("key").isNotNull() & F.col("raw").isNotNull()).distinct()
     spellings = long.select("field", "raw").distinct()
-    read = spellings.mapInPandas(_read, _READ)
+    read = _spread(spellings).mapInPandas(_read, _READ)
     named = durable(long.join(read, ["field", "raw"]))
 
     cores = named.where("not cut").groupBy("field", "core").agg(F.count(F.lit(1)).alias("weight"))
