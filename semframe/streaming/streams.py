@@ -4,8 +4,9 @@ Filter, label and probe are projections: the batch functions work on a stream wi
 and unwrap need the record before; they keep a small state per input with ``applyInPandasWithState`` and give what the batch
 operators give.  Their judge is a function from pairs of texts to probabilities.
 
-A stream has no end.  What is still open is given out when a row with ``eof = true`` arrives for the input, or when nothing
-has come for ``idle``; a record after that starts afresh.
+A stream has no end.  What is still open is given out when a row with ``eof = true`` arrives for the input, or, with
+``idle_ms``, when nothing has come for so long; a record after that starts afresh.  A query with ``idle_ms`` waits for time to
+pass, so it does not end under ``availableNow``.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def lowercase_start(pairs: list[tuple[str, str]]) -> list[float]:
     return [0.9 if b.lstrip(" \t>")[:1].islower() else 0.05 for _, b in pairs]
 
 
-def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int) -> DataFrame:
+def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int | None) -> DataFrame:
     """``fold(file, rows, state or None, ended) -> (output rows, state or None)`` per input and micro-batch."""
     names = [x.split()[0] for x in out.split(", ")]
 
@@ -60,14 +61,16 @@ def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int) -> Da
                 st.remove()
         else:
             st.update(new)
-            st.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                st.setTimeoutDuration(idle_ms)
         if given:
             yield pd.DataFrame(given, columns=names)
 
-    return stream.groupBy("file").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("file").applyInPandasWithState(run, out, state, "append", timeout)
 
 
-def stream_collapse(stream: DataFrame, judge: PairJudge, threshold: float = 0.5, idle_ms: int = 10_000) -> DataFrame:
+def stream_collapse(stream: DataFrame, judge: PairJudge, threshold: float = 0.5, idle_ms: int | None = None) -> DataFrame:
     """Heads of runs with their length, as each run ends: ``file, num, n, text, p``."""
 
     def fold(file, rows, state, ended):
@@ -93,7 +96,7 @@ def stream_collapse(stream: DataFrame, judge: PairJudge, threshold: float = 0.5,
     return _stateful(stream, fold, "file string, num bigint, n bigint, text string, p double", "last string, num bigint, head string, p double, n bigint", idle_ms)
 
 
-def stream_segment(stream: DataFrame, judge: PairJudge, threshold: float = 0.5, min_len: int = 1, idle_ms: int = 10_000) -> DataFrame:
+def stream_segment(stream: DataFrame, judge: PairJudge, threshold: float = 0.5, min_len: int = 1, idle_ms: int | None = None) -> DataFrame:
     """Every record with the boundary before it: ``file, num, text, p, cut, segment``."""
 
     def fold(file, rows, state, ended):
@@ -131,7 +134,7 @@ def _kind(line: str, in_fence: bool) -> str:
 
 
 def stream_unwrap(stream: DataFrame, judge: PairJudge, separator: str = " ", dehyphen: bool = False, dangling: float = lines_.DANGLING_T,
-                  terminal: float = lines_.TERMINAL_T, idle_ms: int = 10_000) -> DataFrame:
+                  terminal: float = lines_.TERMINAL_T, idle_ms: int | None = None) -> DataFrame:
     """Rejoined lines as soon as the next one does not join: ``file, num, n, text``."""
 
     def fold(file, rows, state, ended):
