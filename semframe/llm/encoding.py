@@ -153,6 +153,10 @@ def _unlikely(text: str, s: int, e: int, name: str, lead_byte: int) -> bool:
         inside = before + lead + rest
         if any(x.islower() and y.isupper() for x, y in zip(inside, inside[1:])):
             return True
+        if len({min(ord(c) // 0x100, 4) if c >= "\u0370" else 0 for c in lead + rest}) > 1:  # of two scripts
+            return True
+        if len(rest) == 2 and lead_byte == 0xE2 and name in ("cp437", "cp850", "mac_roman"):  # a dash or quote as three accented letters in a row, and just three
+            return not any(c.isalpha() and c > "\x7f" for c in before + after)
         return len(rest) == 1 and 0xC2 <= lead_byte <= 0xC5 and name in ("w1252", "cp1250", "cp1254", "iso8859_2")
     if _box(lead) and all(map(_box, rest)):  # drawings use the light lines, and stand apart from words
         return any(c not in LIGHT_LINES for c in rest) or before.isalnum() or after.isalnum()
@@ -319,12 +323,14 @@ def _wide_score(s: str) -> float:
 
 
 _LETTER_RUN = re.compile("[\u00c0-\u00ff\u00b8\u00a8\u00b3\u00bf\u00a2\u0152\u0153\u0160\u0161\u017d\u017e\u0178\u0192\u0080-\u009f]{3,}")
+_RARE_CYRILLIC = re.compile("[\u0400\u0402-\u040f\u0450\u0452-\u045f\u0490\u0491]")
 _CYRILLIC_WORD = re.compile("[\u0400-\u045f]{2,}")
 
 
-def _line_script(line: str) -> tuple[str, str, str] | None:
-    """``(restored, true encoding, read as)`` of a line whose letters belong to another script; None for a sound line."""
-    runs = [m.group() for m in _LETTER_RUN.finditer(line)]
+def _line_script(line: str, first: bool = False) -> tuple[str, str, str] | None:
+    """``(restored, true encoding, read as)`` of a line whose letters belong to another script; None for a sound line.
+    ``first``: before multibyte spans are looked for, only what cannot be one."""
+    runs = [] if first else [m.group() for m in _LETTER_RUN.finditer(line)]
     clear = [r for r in runs if len(r) >= 3 and not any(c in "×÷" for c in r[:0])]
     if clear and (len(clear) >= 2 or len(clear[0]) >= 5):
         table = byte_of("w1252")
@@ -353,7 +359,7 @@ def _line_script(line: str) -> tuple[str, str, str] | None:
             if done and sum("\u3041" <= c <= "\u3096" for c in done) >= 4:
                 return done, true, "w1252"
     words = _CYRILLIC_WORD.findall(line)
-    if sum(map(len, words)) >= 6:
+    if sum(map(len, words)) >= 6 and not (first and _RARE_CYRILLIC.search(line)):
         s = " ".join(words)
         now = _script_score(s, "\u0400", "\u045f", COMMON_CYRILLIC)
         if now < 0.72:
@@ -388,10 +394,19 @@ def _wide_line(line: str, true: str) -> str:
     return s if bad <= 0.05 * max(1, sum(c > "\x7f" for c in s)) else ""
 
 
+def _scripts(text: str, first: bool = False) -> tuple[str, str | None]:
+    """The text with the lines restored that belong to another script, and what they were."""
+    lines, changed = text.split("\n"), None
+    for i, line in enumerate(lines):
+        if not line.isascii() and (hit := _line_script(line, first)):
+            lines[i], changed = hit[0], f"{hit[1]} read as {hit[2]}"
+    return ("\n".join(lines), changed) if changed else (text, None)
+
+
 def examine(text: str) -> tuple[str | None, str | None]:
     """``(kind, restored)`` by the structure of the text alone; ``(None, None)`` for a text without such damage.
     ``restored`` is null where bytes were lost."""
-    kind, now = None, text
+    now, kind = _scripts(text, first=True)
     for _ in range(PASSES):
         runs = _runs(now)
         best: tuple[tuple[int, int], str, list] | None = None
@@ -414,14 +429,8 @@ def examine(text: str) -> tuple[str | None, str | None]:
             break
         kind = kind or f"utf-8 read as {best[1]}"
         now = _replace(now, best[2])
-    if any("\u00a0" <= c for c in now):
-        lines, changed = now.split("\n"), ""
-        for i, line in enumerate(lines):
-            if any(c > "\x7f" for c in line) and (hit := _line_script(line)):
-                lines[i], changed = hit[0], f"{hit[1]} read as {hit[2]}"
-        if changed:
-            kind = kind or changed
-            now = "\n".join(lines)
+    now, script = _scripts(now)
+    kind = kind or script
     if "\ufffd" in text and (kind or re.search("\\w\ufffd|\ufffd\\w|\ufffd\ufffd", text)):
         return kind or "lost bytes", None if "\ufffd" in now else now
     return (kind, now) if kind else (None, None)
