@@ -20,8 +20,9 @@ _LOCAL_BITS = 33  # of monotonically_increasing_id
 
 
 def with_position(df: DataFrame, by: Sequence[Column | str], out: str = "pos") -> DataFrame:
-    """``out``: 0-based position in the global order ``by``: a range-partitioned sort and prefix sums over partitions."""
-    placed = durable(df.orderBy(*by).withColumn("_id", F.monotonically_increasing_id()))
+    """``out``: 0-based position in the global order ``by``: a range-partitioned sort and prefix sums over partitions.  With an
+    empty ``by`` the rows are numbered as they lie, without a shuffle."""
+    placed = durable((df.orderBy(*by) if by else df).withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", _LOCAL_BITS)).withColumn("_at", F.col("_id").bitwiseAND((1 << _LOCAL_BITS) - 1))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
