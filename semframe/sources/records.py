@@ -118,17 +118,19 @@ def field(n: int) -> Column:
     return F.coalesce(F.try_element_at(F.col("fields"), F.lit(n)), F.lit(""))
 
 
-def order(group: Sequence[str] = ("file_idx",), by: Sequence[str] = ("num",)):
-    """The window every record-order operator uses: within a file, by number."""
-    return Window.partitionBy(*group).orderBy(*by)
-
-
-def with_neighbours(df: DataFrame, n: int, group: Sequence[str] = ("file_idx",), by: Sequence[str] = ("num",), text: str = "text") -> DataFrame:
-    """``before`` and ``after``: up to ``n`` texts on either side within the file; null instead of empty, as encoded questions
-    leave empty lists out."""
-    w = order(group, by)
-    some = lambda c: F.when(F.size(c) > 0, c)
-    return df.withColumn("before", some(F.collect_list(text).over(w.rowsBetween(-n, -1)))).withColumn("after", some(F.collect_list(text).over(w.rowsBetween(1, n))))
+def with_neighbours(df: DataFrame, n: int, group: Sequence[str] = ("file_idx",), text: str = "text", num: str = "num") -> DataFrame:
+    """``before`` and ``after``: up to ``n`` texts on either side within the file, nulls left out; null instead of empty, as
+    encoded questions leave empty lists out.  One equi-join per distance on the dense ``num``: a large file is not one task."""
+    texts = df.select(*group, num, F.col(text).alias("_t"))
+    near = texts
+    for k in [*range(-n, 0), *range(1, n + 1)]:
+        other = texts.select(*group, (F.col(num) - k).alias(num), F.col("_t").alias(f"_t{k}"))
+        near = near.join(other, [*group, num], "left")
+    some = lambda ks: F.filter(F.array(*[F.col(f"_t{k}") for k in ks]), lambda x: x.isNotNull())
+    lists = near.select(*group, num, some(range(-n, 0)).alias("before"), some(range(1, n + 1)).alias("after"))
+    for c in ("before", "after"):
+        lists = lists.withColumn(c, F.when(F.size(c) > 0, F.col(c)))
+    return df.join(lists, [*group, num], "left")
 
 
 def chunked(texts: DataFrame, budget: int, text: str = "text") -> DataFrame:
