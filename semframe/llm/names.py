@@ -211,31 +211,38 @@ def read_organisation(raw: str | None) -> dict | None:
     """``core, cut, options, initial, side``: name, whether it is cut short, its trade if given, "", its legal form."""
     if raw is None or _plain(raw).strip().lower() in PLACEHOLDERS:
         return None
-    s = re.sub(r"(?i)\s+[^\W\d_]+\s+branch$", "", " ".join(_plain(raw).split()))
+    whole = " ".join(_plain(raw).split())
+    s = re.sub(r"(?i)\s+[^\W\d_]+\s+branch$", "", whole)
+    branch = s != whole
     s = _cut_trails(s)
     s = re.sub(r"\b((?:\w\.\s?){2,4})(?=\W|$)", lambda m: m[1].replace(".", "").replace(" ", "") + " ", s)  # G.m.b.H., S. A.
     s = re.sub(r"\b([Ss]) ([Aa])\b", r"\1\2", s)
-    core: list[tuple[str, bool]] = []
-    trade, legal = None, ""
-    # what a branch adds follows the name after its legal form; a legal form may also stand before a comma and the trade
+    groups: list[list[tuple[str, bool]]] = []  # neighbouring words that are neither trade nor legal form: a name written apart
+    trade, legal, apart = None, "", True
     for t, stop, _ in _tokens(s):
         if t in FILLERS:
             continue
-        if t in LEGAL and core:
-            legal = legal or LEGAL[t]
+        if t in LEGAL and groups:
+            legal, apart = legal or LEGAL[t], True
             continue
-        if len(t) <= 9 + 8 and (found := trade_of(t)):
-            trade = trade or found
+        if found := trade_of(t) if len(t) <= 17 else None:
+            trade, apart = trade or found, True
             continue
         if trade is None and (split := _glued(t)):
             t, trade = split
-        core.append((t, stop))
-    if not core:
+        if apart:
+            groups.append([])
+        groups[-1].append((t, stop))
+        apart = False
+    if not groups:
         return None
-    long = max(core, key=lambda x: len(x[0]))
-    if len(long[0]) < 3:
+    words = max(groups, key=lambda g: sum(len(t) for t, _ in g))
+    if branch and len(words) > 1 and len(words[0][0]) >= 9:  # the first word of a place of two
+        words = words[:1]
+    core = "".join(t for t, _ in words)
+    if len(core) < 3:
         return None
-    return {"core": long[0], "cut": long[1] and len(long[0]) <= 9, "options": [trade] if trade else [], "initial": "", "side": legal}
+    return {"core": core, "cut": words[-1][1] and len(core) <= 9, "options": [trade] if trade else [], "initial": "", "side": legal}
 
 
 def read_person(raw: str | None) -> dict | None:
