@@ -263,6 +263,9 @@ def read_person(raw: str | None) -> dict | None:
             if t[:k] in NICK:
                 toks = [(t[:k], False, t[:k]), (t[k:], toks[0][1], t[k:])]
                 break
+    if len(toks) == 1 and re.match(r"[A-Z][A-Z][a-z]", toks[0][2]):  # nor between an initial and the family name
+        t, stop, typed = toks[0]
+        toks = [(t[0], False, typed[0]), (t[1:], stop, typed[1:])]
     long = [x for x in toks if len(x[0]) > 1]
     if not long or all(t in DEPARTMENT for t, _, _ in long):
         return None
