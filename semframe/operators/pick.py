@@ -43,9 +43,10 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
     cands = df.where(F.col(text).rlike("(?U)\\S")).select(*group, "num", F.col(text).alias("text"), clean(F.col(text)).alias("_text"))
     keep = max(FINALISTS, best)
     ask = Ask("noul", wording(question), {"text": F.col("_text")}, context=context or {})
-    exists, now = None, cands
+    exists, now, size = None, cands, max(window, 2 * keep)
     while True:
-        placed = _windowed(now, group, window, tokens)
+        # later rounds go by number alone: long records, few to a window, would else never become fewer
+        placed = _windowed(now, group, size, tokens if exists is None else 1 << 62)
         judged = durable(judge.attach(placed, ask, "_answer").withColumn("p", F.coalesce(F.col("_answer.noul"), F.lit(-1.0))).drop("_answer", "_k", "_sum"))
         if exists is None:
             exists = judged.groupBy(*group).agg(F.max("p").alias("exists"))
