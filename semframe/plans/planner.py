@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from semframe.functions.text import estimate_json
-from semframe.operators.sequence import numbered
+from semframe.operators.sequence import with_position
 from semframe.plans.judge import Ask, Limits, pack
 
 
@@ -128,7 +131,102 @@ def confirm(quote: Quote, *, max_cost: float | None = None, daily_left: float |
         raise BudgetExceeded(f"the quote of ${quote.usd:.4f} needs consent")
 
 
-def packed_requests(df: DataFrame, *, state: str = "state", state_est: str = "state_est", est: str = "est", group: list[str], by: list[str], limits: Limits = Limits()) -> DataFrame:
-    """``request`` for each question: consecutive questions of one state, at most ``limits.questions`` of them."""
-    numb = numbered(df, group, by, "_k")
-    return numb.withColumn("request", F.floor((F.col("_k") - 1) / limits.questions)).drop("_k")
+#: Questions whose requests one task finds at a time.
+BLOCK = 1 << 14
+
+
+def _ends(cost: np.ndarray, room: np.ndarray, own: np.ndarray, new: np.ndarray, limits: Limits) -> np.ndarray:
+    """For each question where the request ends that starts with it, as ``judge.pack`` would end it."""
+    n = len(cost)
+    at, sums = np.arange(n), np.concatenate(([0], np.cumsum(cost)))
+    fits = np.searchsorted(sums, sums[:-1] + room, side="right") - 1
+    stop = np.minimum.accumulate(np.where(own | new, at, n)[::-1])[::-1]
+    end = np.minimum(np.minimum(np.maximum(fits, at + 1), at + limits.questions), np.append(stop[1:], n))
+    return np.where(own, at + 1, end)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block at a time, from a partition sorted by block."""
+    kept: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        block = rows.column("_block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, z in zip(cuts, cuts[1:]):
+            if kept and kept[-1].column("_block")[0].as_py() != block[a]:
+                yield pa.concat_tables(kept)
+                kept = []
+            kept.append(rows.slice(a, z - a))
+    if kept:
+        yield pa.concat_tables(kept)
+
+
+def _parts(rows: pa.Table) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in ("_cost", "_room", "_own", "_new")]
+
+
+def packed_requests(df: DataFrame, *, state: str = "state", state_est: str = "state_est", est: str = "est", group: list[str], by: list[str], limits: Limits = Limits(), block: int = BLOCK) -> DataFrame:
+    """``request`` for each question, from 0 in each group (a state): the requests of ``judge.pack`` over the questions in order.
+    A question of unknown size has a request of its own.
+
+    A request ends at most ``limits.questions`` after its start.  So a block of questions, with as many of the next one, tells for
+    each start it may be entered at where the next block is entered and how many requests lie between; one pass over these in
+    order gives the start of each block, and then each block is packed by itself, however large its state is.
+    """
+    block, columns = max(block, limits.questions), df.columns
+    placed = with_position(df, [*group, *by], "_pos")
+    first = placed.groupBy(*group).agg(F.min("_pos").alias("_first"))
+    same = [F.col(f"p.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
+    need = F.lit(limits.frame) + F.col(state_est).cast("long") + F.col(est) + limits.per_question
+    rows = placed.alias("p").join(first.alias("f"), same).select(
+        "p.*", F.floor(F.col("_pos") / block).alias("_block"), (F.col("_pos") == F.col("_first")).alias("_new"),
+    ).withColumn("_own", F.coalesce(need > limits.lone_room, F.lit(True)))
+    rows = rows.withColumn("_cost", F.when(F.col("_own"), 0).otherwise(F.col(est) + limits.per_question).cast("long"))
+    rows = rows.withColumn("_room", F.coalesce(F.lit(limits.room - limits.frame) - F.col(state_est), F.lit(0)).cast("long"))
+
+    def jumps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            at = rows.column("_block")[0].as_py()
+            n = int(np.count_nonzero(rows.column("_pos").to_numpy() < (at + 1) * block))
+            parts = _parts(rows)
+            end, new = _ends(*parts, limits).tolist(), parts[3].tolist()
+            leaves, count, restarts = [0] * n, [1] * n, new[:n]  # requests are counted from the last new group on
+            for i in range(n - 1, -1, -1):
+                if (j := end[i]) >= n:
+                    leaves[i] = j - n
+                else:
+                    leaves[i], count[i], restarts[i] = leaves[j], count[j] + (not restarts[j]), restarts[j] or new[i]
+            k = limits.questions
+            yield pa.RecordBatch.from_pydict({"_block": [at], "leaves": [leaves[:k]], "count": [count[:k]], "restarts": [restarts[:k]]})
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, before = 0, 0
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                out.append({"_block": r["_block"], "_start": start, "_before": before})
+                if start < len(r["leaves"]):  # else the last block ends within a request
+                    before = r["count"][start] + (0 if r["restarts"][start] else before)
+                    start = r["leaves"][start]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.int64()) for c in ("_block", "_start", "_before")]))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            parts, n = _parts(rows), rows.num_rows
+            end, new = _ends(*parts, limits).tolist(), parts[3].tolist()
+            i, k = rows.column("_start")[0].as_py(), rows.column("_before")[0].as_py()
+            request = np.full(n, k - 1, dtype=np.int64)
+            while i < n:
+                k = 0 if new[i] else k
+                request[i : end[i]] = k
+                i, k = end[i], k + 1
+            yield from rows.select(columns).append_column("request", pa.array(request)).to_batches()
+
+    near = F.when((F.col("_pos") % block < limits.questions) & (F.col("_block") > 0), F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block"))
+    around = rows.select(F.explode(near).alias("_block"), "_pos", "_cost", "_room", "_own", "_new")
+    seen = around.repartition("_block").sortWithinPartitions("_block", "_pos").mapInArrow(jumps, "_block long, leaves array<long>, count array<long>, restarts array<boolean>")
+    starts = seen.repartition(1).sortWithinPartitions("_block").mapInArrow(enter, "_block long, _start long, _before long")
+    there = rows.join(F.broadcast(starts), "_block").repartition("_block").sortWithinPartitions("_block", "_pos")
+    return there.mapInArrow(packed, StructType([*df.schema.fields, StructField("request", LongType())]))
