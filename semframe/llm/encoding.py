@@ -105,6 +105,23 @@ def _held(c: int) -> bool:
     )
 
 
+@lru_cache(maxsize=None)
+def _given() -> frozenset[str]:
+    """What a wrong reading gives: a text damaged twice must first come back to these."""
+    return frozenset(ch for name in READ_AS for ch in char_of(name).values())
+
+
+@lru_cache(maxsize=1 << 16)
+def _written(ch: str) -> bool:
+    """Whether the character is assigned and no control: other scripts, marks, rare letters."""
+    return unicodedata.category(ch) not in ("Cc", "Cn", "Co", "Cs")
+
+
+def _block(ch: str) -> int:
+    """A script or part of one."""
+    return ord(ch) >> 6 if ch < "\u0370" else 0x1000 + (ord(ch) >> 8)
+
+
 def _sequence(b: list[int], i: int, end: int) -> int:
     """Length of the well-formed UTF-8 multibyte sequence at ``i``; 0 for none."""
     x = b[i]
@@ -167,26 +184,57 @@ def _unlikely(text: str, s: int, e: int, name: str, lead_byte: int) -> bool:
     return True
 
 
+def _in_word(text: str, s: int, e: int, ch: str) -> bool:
+    """Whether a span alone stands for a Latin letter or a mark within a word, where a capital and a sign would not."""
+    if not (ch < "\u0250" or "\u0300" <= ch <= "\u036f") or not (text[s].isupper() or _box(text[s])):
+        return False
+    if s and text[s - 1].islower():
+        return True
+    return e < len(text) and text[e].islower() and not all(c in CLOSING for c in text[s + 1 : e])
+
+
 def _narrow_spans(text: str, name: str, runs: list[tuple[int, int]]) -> Spans:
-    table, out = byte_of(name), Spans()
+    """Characters of ``_held`` are taken wherever they decode.  Others by chance stand alone, so they are evidence only beside
+    another span or within a word, and those no wrong reading gives are taken only where their script has such evidence."""
+    table, back, out = byte_of(name), char_of(name), Spans()
+    rare: list[tuple[int, int, str]] = []
+    scripts: set[int] = set()
     for a, z in runs:
         b = [table.get(ch, 0) for ch in text[a:z]]
-        n, i, chain = z - a, 0, []
+        n, i, every = z - a, 0, []
         while i < n:
             k = _sequence(b, i, n) if b[i] >= 0xC2 else 0
             if k:
                 ch = bytes(b[i : i + k]).decode("utf-8")
-                if _held(ord(ch)) or (name == "w1252" and k == 2 and b[i] == 0xC2):
-                    chain.append((a + i, a + i + k, ch))
+                if _held(ord(ch)) or (k == 2 and b[i] == 0xC2 and (name == "w1252" or b[i + 1] < 0xA0 and b[i + 1] not in back)):
+                    every.append((a + i, a + i + k, ch, 0))
+                    i += k
+                    continue
+                if (ch in _given() or _written(ch)) and not all(map(_box, text[a + i : a + i + k])):
+                    every.append((a + i, a + i + k, ch, 1 if ch in _given() else 2))
                     i += k
                     continue
             i += 1
+        chain = [(s, e, ch) for s, e, ch, tier in every if not tier]
         strong = sum(_unlikely(text, s, e, name, b[s - a]) for s, e, _ in chain)
         if not strong and len(chain) >= 3:
             chars = "".join(text[s:e] for s, e, _ in chain)
             strong = int(not all(map(_box, chars)) and not chars.isalpha())
+        for at, (s, e, ch, tier) in enumerate(every):
+            if not tier:
+                continue
+            (chain if tier == 1 else rare).append((s, e, ch))
+            if text[s] >= "\u0370" and text[s:e].isalpha():  # Cyrillic or Greek letters in any order and case
+                continue
+            beside = [x for x in every[max(0, at - 1) : at + 2] if x[0] == e or x[1] == s]
+            if tier == 2:
+                beside = [x for x in beside if x[3] == 2 and _block(x[2]) == _block(ch)]
+            if (beside or tier == 2 and e - s > 2 or _in_word(text, s, e, ch)) and _unlikely(text, s, e, name, b[s - a]):
+                strong += 1
+                scripts.add(_block(ch))
         out.found += chain
         out.strong += strong
+    out.found = sorted(out.found + [x for x in rare if _block(x[2]) in scripts])
     return out
 
 
@@ -353,7 +401,7 @@ def _line_script(line: str, first: bool = False) -> tuple[str, str, str] | None:
             done = _wide_line(line, best[1])
             if done:
                 return done, best[1], "w1252"
-    if line.count("‚") >= 3 or sum(c in "\u0081\u0082\u0083" for c in line) >= 3:
+    if (line.count("‚") >= 3 or sum(c in "\u0081\u0082\u0083" for c in line) >= 3) and not _well_formed(line):
         for true in ("cp932",):
             done = _wide_line(line, true)
             if done and sum("\u3041" <= c <= "\u3096" for c in done) >= 4:
@@ -379,6 +427,15 @@ def _line_script(line: str, first: bool = False) -> tuple[str, str, str] | None:
     return None
 
 
+def _well_formed(line: str) -> bool:
+    """Whether the bytes of the line are UTF-8 throughout, as other multibyte text is not."""
+    table = byte_of("w1252")
+    try:
+        return bool(bytes(ord(c) if c < "\x80" else table.get(c, 0xFF) for c in line).decode("utf-8"))
+    except UnicodeDecodeError:
+        return False
+
+
 def _wide_line(line: str, true: str) -> str:
     table = byte_of("w1252")
     raw = bytearray()
