@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semframe.functions.templates import Label, TreeNode, check_placeholders, has_placeholder, rewrite_placeholders
-from semframe.operators.options import choose_among
+from semframe.operators.options import OptionJudge, choose_among
 from semframe.plans.judge import Ask, Judge, cleaned
 from semframe.session import durable
 from semframe.sources.records import with_fields, with_neighbours
@@ -60,12 +61,27 @@ def label_counts(labelled: DataFrame, by: Sequence[str] = ("file_idx", "num")) -
     return n.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first"))).drop("_first")  # one row per label
 
 
-def route(labelled: DataFrame, path: str, text: str = "text") -> None:
-    """Append the records to ``path``, one folder per label: ``/`` in a label nests, components that are empty or dots become
-    ``_``; failed records are not written."""
-    part = F.transform(F.split("label", "/"), lambda x: F.when(x.isin("", ".", ".."), "_").otherwise(x))
-    (labelled.where(F.col("label") != BROKEN).select(F.array_join(part, "/").alias("label"), F.col(text).alias("text"))
-     .write.partitionBy("label").mode("append").text(path))
+ROUTE_LEVELS = 8
+
+
+def route(labelled: DataFrame, path: str, text: str = "text", levels: int = ROUTE_LEVELS) -> None:
+    """Append the records to folders below ``path``, one per label: ``/`` in a label nests (``level1=a/level2=b/…``), components
+    that are empty or dots become ``_``; failed records are not written.
+
+    The levels are partition columns of one write; of a label with more than ``levels`` components the last ones stay joined.
+    """
+    named = labelled.where(F.col("label") != BROKEN).select(F.col(text).alias("text"), F.transform(
+        F.split("label", "/"), lambda x: F.when(x.isin("", ".", ".."), "_").otherwise(x)).alias("_parts"))
+    depth = named.agg(F.max(F.size("_parts")).alias("n")).collect()[0]["n"] or 1  # one number
+    cols = [f"level{k}" for k in range(1, min(depth, levels) + 1)]
+    for k, c in enumerate(cols, 1):
+        last = k == len(cols)
+        own = F.array_join(F.slice("_parts", F.lit(k), F.greatest(F.size("_parts") - (k - 1), F.lit(0))), "/") if last else F.get("_parts", k - 1)
+        named = named.withColumn(c, F.when(F.size("_parts") >= k, own))
+    # records of one depth at a time: a label that ends early has no folder below it
+    for k in range(1, len(cols) + 1):
+        size = F.size("_parts") == k if k < len(cols) else F.size("_parts") >= k
+        named.where(size).select(*cols[:k], "text").write.partitionBy(*cols[:k]).mode("append").text(path)
 
 
 # --- taxonomy ----------------------------------------------------------------------------------------------------------
@@ -97,10 +113,16 @@ def sem_label_tree(df: DataFrame, judge: Judge, roots: list[TreeNode], *, key: S
     """Labels by a taxonomy: per level every open path of every record asks for one child; the ``beam`` best paths go on.
 
     ``label`` is the path of names, ``confidence`` the geometric mean of the probabilities along it; a parent with one child
-    costs no question and does not count.  Ties keep option order.  All records advance together, one job per level.
+    costs no question and does not count.  Ties keep option order.
+
+    A judge by expression is asked within the row: the taxonomy is a constant, the open paths of a record are an array in it, so
+    nothing is shuffled and no text copied.  With other judges all records advance together, one job per level.
     """
     rows, forced = _edges(roots)
     spark = df.sparkSession
+    if isinstance(judge, OptionJudge):
+        out = _by_expression(df, judge, rows, forced, beam, text)
+        return _final(out, threshold, unsure, only)
     edges = spark.createDataFrame(rows, "parent int, node int, name string, hint string, place int, leaf boolean")
     name = {r[1]: r[2] for r in rows}
     leaf = {0: False} | {r[1]: r[5] for r in rows}
@@ -140,8 +162,59 @@ def sem_label_tree(df: DataFrame, judge: Judge, roots: list[TreeNode], *, key: S
         .groupBy(*key).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "rank", "path")).alias("b"))
         .select(*key, F.substring(F.col("b.path"), F.lit(2), F.length("b.path")).alias("label"), (-F.col("b.c")).alias("confidence"))
     )
-    out = df.join(top, list(key), "left")
+    return _final(df.join(top, list(key), "left"), threshold, unsure, only)
+
+
+def _final(out: DataFrame, threshold: float, unsure: str, only: Sequence[str] | None) -> DataFrame:
     label = F.when(F.col("label").isNull(), BROKEN).when(F.col("confidence") < threshold, unsure).otherwise(F.col("label"))
     out = out.withColumn("label", label)
     return out if only is None else out.where(F.col("label").isin(list(only)))
 
+
+def _by_expression(df: DataFrame, judge: OptionJudge, rows: list[tuple], forced: dict[int, int], beam: int, text: str) -> DataFrame:
+    """``df`` with ``label`` and ``confidence``, level by level over an array of paths in each row."""
+    name, leaf, kids = {r[1]: r[2] for r in rows}, {0: False} | {r[1]: r[5] for r in rows}, {}
+    for parent, node, own, hint, place, _ in rows:
+        to, more = node, ""
+        while to in forced:
+            to = forced[to]
+            more += "/" + name[to]
+        kids.setdefault(str(parent), []).append({"name": own, "hint": hint, "place": place, "to": to, "more": more, "ends": leaf[to]})
+    start, prefix = 0, ""
+    while start in forced:
+        start = forced[start]
+        prefix += "/" + name[start]
+    option = "struct<name:string,hint:string,place:int,to:int,more:string,ends:boolean>"
+    tree = F.from_json(F.lit(json.dumps(kids)), f"map<string,array<{option}>>")  # folded to a constant
+    deepest, parents = 1, {r[1]: r[0] for r in rows}
+    for n in parents:
+        d, up = 0, n
+        while up:
+            d, up = d + 1, parents[up]
+        deepest = max(deepest, d)
+    said = F.coalesce(cleaned(df, text), F.lit(""))
+    first = F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("rank"), F.lit(start).alias("at"), F.lit(prefix).alias("path"), F.lit(0.0).alias("logp"), F.lit(0).alias("edges"), F.lit(leaf[start]).alias("done"))
+    out = df.withColumn("_text", said).withColumn("_paths", F.array(first))
+
+    def grow(p: Column) -> Column:
+        opts = F.element_at(tree, p["at"].cast("string"))
+        n = F.size(opts)
+        fits = F.filter(opts, lambda o: judge.fits(F.col("_text"), o["name"], o["hint"]))
+        won = F.array_min(F.transform(fits, lambda o: o["place"]))
+        if judge.fallback == "last":
+            won = F.coalesce(won, F.array_max(F.transform(opts, lambda o: o["place"])))
+        elif judge.fallback is not None:
+            won = F.coalesce(won, F.array_min(F.transform(F.filter(opts, lambda o: o["name"] == judge.fallback), lambda o: o["place"])))
+
+        def step(o: Column) -> Column:
+            prob = F.when(n == 1, 1.0).when(won.isNull(), 1.0 / n).when(o["place"] == won, 0.9).otherwise(0.1 / (n - 1))
+            logp, edges = p["logp"] + F.log(F.greatest(prob, F.lit(1e-9))), p["edges"] + 1
+            return F.struct((-logp / edges).alias("cost"), F.concat(p["rank"], F.array(o["place"])).alias("rank"), o["to"].alias("at"),
+                            F.concat(p["path"], F.lit("/"), o["name"], o["more"]).alias("path"), logp.alias("logp"), edges.alias("edges"), o["ends"].alias("done"))
+
+        return F.when(p["done"], F.array(p)).otherwise(F.transform(opts, step))
+
+    for _ in range(deepest):
+        out = out.withColumn("_paths", F.slice(F.array_sort(F.flatten(F.transform("_paths", grow))), 1, beam))
+    best = F.get("_paths", 0)
+    return out.withColumn("label", F.expr("substring(_paths[0].path, 2)")).withColumn("confidence", F.exp(-best["cost"])).drop("_text", "_paths")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semframe.functions.text import clean, estimate
-from semframe.operators.sequence import numbered, running_sum
+from semframe.operators.sequence import numbered
 from semframe.operators.test import NO, UNCERTAIN, YES
-from semframe.plans.judge import Ask, Judge
+from semframe.plans.judge import Ask, Judge, Limits
+from semframe.plans.planner import packed_requests
 from semframe.session import durable
 
 # A window's candidates and estimated tokens, and the finalists it sends on.
@@ -24,11 +25,14 @@ def wording(question: str) -> str:
     return f"How well does `text` answer: {q}" if q.endswith("?") else f"How well does this describe `text`: {q}"
 
 
-def _windowed(cands: DataFrame, group: Sequence[str], size: int, tokens: int) -> DataFrame:
-    """``window``: consecutive candidates, at most ``size`` of them and about ``tokens`` tokens."""
-    numb = numbered(cands, group, ["num"], "_k")
-    summed = running_sum(numb, estimate(F.col("_text")), "_sum", group, num="_k")
-    return summed.withColumn("window", F.concat_ws("-", F.floor((F.col("_k") - 1) / size).cast("string"), F.floor(F.col("_sum") / tokens).cast("string")))
+def _windowed(cands: DataFrame, group: Sequence[str], size: int, tokens: int | None) -> DataFrame:
+    """``window``: consecutive candidates, at most ``size`` of them and of at most ``tokens`` tokens together; a longer candidate
+    has a window of its own.  Each window is filled before the next begins."""
+    if tokens is None:
+        return numbered(cands, group, ["num"], "_k").withColumn("window", F.floor((F.col("_k") - 1) / size)).drop("_k")
+    limits = Limits(request_tokens=tokens, question_tokens=tokens, margin=1.0, questions=size, frame=0, per_question=0)
+    sized = cands.withColumn("_est", estimate(F.col("_text"))).withColumn("_none", F.lit(0))
+    return packed_requests(sized, state_est="_none", est="_est", group=list(group), by=["num"], limits=limits).withColumnRenamed("request", "window").drop("_est", "_none")
 
 
 def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, threshold: float = 0.5, min_p: float = 0.0, force: bool = False,
@@ -46,8 +50,8 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
     exists, now, size = None, cands, max(window, 2 * keep)
     while True:
         # later rounds go by number alone: long records, few to a window, would else never become fewer
-        placed = _windowed(now, group, size, tokens if exists is None else 1 << 62)
-        judged = durable(judge.attach(placed, ask, "_answer").withColumn("p", F.coalesce(F.col("_answer.noul"), F.lit(-1.0))).drop("_answer", "_k", "_sum"))
+        placed = _windowed(now, group, size, tokens if exists is None else None)
+        judged = durable(judge.attach(placed, ask, "_answer").withColumn("p", F.coalesce(F.col("_answer.noul"), F.lit(-1.0))).drop("_answer"))
         if exists is None:
             exists = judged.groupBy(*group).agg(F.max("p").alias("exists"))
         rank = F.row_number().over(Window.partitionBy(*group, "window").orderBy(F.col("p").desc(), "num"))

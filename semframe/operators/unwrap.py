@@ -65,17 +65,17 @@ def sem_unwrap(df: DataFrame, judge: Judge, *, separator: str = " ", dehyphen: b
     it.  ``dehyphen`` takes out a hyphen after a letter where a small letter follows.  All other characters stay.
     """
     lines = sem_unwrap_lines(df, judge, dangling=dangling, terminal=terminal, group=group, text=text, context=context)
-    lines = with_shifted(lines, {"_line": "_next", "join": "_next_joins"}, 1, group)
-    joins = F.coalesce("_next_joins", F.lit(False))
-    own = trim_blank(F.col("_line"), right=False)
-    own = F.when(F.col("_before").rlike(QUOTE), trim_blank(F.regexp_replace(own, "\\A>", ""), right=False)).otherwise(own)
-    own = F.when(F.col("join"), own).otherwise(F.col("_line"))
-    cut = trim_blank(own, left=False)
-    hyphen = F.lit(dehyphen) & cut.rlike(HYPHEN) & trim_blank(F.col("_next"), right=False).rlike("\\A\\p{Ll}")
-    piece = F.when(~joins, own).when(hyphen, F.regexp_replace(cut, "-\\z", "")).otherwise(F.concat(cut, F.lit(separator)))
-    return (
-        lines.withColumn("_piece", piece)
-        .groupBy(*group, "para")
-        .agg(F.sort_array(F.collect_list(F.struct("num", "_piece"))).alias("_l"))
-        .select(*group, F.col("_l")[0]["num"].alias("num"), F.size("_l").alias("n"), F.array_join(F.transform("_l", lambda x: x["_piece"]), "").alias("text"))
-    )
+    # a paragraph is one row; which lines join is their place in it
+    paras = lines.groupBy(*group, "para").agg(F.sort_array(F.collect_list(F.struct("num", F.col("_line").alias("line")))).alias("_l"))
+
+    def piece(x: Column, i: Column) -> Column:
+        line, joins = x["line"], i < F.size("_l") - 1
+        before, after = F.get("_l", i - 1)["line"], F.get("_l", i + 1)["line"]
+        own = trim_blank(line, right=False)
+        own = F.when(before.rlike(QUOTE), trim_blank(F.regexp_replace(own, "\\A>", ""), right=False)).otherwise(own)
+        own = F.when(i > 0, own).otherwise(line)
+        cut = trim_blank(own, left=False)
+        hyphen = F.lit(dehyphen) & cut.rlike(HYPHEN) & trim_blank(after, right=False).rlike("\\A\\p{Ll}")
+        return F.when(~joins, own).when(hyphen, F.regexp_replace(cut, "-\\z", "")).otherwise(F.concat(cut, F.lit(separator)))
+
+    return paras.select(*group, F.col("_l")[0]["num"].alias("num"), F.size("_l").alias("n"), F.array_join(F.transform("_l", piece), "").alias("text"))

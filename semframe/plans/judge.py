@@ -160,6 +160,10 @@ class Overlimit(Exception):
     """A request was refused as too large; its questions may be asked in halves."""
 
 
+class Refused(RuntimeError):
+    """The service will not answer at all: a wrong key, say.  Asking again is useless, so the whole run ends."""
+
+
 Handler = Callable[[dict], list[dict]]
 
 
@@ -185,6 +189,8 @@ class BatchJudge(Judge):
                     return [{"error": f"too large: {e}"}]
                 half = len(questions) // 2
                 return ask_all(state, questions[:half]) + ask_all(state, questions[half:])
+            except Refused:
+                raise
             except Exception as e:  # noqa: BLE001
                 return [{"error": f"{type(e).__name__}: {e}"}] * len(questions)
 
@@ -199,17 +205,19 @@ class BatchJudge(Judge):
                 yield from ask_rows(keep, pack(keep["_state"].tolist(), keep["_state_est"].tolist(), keep["_est"].tolist(), limits))
 
         def ask_rows(rows: pd.DataFrame, packed: list[list[int]]) -> Iterator[pd.DataFrame]:
-            for idx in packed:
-                part = rows.iloc[idx]
+            parts, calls = [rows.iloc[idx] for idx in packed], []
+            for part in parts:
                 qs = [
                     {"type": k, "instructions": json.loads(i), "criteria": json.loads(c) if c else None}
                     for k, i, c in zip(part["_kind"], part["_instructions"], part["_criteria"])
                 ]
                 first = part.iloc[0]
-                if len(idx) == 1 and limits.frame + first["_state_est"] + first["_est"] + limits.per_question > limits.lone_room:
-                    answers = [{"error": "too large for a request"}]
+                if len(part) == 1 and limits.frame + first["_state_est"] + first["_est"] + limits.per_question > limits.lone_room:
+                    calls.append(lambda: [{"error": "too large for a request"}])
                 else:
-                    answers = ask_all(first["_state"], qs)
+                    calls.append(lambda state=first["_state"], qs=qs: ask_all(state, qs))
+            # a handler may have several requests open at once
+            for part, answers in zip(parts, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
                 yield pd.DataFrame({
                     "_row": part["_row"].to_numpy(),
                     **{n: [a.get(n) for a in answers] for n in ("noul", "choice", "score", "confidence")},
@@ -224,7 +232,7 @@ class BatchJudge(Judge):
         rows = durable(df.withColumn("_row", F.monotonically_increasing_id()))
         q = rows.select(
             "_row", F.lit(ask.state()).alias("_state"), F.lit(ask.kind).alias("_kind"),
-            Ask(ask.kind, ask.question, {n: _cleaned(c) for n, c in ask.about.items()}).instructions().alias("_instructions"), F.lit(ask.criteria()).cast("string").alias("_criteria"),
+            ask.instructions().alias("_instructions"), F.lit(ask.criteria()).cast("string").alias("_criteria"),
         )
         criteria = F.coalesce(F.col("_criteria"), F.lit(""))
         q = q.withColumn("_est", estimate_json(F.concat("_instructions", criteria))).withColumn("_state_est", estimate_json(F.col("_state")))
@@ -238,11 +246,6 @@ class BatchJudge(Judge):
         return rows.join(answers, "_row").drop("_row")
 
 
-def _cleaned(c: Column) -> Column:
-    """Text columns without escapes and controls; lists of texts element by element."""
-    return c  # operators pass cleaned text; kept as the one place where a judge could differ
-
-
 def cleaned(df: DataFrame, col: str = "text") -> Column:
     """What a judge sees of a text column."""
     return clean(F.col(col))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,14 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set an own folder only where none is configured."""
+    """Use the cluster's ``spark.checkpoint.dir``; a folder of its own is set only on one machine, where none is configured.
+    On a cluster a folder of one machine would lose data with it, so there a missing setting is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="semframe-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables and files, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

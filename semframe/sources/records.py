@@ -7,6 +7,7 @@ Numbers are exact because a file's text is one row; ``read_lines`` reads files t
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,14 +56,35 @@ def read_records(spark: SparkSession, paths: Sequence[str], mode: str = LINES, m
     absent = [p for p in paths if not _exists(spark, p)]
     if absent and missing != "skip":
         raise FileNotFoundError(", ".join(absent))
-    there = [(i, p) for i, p in enumerate(paths) if p not in absent]
+    gone = set(absent)
+    there = [(i, p) for i, p in enumerate(paths) if p not in gone]
     if not there:
         return spark.createDataFrame([], "file_idx int, file string, num bigint, text string"), absent
-    out = None
-    for i, p in there:
-        one = spark.read.text(p, wholetext=True).select(F.lit(i).alias("file_idx"), F.lit(p).alias("file"), F.col("value").alias("text"))
-        out = one if out is None else out.unionAll(one)
-    return records_of(out, mode), absent
+    return records_of(_whole(spark, there), mode), absent
+
+
+def _named(spark: SparkSession, paths: Sequence[tuple[int, str]]) -> tuple[list[str], DataFrame]:
+    """The distinct paths, and ``_path, file_idx, file``: which inputs a file belongs to.  A path may be given twice, and a folder
+    is its files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for i, p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        for f in path.getFileSystem(conf).listStatus(path):
+            rows.append((re.sub(r"^(\w+):/+", r"\1:/", f.getPath().toString()), i, p))
+    return list(dict.fromkeys(p for _, p in paths)), spark.createDataFrame(rows, "_path string, file_idx int, file string")
+
+
+def _plain_path() -> Column:
+    """The path of a row's file as Hadoop writes it: without the empty authority and percent signs of a URI."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^(\\w+):/+", "$1:/")
+
+
+def _whole(spark: SparkSession, paths: Sequence[tuple[int, str]]) -> DataFrame:
+    """``file_idx, file, text`` of files by one read of them all; a folder's files are texts of their own."""
+    distinct, names = _named(spark, paths)
+    got = spark.read.text(distinct, wholetext=True).select(_plain_path().alias("_path"), F.col("value").alias("text"))
+    return got.join(names, "_path").select("file_idx", "file", "text")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -77,39 +99,29 @@ def files_from(spark: SparkSession, list_path: str) -> list[str]:
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str], mode: str = LINES) -> DataFrame:
-    """Lines of files of any size: blocks are read in parallel, numbered within, and offset by the rows before them."""
-    out = None
-    for i, p in enumerate(paths):
-        one = (
-            spark.read.text(p, lineSep="\0" if mode == NUL else "\n")
-            .select(F.col("value").alias("text"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
-            .withColumn("file_idx", F.lit(i)).withColumn("file", F.lit(p))
-        )
-        out = one if out is None else out.unionAll(one)
-    ordered = Window.partitionBy("file_idx", "_path", "_block").orderBy("_id")
-    numbered = out.withColumn("_in", F.row_number().over(ordered))
-    sizes = numbered.groupBy("file_idx", "_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    """Lines of files of any size, by one read of them all: blocks are read in parallel, numbered within, and offset by the rows
+    before them."""
+    distinct, names = _named(spark, list(enumerate(paths)))
+    lines = spark.read.text(distinct, lineSep="\0" if mode == NUL else "\n").select(
+        F.col("value").alias("text"), F.col("_metadata.file_block_start").alias("_block"), _plain_path().alias("_path"), F.monotonically_increasing_id().alias("_id"))
+    where = ["file_idx", "file", "_path", "_block"]
+    numbered = lines.join(names, "_path").withColumn("_in", F.row_number().over(Window.partitionBy(*where).orderBy("_id")))
+    sizes = numbered.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"))  # one row per block
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_idx").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     text = F.regexp_replace("text", "\\r\\z", "") if mode == LINES else F.col("text")
     return (
-        numbered.join(sizes.withColumn("_before", before).drop("_n"), ["file_idx", "_path", "_block"])
+        numbered.join(sizes.withColumn("_before", before).drop("_n"), where)
         .select("file_idx", "file", (F.col("_before") + F.col("_in")).cast("bigint").alias("num"), text.alias("text"))
     )
 
 
 def whole_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Files as they are: ``file_idx, file, text``."""
-    out = None
-    for i, p in enumerate(paths):
-        one = spark.read.text(p, wholetext=True).select(F.lit(i).alias("file_idx"), F.lit(p).alias("file"), F.col("value").alias("text"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    return _whole(spark, list(enumerate(paths)))
 
 
 def with_fields(df: DataFrame, delimiter: str, text: str = "text") -> DataFrame:
     """``fields``: the positional, untyped fields of each record."""
-    import re
-
     return df.withColumn("fields", F.split(F.col(text), re.escape(delimiter), -1))
 
 
@@ -120,17 +132,17 @@ def field(n: int) -> Column:
 
 def with_neighbours(df: DataFrame, n: int, group: Sequence[str] = ("file_idx",), text: str = "text", num: str = "num") -> DataFrame:
     """``before`` and ``after``: up to ``n`` texts on either side within the file, nulls left out; null instead of empty, as
-    encoded questions leave empty lists out.  One equi-join per distance on the dense ``num``: a large file is not one task."""
-    texts = df.select(*group, num, F.col(text).alias("_t"))
-    near = texts
-    for k in [*range(-n, 0), *range(1, n + 1)]:
-        other = texts.select(*group, (F.col(num) - k).alias(num), F.col("_t").alias(f"_t{k}"))
-        near = near.join(other, [*group, num], "left")
-    some = lambda ks: F.filter(F.array(*[F.col(f"_t{k}") for k in ks]), lambda x: x.isNotNull())
-    lists = near.select(*group, num, some(range(-n, 0)).alias("before"), some(range(1, n + 1)).alias("after"))
-    for c in ("before", "after"):
-        lists = lists.withColumn(c, F.when(F.size(c) > 0, F.col(c)))
-    return df.join(lists, [*group, num], "left")
+    encoded questions leave empty lists out.  One shuffle by blocks of the dense ``num``: a large file is not one task."""
+    from semframe.operators.sequence import over_neighbours
+
+    def side(steps):
+        def lists(w):
+            found = F.filter(F.array(*[F.lead(text, k).over(w) for k in steps]), lambda x: x.isNotNull())
+            return F.when(F.size(found) > 0, found)
+
+        return lists
+
+    return over_neighbours(df, {"before": side(range(-n, 0)), "after": side(range(1, n + 1))}, n, group, num)
 
 
 def chunked(texts: DataFrame, budget: int, text: str = "text") -> DataFrame:

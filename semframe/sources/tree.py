@@ -62,7 +62,6 @@ class _Reader(DataSourceReader):
         return [_Part(self.root, top[i::8]) for i in range(min(8, len(top)))] or [_Part(self.root, [])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        seen = 0
         for e in partition.entries:
             full = os.path.join(partition.root, e)
             if not os.path.isdir(full) or os.path.islink(full):
@@ -79,9 +78,6 @@ class _Reader(DataSourceReader):
                 for f in files:
                     if self._keep(f):
                         yield (f"{rel}/{f}",)
-                seen += len(dirs) + len(files)
-                if seen > MAX_NODES:
-                    raise ValueError(f"more than {MAX_NODES} entries")
 
 
 class DirectorySource(DataSource):
@@ -99,7 +95,10 @@ class DirectorySource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_directory(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
-    """The nodes below a directory."""
+def read_directory(spark: SparkSession, root: str, hidden: bool = False, most: int = MAX_NODES) -> DataFrame:
+    """The nodes below a directory; an error if there are more than ``most`` in all."""
     spark.dataSource.register(DirectorySource)
-    return nodes_of_paths(spark.read.format("semframe_tree").option("hidden", str(hidden).lower()).option("root", root).load())
+    nodes = nodes_of_paths(spark.read.format("semframe_tree").option("hidden", str(hidden).lower()).option("root", root).load())
+    if nodes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} entries")
+    return nodes
