@@ -5,9 +5,9 @@ fits is kept whole, neighbours among the children of an oversized node are merge
 only oversized nodes are descended into.  A single line over the limit is cut after sentence ends, else at white space,
 else anywhere.
 
-Consecutive pieces share ``overlap_lines`` whole lines where the limit allows: room for them is reserved before packing,
-and if the lines at a border are longer than the room, as many of them as fit are shared.  A border inside a line shares
-nothing.
+Consecutive pieces share ``overlap_lines`` whole lines where the limit allows: a piece that does not begin the document is
+packed with the true size of the lines before its first line, so they fit wherever they and that line fit together; where they
+do not, as many of them as fit are shared.  A border inside a line shares nothing.
 
 Defined cases
 -------------
@@ -20,8 +20,10 @@ Defined cases
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,21 +39,21 @@ _FENCE = re.compile(r"\s*(```|~~~)")
 _SENTENCE = re.compile(r"[.!?;:…。！？；]+[\"'”’»)\]]*\s*")
 
 
+#: Weight of a character by its class; ASCII controls but tab and newline weigh nothing.
+_ASCII = [
+    SPACE if c in " \t\n" else LETTER if c.isalpha() else DIGIT if c.isdigit() else PUNCT if c > " " and c != "\x7f" else 0.0 for c in map(chr, range(128))
+]
+_WEIGHT = np.array(_ASCII + [OTHER])
+
+
+def weights(text: str) -> np.ndarray:
+    """The weight of each character."""
+    return _WEIGHT[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 128)]
+
+
 def weight(text: str) -> float:
     """Estimated tokens of ``text`` by character class."""
-    total = 0.0
-    for ch in text:
-        if ch >= "\x80":
-            total += OTHER
-        elif ch.isalpha():
-            total += LETTER
-        elif ch.isdigit():
-            total += DIGIT
-        elif ch in " \t\n":
-            total += SPACE
-        elif ch > " ":
-            total += PUNCT
-    return total
+    return float(weights(text).sum())
 
 
 def estimate(text: str) -> int:
@@ -94,17 +96,24 @@ def _leaves(start: int, end: int) -> list[Node]:
     return [Node(i, i + 1) for i in range(start, end)]
 
 
+def _nested(start: int, end: int, marks: list[tuple[int, int]]) -> list[Node]:
+    """Children of ``start..end``: a node per mark ``(line, depth)``, each with the deeper ones and the lines beneath it.  One
+    pass with a stack, however deep the nesting."""
+    kids: list[Node] = _leaves(start, marks[0][0] if marks else end)
+    open_: list[tuple[int, Node]] = []
+    for k, (i, depth) in enumerate(marks):
+        nxt = marks[k + 1][0] if k + 1 < len(marks) else end
+        while open_ and open_[-1][0] >= depth:
+            open_.pop()[1].end = i
+        node = Node(i, end, _leaves(i, nxt))
+        (open_[-1][1].kids if open_ else kids).append(node)
+        open_.append((depth, node))
+    return kids
+
+
 def _listed(lines: list[str], start: int, end: int) -> list[Node]:
     """Children of a block: list items, each with the deeper items and the text beneath it; else its lines."""
-    marks = [(i, len(m[1].expandtabs())) for i in range(start, end) if (m := _LIST.match(lines[i]))]
-    if not marks:
-        return _leaves(start, end)
-    least = min(d for _, d in marks)
-    tops = [i for i, d in marks if d == least]
-    kids = _leaves(start, tops[0])
-    for a, b in zip(tops, tops[1:] + [end]):
-        kids.append(Node(a, b, [Node(a, a + 1)] + (_listed(lines, a + 1, b) if b > a + 1 else [])))
-    return kids
+    return _nested(start, end, [(i, len(m[1].expandtabs())) for i in range(start, end) if (m := _LIST.match(lines[i]))])
 
 
 def _blocks(lines: list[str], start: int, end: int) -> list[Node]:
@@ -133,39 +142,31 @@ def tree(lines: list[str]) -> Node:
         elif not fenced and (level := _heading(plain, i)):
             heads.append((i, level))
 
-    def section(start: int, end: int, marks: list[tuple[int, int]]) -> list[Node]:
-        if not marks:
-            return _blocks(plain, start, end)
-        top = min(level for _, level in marks)
-        cuts = [k for k, (_, level) in enumerate(marks) if level == top]
-        kids = section(start, marks[cuts[0]][0], marks[: cuts[0]]) if marks[cuts[0]][0] > start else []
-        for k, nxt in zip(cuts, cuts[1:] + [len(marks)]):
-            a = marks[k][0]
-            b = marks[nxt][0] if nxt < len(marks) else end
-            body = a + 1
-            while body < b and not plain[body].strip():
-                body += 1
-            head = Node(a, body, _leaves(a, body))
-            kids.append(Node(a, b, [head] + (section(body, b, marks[k + 1 : nxt]) if b > body else [])))
-        return kids
-
-    return Node(0, len(lines), section(0, len(lines), heads))
+    # sections one by one, each hung under the last heading above its level
+    root = Node(0, len(lines), _blocks(plain, 0, heads[0][0] if heads else len(lines)))
+    open_: list[tuple[int, Node]] = [(0, root)]
+    for k, (i, level) in enumerate(heads):
+        end = heads[k + 1][0] if k + 1 < len(heads) else len(lines)
+        body = i + 1
+        while body < end and not plain[body].strip():
+            body += 1
+        while open_[-1][0] >= level:
+            open_.pop()[1].end = i
+        node = Node(i, len(lines), [Node(i, body, _leaves(i, body)), *_blocks(plain, body, end)])
+        open_[-1][1].kids.append(node)
+        open_.append((level, node))
+    return root
 
 
 def _line_parts(text: str, est: int, limit: int) -> list[tuple[int, int, int]]:
     """``(from, to, est)`` of the parts of one line, each within ``limit``: sentence ends first, then white space."""
     whole = max(weight(text), 1e-9)
     scale = max(1.0, est / (whole + 1))
-    size = lambda a, b: int(weight(text[a:b]) * scale) + 1
     ends = [m.end() for m in _SENTENCE.finditer(text)]
     spaces = [m.end() for m in re.finditer(r"\s+", text)]
     # the running weight finds the farthest end within the limit
-    acc, run = [0.0], 0.0
-    for ch in text:
-        run += weight(ch)
-        acc.append(run)
-    from bisect import bisect_right
-
+    acc = np.concatenate(([0.0], np.cumsum(weights(text)))).tolist()
+    size = lambda a, b: int((acc[b] - acc[a]) * scale) + 1
     out, at, n = [], 0, len(text)
     while at < n:
         room = acc[at] + max((limit - 1) / scale, 0.0)
@@ -193,48 +194,52 @@ def cut(lines: list[str], ests: list[int], limit: int, overlap: int) -> list[dic
     span = lambda a, b: total[b] - total[a]
     if span(0, len(lines)) <= limit:
         return [{"first": 0, "last": len(lines) - 1, "start": None, "stop": None, "shared": 0, "est": span(0, len(lines))}]
-    reserve = 0
-    if overlap > 0:
-        short = [e if e <= limit // 4 else 0 for e in ests]
-        run = sum(short[:overlap])
-        reserve = run
-        for i in range(overlap, len(short)):
-            run += short[i] - short[i - overlap]
-            reserve = max(reserve, run)
-        reserve = min(reserve, limit // 2)
-    core = max(1, limit - reserve)
-
-    # units: (first line, end line, start, stop, est), in order
-    def pack(node: Node) -> list[tuple]:
+    out: list[dict] = []
+    first, end, room, used, share = 0, 0, limit, 0, (0, 0)  # the open piece: lines first..end, its own size and what it shares
+
+    def shared_before(i: int) -> tuple[int, int]:
+        """What a piece that begins with line ``i`` shares with the piece before: the lines that fit beside line ``i``."""
+        if end > first:
+            low = first - share[0]
+        elif out and out[-1]["start"] is None:
+            low = out[-1]["first"]
+        else:
+            return 0, 0
+        n, size = 0, 0
+        while n < overlap and i - n - 1 >= low and ests[i] + size + ests[i - n - 1] <= limit:
+            n += 1
+            size += ests[i - n]
+        return n, size
+
+    def close() -> None:
+        nonlocal first, used
+        if end > first:
+            out.append({"first": first - share[0], "last": end - 1, "start": None, "stop": None, "shared": share[0], "est": used + share[1]})
+        first, used = end, 0
+
+    # Nodes in order, without recursion: siblings are merged into the open piece while they fit; one that fits a new piece
+    # begins it; only a node too large for a piece of its own is descended into.
+    todo = [tree(lines)]
+    while todo:
+        node = todo.pop()
         size = span(node.start, node.end)
-        if size <= core:
-            return [(node.start, node.end, None, None, size)]
-        if not node.kids or len(node.kids) == 1 and not node.kids[0].kids and node.end - node.start == 1:
-            if size <= limit:
-                return [(node.start, node.end, None, None, size)]
-            return [(node.start, node.end, a, b, e) for a, b, e in _line_parts(lines[node.start], ests[node.start], limit)]
-        units: list[tuple] = []
-        for kid in node.kids:
-            for u in pack(kid):
-                v = units[-1] if units else None
-                if v and v[2] is None and u[2] is None and v[4] + u[4] <= core:
-                    units[-1] = (v[0], u[1], None, None, v[4] + u[4])
-                else:
-                    units.append(u)
-        return units
-
-    import sys
-
-    sys.setrecursionlimit(max(10_000, sys.getrecursionlimit()))
-    out, before = [], 0
-    for first, end, start, stop, est in pack(tree(lines)):
-        shared = 0
-        if out and start is None and out[-1]["start"] is None:
-            while shared < overlap and first - shared - 1 >= before and est + ests[first - shared - 1] <= limit:
-                shared += 1
-                est += ests[first - shared]
-        before = first - shared
-        out.append({"first": before, "last": end - 1, "start": start, "stop": stop, "shared": shared, "est": est})
+        if used + size <= room and end > first:
+            end, used = node.end, used + size
+            continue
+        before = shared_before(node.start)
+        if size + before[1] <= limit:
+            close()
+            share, room = before, limit - before[1]
+            end, used = node.end, size
+        elif node.kids:
+            todo.extend(reversed(node.kids))
+        elif node.end - node.start > 1:
+            todo.extend(reversed(_leaves(node.start, node.end)))
+        else:
+            close()
+            out += [{"first": node.start, "last": node.start, "start": a, "stop": b, "shared": 0, "est": e} for a, b, e in _line_parts(lines[node.start], ests[node.start], limit)]
+            first = end = node.end
+    close()
     return out
 
 

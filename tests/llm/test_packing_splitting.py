@@ -118,6 +118,36 @@ def test_cut_covers_everything():
         covers(lines, ests, rnd.choice([8, 30, 100]), rnd.choice([0, 1, 3]))
 
 
+def brute_overlap(pieces, ests, limit, overlap):
+    """Whether every border between whole lines shares as many lines as fit beside the next line."""
+    for a, b in zip(pieces, pieces[1:]):
+        if a["start"] is not None or b["start"] is not None:
+            continue
+        new, most, size = b["first"] + b["shared"], 0, 0
+        while most < overlap and new - most - 1 >= a["first"] and ests[new] + size + ests[new - most - 1] <= limit:
+            most += 1
+            size += ests[new - most]
+        assert b["shared"] == most
+
+
+def test_overlap_is_what_fits():
+    pieces = covers(["x"] * 40, [60] * 40, 200, 2)
+    assert all(p["shared"] == 2 for p in pieces[1:])
+    rnd = random.Random(8)
+    for _ in range(300):
+        limit, overlap = rnd.choice([50, 200]), rnd.choice([1, 2, 5])
+        lines = [rnd.choice(["# Head", "- item", "  - deep", "text", ""]) for _ in range(rnd.randrange(1, 60))]
+        ests = [rnd.choice([1, limit // 5, limit // 3, limit // 2, limit]) for _ in lines]
+        brute_overlap(covers(lines, ests, limit, overlap), ests, limit, overlap)
+
+
+def test_deep_nesting_is_linear():
+    lines = [" " * k + "- item" for k in range(4000)]
+    assert len(covers(lines, [5] * 4000, 100, 1)) > 200
+    lines = ["#" * (1 + k % 6) + " Head" for k in range(4000)]
+    assert len(covers(lines, [5] * 4000, 100, 1)) > 200
+
+
 def test_cut_keeps_sections_whole():
     lines = ["# A", ""] + ["alpha beta gamma."] * 4 + ["", "# B", ""] + ["delta epsilon."] * 4 + ["", "# C", ""] + ["zeta eta."] * 4
     ests = [10] * len(lines)
