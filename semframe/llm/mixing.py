@@ -1,37 +1,43 @@
 """Mixing sources to target weights.
 
 Method: *hash-threshold histograms*.  Every document has a fixed hash; a source's budget is met by all documents below a
-threshold.  Tokens are summed by source and hash bucket, a prefix sum finds the bucket in which the budget ends, and only
-that bucket is summed again by the next bits of the hash, until it holds one document.  The mix is then a filter on
-``hash < threshold``: nothing is sorted or ranked.  Where the document at the threshold is large, it is passed over and
-the threshold moves on, so a few very long documents do not spoil a small share.
+threshold.  Tokens are summed by source and hash bucket in one shuffle, a prefix sum finds the bucket in which the budget ends,
+and only that bucket is summed again by the next bits of the hash.  From the threshold on, documents are taken in order of
+their hash, each if it still fits, until the budget is met to one in a thousand or no document is left; so a few very long
+documents do not spoil a small share.  The mix is then a filter on hash ranges: nothing is sorted or ranked.
 
-A source is used ``q`` whole times plus the documents below its threshold once more, so no document exceeds
-``max_repeats``.  Without a ``budget`` the mix is the largest that keeps all shares exact.
+A source is used ``q`` whole times plus the documents of its hash ranges once more, so no document exceeds ``max_repeats``.
+Without a ``budget`` the mix is the largest that keeps all shares exact.
+
+Scale: the full table is read to write the token counts, to sum the buckets, to fetch the documents at the thresholds, and for
+the result.  Sources and targets stay in tables of one row per source; the driver gets one number.
 
 Defined cases
 -------------
 * null and empty texts have no tokens and are not used; a null source, or one without a target, is not used (0);
 * a target whose source has no tokens gets share 0, the others keep their proportions;
-* a target that is null or not positive, or allows no repeats, is not used;
+* a target that is null or not positive, or allows no repeats, is not used; of targets of one source the largest counts;
 * repeated documents count as documents of their own; rows with the same id share their fate;
 * an empty table gives no uses and shares of 0.
 """
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semframe.llm.tokens import VOCAB_DIR, token_count
 from semframe.session import durable
 
-#: Bits of the hash that one pass resolves, and bits of the hash in all.
+#: Bits of the hash that one level of buckets resolves, and bits of the hash in all.
 LEVEL_BITS, HASH_BITS = 12, 60
-#: The targets are held by the driver: one row per source that has a target.
-MAX_TARGETS = 10_000
+#: A source's budget is met to this share.
+CLOSE_ENOUGH = 0.001
+#: Buckets beyond the one in which a budget ends are fetched until they hold so many documents; if these do not meet the
+#: budget, the next ones are fetched, so this changes the number of rounds and never the result.
+FETCHED = 1024
+RANGES = "array<struct<a:bigint,z:bigint>>"
 
 
 def hash60(key: Column, seed: int = 0) -> Column:
@@ -47,100 +53,106 @@ def sizes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     )
 
 
-#: A source's budget is refined until it is met to this share, or so many documents have been passed over.
-CLOSE_ENOUGH, PASSED_OVER = 0.001, 8
-
-
-def _boundaries(sizes: DataFrame, need: dict[str, float], start: dict[str, int]) -> dict[str, tuple[int, int, float]]:
-    """For each source ``(h, t, left)``: from ``start`` on, all documents below hash ``h`` fit ``need`` and leave ``left``;
-    the document at ``h`` has ``t`` tokens and does not fit.  ``t`` is 0 where all documents fit."""
-    need, low, done = dict(need), {s: 0 for s in need}, {}
-    shift = HASH_BITS
-    while need and shift > 0:
-        shift -= LEVEL_BITS
-        span = 1 << (shift + LEVEL_BITS)
-        inside = F.lit(False)
-        for s in need:
-            inside |= (F.col("source") == s) & F.col("h").between(max(low[s], start[s]), low[s] + span - 1)
-        want = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(x))) for s, x in need.items()])
-        bins = (
-            sizes.where(inside & (F.col("n_tokens") > 0))
-            .groupBy("source", F.shiftright("h", shift).alias("bin"))
-            .agg(F.sum("n_tokens").alias("t"), F.min("h").alias("first"), F.max("h").alias("last"))
+def _region(docs: DataFrame, live: DataFrame, shift: int, bins: DataFrame | None = None) -> DataFrame:
+    """Per source of ``live(source, need, start)``: ``lo, hi, below``: the hash range of the bucket in which ``need`` ends, with as
+    many further buckets as hold ``FETCHED`` documents, and the tokens before it.  ``lo`` is null where all documents fit."""
+    if bins is None:
+        bins = docs.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    per_source = Window.partitionBy("source").orderBy("bin")  # rows are buckets, at most as many as the level has
+    upto = bins.join(live, "source").withColumn("upto", F.sum("t").over(per_source))
+    over = upto.withColumn("_from", F.when(F.col("upto") > F.col("need"), F.col("n")).otherwise(0)).withColumn("seen", F.sum("_from").over(per_source) - F.col("_from"))
+    inside = (F.col("upto") > F.col("need")) & (F.col("seen") < FETCHED)
+    return over.groupBy("source").agg(
+        F.shiftleft(F.min(F.when(inside, F.col("bin"))), shift).alias("lo"),
+        F.shiftleft(F.max(F.when(inside, F.col("bin"))) + 1, shift).alias("hi"),
+        F.coalesce(F.min(F.when(inside, F.col("upto") - F.col("t"))), F.max("upto")).alias("below"),
+    )
+
+
+def _greedy(close: float):
+    """Documents in order of their hash, each taken if it still fits: ``(source, ranges, need)`` left."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h", kind="stable")
+        left, tolerance = float(rows["left"].iloc[0]), float(rows["goal"].iloc[0]) * close
+        ranges: list[list[int]] = []
+        # rows with the same hash share their fate
+        hs, ts = rows["h"].to_numpy(), rows["n_tokens"].to_numpy()
+        i = 0
+        while i < len(hs) and left > tolerance:
+            j, t = i, 0
+            while j < len(hs) and hs[j] == hs[i]:
+                t += int(ts[j])
+                j += 1
+            if t <= left + tolerance:
+                left -= t
+                # no document lies between two neighbours, so their ranges are one
+                if ranges and ranges[-1][2] == i:
+                    ranges[-1][1:] = [int(hs[i]) + 1, j]
+                else:
+                    ranges.append([int(hs[i]), int(hs[i]) + 1, j])
+            i = j
+        return pd.DataFrame({"source": [key[0]], "more": [[{"a": a, "z": z} for a, z, _ in ranges]], "left": [left]})
+
+    return run
+
+
+def plan_mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:
+    """``source, whole, ranges`` of each target: whole uses, and the hash ranges used once more; ``sizes`` as from ``sizes_of``."""
+    good = (
+        targets.where("source is not null and target_share > 0 and max_repeats > 0")
+        .groupBy("source").agg(F.max(F.struct(F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("reps"))).alias("m"))
+        .select("source", "m.*")
+    )
+    docs = sizes.where("n_tokens > 0 and source is not null").select("source", "h", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    shift = HASH_BITS - LEVEL_BITS
+    bins = durable(docs.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")))
+    live = good.join(bins.groupBy("source").agg(F.sum("t").alias("total")), "source")
+    most = live.agg(F.min(F.col("reps") * F.col("total") / F.col("share")).alias("m")).collect()[0]["m"] or 0.0  # one number
+    want = F.lit(most if budget is None else min(float(budget), most)) * F.col("share")
+    rest = F.col("want") - F.col("whole") * F.col("total")
+    now = durable(
+        live.withColumn("want", want).withColumn("whole", F.least("reps", F.floor(F.col("want") / F.col("total") + 1e-9)))
+        .withColumn("need", F.when((F.col("whole") < F.col("reps")) & (rest > 0.5), rest).otherwise(0.0))
+        .select("source", "whole", "need", F.col("need").alias("goal"), F.lit(0).cast("bigint").alias("start"), F.array().cast(RANGES).alias("ranges"))
+    )
+    while True:
+        live = now.where(F.col("need") > F.col("goal") * CLOSE_ENOUGH).select("source", "need", "goal", "start")
+        if live.isEmpty():
+            return now.select("source", "whole", "ranges")
+        ahead = docs.join(live, "source").where(F.col("h") >= F.col("start")).select("source", "h", "n_tokens")
+        first = durable(_region(ahead, live, shift, bins))
+        bins = None  # of later rounds: only documents from where the last one ended
+        # the documents of the boundary buckets, and within them the next bits
+        inside = durable(docs.join(first.where("lo is not null"), "source").join(live.select("source", "start"), "source").where("h >= lo and h < hi and h >= start").select("source", "h", "n_tokens"))
+        left = live.join(first.select("source", "below"), "source").select("source", (F.col("need") - F.col("below")).alias("need"), "goal", "start")
+        fine = _region(inside, left, shift - LEVEL_BITS).withColumnRenamed("below", "more_below")
+        at = left.join(fine.select("source", F.col("lo").alias("from"), F.col("hi").alias("to"), "more_below"), "source")
+        chosen = (
+            inside.join(at, "source").where(F.col("h").between(F.col("from"), F.col("to") - 1))
+            .select("source", "h", "n_tokens", (F.col("need") - F.col("more_below")).alias("left"), "goal")
+            .groupBy("source").applyInPandas(_greedy(CLOSE_ENOUGH), f"source string, more {RANGES}, left double")  # documents at one threshold
+        )
+        ends = first.join(at.select("source", "from", "to"), "source", "left").join(chosen, "source", "left")
+        big = F.lit(1 << HASH_BITS)
+        below = F.struct(F.col("start").alias("a"), F.coalesce("from", big).alias("z"))
+        now = durable(
+            now.join(ends, "source", "left").select(
+                "source", "whole", "goal",
+                F.when(F.col("below").isNull(), F.col("ranges")).otherwise(F.concat("ranges", F.array(below), F.coalesce("more", F.array().cast(RANGES)))).alias("ranges"),
+                # no source is asked for more documents than it has
+                F.when(F.col("below").isNull(), 0.0).when(F.col("from").isNull(), 0.0).otherwise(F.col("left")).alias("need"),
+                F.coalesce("to", F.col("start")).alias("start"),
+            )
         )
-        per_source = Window.partitionBy("source")  # at most 2**LEVEL_BITS rows a source
-        upto = F.sum("t").over(per_source.orderBy("bin"))
-        # the bucket in which the budget ends, and where there is none what all buckets add up to
-        ends = bins.withColumn("upto", upto).withColumn("all", F.sum("t").over(per_source))
-        ends = ends.where(((F.col("upto") > want) & (F.col("upto") - F.col("t") <= want)) | ((F.col("all") <= want) & (F.col("upto") == F.col("all"))))
-        found = {r["source"]: r for r in ends.collect()}  # one row per source
-        for s in list(need):
-            r = found.get(s)
-            if r is None or r["upto"] <= need[s]:
-                done[s] = (low[s] + span, 0, need[s] - (r["upto"] if r else 0))
-                del need[s]
-                continue
-            need[s] -= r["upto"] - r["t"]
-            low[s] = r["bin"] << shift
-            if r["first"] == r["last"] or shift == 0:
-                done[s] = (r["first"], r["t"], need[s])
-                del need[s]
-    return done
-
-
-def _intervals(sizes: DataFrame, rest: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """For each source the hash ranges ``from <= h < to`` whose tokens add up to ``rest``: one threshold, less the few
-    documents below it that are larger than what was still wanted when they came up."""
-    out: dict[str, list[tuple[int, int]]] = {s: [] for s in rest}
-    need, start = dict(rest), {s: 0 for s in rest}
-    for k in range(PASSED_OVER + 1):
-        live = {s: x for s, x in need.items() if x > CLOSE_ENOUGH * rest[s]}
-        if not live:
-            break
-        for s, (h, t, left) in _boundaries(sizes, live, start).items():
-            over = t - left
-            take = t > 0 and over < left and (k == PASSED_OVER or over <= CLOSE_ENOUGH * rest[s])
-            out[s].append((start[s], h + 1 if take else h))
-            start[s] = h + 1
-            need[s] = 0.0 if take or t == 0 else left
-    return out
-
-
-def plan_mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -> list[tuple[str, int, list[tuple[int, int]]]]:
-    """``(source, whole uses, hash ranges used once more)`` of each target; ``sizes`` as from ``sizes_of``."""
-    wanted = targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(MAX_TARGETS + 1).collect()
-    if len(wanted) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    good = {r["source"]: r for r in wanted if r["source"] is not None and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
-    totals = {
-        r["source"]: r["t"]
-        for r in sizes.where(F.col("source").isin(list(good)) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()
-    }
-    live = {s: r for s, r in good.items() if totals.get(s)}
-    most = min((r["max_repeats"] * totals[s] / r["target_share"] for s, r in live.items()), default=0.0)
-    whole, rest = {}, {}
-    size = most if budget is None else min(budget, most)
-    for s, r in live.items():
-        want = size * r["target_share"]
-        q = min(r["max_repeats"], math.floor(want / totals[s] + 1e-9))
-        whole[s] = q
-        if q < r["max_repeats"] and (left := want - q * totals[s]) > 0.5:
-            rest[s] = left
-    more = _intervals(sizes, rest)
-    return [(s, q, more.get(s, [])) for s, q in whole.items()]
 
 
 def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:
-    """``key, source, n_tokens, uses`` of every document: a projection, without a join or a sort."""
+    """``key, source, n_tokens, uses`` of every document: one join with a row per source, and no sort."""
     plan = plan_mix(sizes, targets, budget)
-    uses = F.lit(0)
-    for s, q, ranges in plan:
-        once_more = F.lit(False)
-        for a, b in ranges:
-            once_more |= (F.col("h") >= a) & (F.col("h") < b)
-        uses = F.when(F.col("source") == s, F.lit(q) + F.when(once_more, 1).otherwise(0)).otherwise(uses)
-    uses = F.when(F.col("n_tokens") > 0, uses).otherwise(0)
-    return sizes.select("key", "source", "n_tokens", uses.cast("int").alias("uses"))
+    once_more = F.when(F.exists("ranges", lambda r: (F.col("h") >= r["a"]) & (F.col("h") < r["z"])), 1).otherwise(0)
+    uses = F.when((F.col("n_tokens") > 0) & F.col("whole").isNotNull(), F.col("whole") + once_more).otherwise(0)
+    return sizes.join(plan, "source", "left").select("key", "source", "n_tokens", uses.cast("int").alias("uses"))
 
 
 def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
