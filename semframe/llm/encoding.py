@@ -2,7 +2,7 @@
 
 Method: for each legacy encoding, characters are mapped *back to bytes*, a *byte-structure automaton* finds the maximal
 well-formed multibyte spans among them, and only those spans are decoded; this repeats while it finds something, so text
-damaged twice comes back too.  A span counts if it decodes to a character that texts hold, and if it is not something a
+damaged any number of times comes back too.  A span counts if it decodes to a character that texts hold, and if it is not something a
 sound text may show by chance (a capital before a closing quote, say, or two box-drawing characters).
 
 A single-byte text read as another single-byte encoding has no multibyte structure.  There the same maps are used, and
@@ -34,7 +34,9 @@ from semframe.session import durable
 BESIDE = 48
 #: A word that the corpus uses in fewer documents is no evidence, nor one used less than so many times the damaged form.
 MIN_DOCS, MIN_RATIO = 2, 3
-PASSES = 4
+#: How damage is found: the byte automaton; its look-alike for text in lower case; letters of another script; words of the
+#: corpus; bytes that were lost.
+AUTOMATON, LOWER, SCRIPT, WORDS, LOST = "automaton", "lower case", "script", "words", "lost bytes"
 
 # Names of encodings.  Text of MULTIBYTE structure read by one of these comes back by its bytes alone.
 READ_AS = ("w1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "iso8859_2", "koi8_r", "cp866", "cp852")
@@ -401,10 +403,10 @@ def _line_script(line: str, first: bool = False) -> tuple[str, str, str] | None:
             done = _wide_line(line, best[1])
             if done:
                 return done, best[1], "w1252"
-    if (line.count("‚") >= 3 or sum(c in "\u0081\u0082\u0083" for c in line) >= 3) and not _well_formed(line):
+    if (line.count("‚") >= 3 or sum(c in "\u0081\u0082\u0083" for c in line) >= 3) and not _well_formed(line) and not _mostly_spans(line):
         for true in ("cp932",):
             done = _wide_line(line, true)
-            if done and sum("\u3041" <= c <= "\u3096" for c in done) >= 4:
+            if done and sum("\u3041" <= c <= "\u3096" for c in done) >= 4 and _wide_score(done) >= 0.9 and not _CONTROLS.search(done):
                 return done, true, "w1252"
     words = _CYRILLIC_WORD.findall(line)
     if sum(map(len, words)) >= 6 and not (first and _RARE_CYRILLIC.search(line)):
@@ -427,6 +429,15 @@ def _line_script(line: str, first: bool = False) -> tuple[str, str, str] | None:
     return None
 
 
+_CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def _mostly_spans(line: str) -> bool:
+    """Whether well-formed multibyte spans make up most of the line's characters beyond ASCII: then it is no other encoding."""
+    spans = _narrow_spans(line, "w1252", _runs(line)).found
+    return sum(z - a for a, z, _ in spans) > 0.5 * sum(c > "\x7f" for c in line)
+
+
 def _well_formed(line: str) -> bool:
     """Whether the bytes of the line are UTF-8 throughout, as other multibyte text is not."""
     table = byte_of("w1252")
@@ -463,8 +474,17 @@ def _scripts(text: str, first: bool = False) -> tuple[str, str | None]:
 def examine(text: str) -> tuple[str | None, str | None]:
     """``(kind, restored)`` by the structure of the text alone; ``(None, None)`` for a text without such damage.
     ``restored`` is null where bytes were lost."""
+    return examined(text)[1:]
+
+
+def examined(text: str) -> tuple[str | None, str | None, str | None]:
+    """``(route, kind, restored)``: as ``examine``, with how the damage was found first."""
     now, kind = _scripts(text, first=True)
-    for _ in range(PASSES):
+    route = SCRIPT if kind else None
+    before: set[str] = set()
+    # each pass makes the text shorter, or comes back to one it has seen: there is no number of passes
+    while now not in before:
+        before.add(now)
         runs = _runs(now)
         best: tuple[tuple[int, int], str, list] | None = None
         if runs:
@@ -484,13 +504,19 @@ def examine(text: str) -> tuple[str | None, str | None]:
             best = (best[0], best[1], rest) if still else None  # evidence must remain without the deliberate ones
         if best is None:
             break
+        route = route or (AUTOMATON if best[1] in byte_names() else LOWER)
         kind = kind or f"utf-8 read as {best[1]}"
         now = _replace(now, best[2])
     now, script = _scripts(now)
-    kind = kind or script
+    route, kind = route or (SCRIPT if script else None), kind or script
+    sound = now if "\ufffd" not in now and len(_CONTROLS.findall(now)) <= len(_CONTROLS.findall(text)) else None
     if "\ufffd" in text and (kind or re.search("\\w\ufffd|\ufffd\\w|\ufffd\ufffd", text)):
-        return kind or "lost bytes", None if "\ufffd" in now else now
-    return (kind, now) if kind else (None, None)
+        return route or LOST, kind or LOST, sound
+    return (route, kind, sound) if kind else (None, None, None)
+
+
+def byte_names() -> tuple[str, ...]:
+    return READ_AS + READ_AS_WIDE
 
 
 # --- words -------------------------------------------------------------------------------------------------------------
@@ -537,9 +563,9 @@ def _examined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, text in zip(batch["key"], batch["text"]):
-            kind, restored = examine(text)
-            rows.append((key, kind, restored, [] if kind else mixed_words(text)))
-        yield pd.DataFrame(rows, columns=["key", "kind", "restored", "words"])
+            route, kind, restored = examined(text)
+            rows.append((key, route, kind, restored, [] if kind else mixed_words(text)))
+        yield pd.DataFrame(rows, columns=["key", "route", "kind", "restored", "words"])
 
 
 def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -559,16 +585,16 @@ def _reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if any(w in line for w in hits):
                     lines[i] = "".join(d if c > "\x7f" and c in table and (d := back.get(table[c], c)) > "\x9f" else c for c in line)
             out.append("\n".join(lines))
-        yield pd.DataFrame({"key": batch["key"], "kind": batch["pair"], "restored": out})
+        yield pd.DataFrame({"key": batch["key"], "route": WORDS, "kind": batch["pair"], "restored": out})
 
 
 def repair(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, kind, restored`` of every damaged row of ``docs``; ``restored`` is null where it cannot be recovered."""
+    """``key, route, kind, restored`` of every damaged row of ``docs``; ``restored`` is null where it cannot be recovered."""
     kind = dict(docs.dtypes)[key]
     some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7F]"))
     # read three times below: once written, most rows hold a few words
-    seen = durable(some.mapInPandas(_examined, f"key {kind}, kind string, restored string, words array<string>"))
-    by_structure = seen.where(F.col("kind").isNotNull()).select("key", "kind", "restored")
+    seen = durable(some.mapInPandas(_examined, f"key {kind}, route string, kind string, restored string, words array<string>"))
+    by_structure = seen.where(F.col("kind").isNotNull()).select("key", "route", "kind", "restored")
 
     of_doc = seen.where(F.col("kind").isNull()).select("key", F.explode("words").alias("word"))
     counted = of_doc.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -578,5 +604,5 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     good = readings.join(used, "reading").where((F.col("used") >= MIN_DOCS) & (F.col("used") >= MIN_RATIO * F.col("n"))).select("word", "pair", "place", "used")
     votes = of_doc.join(good, "word").groupBy("key", "pair", "place").agg(F.count(F.lit(1)).alias("hits"), F.sum("used").alias("used"), F.collect_set("word").alias("words"))
     chosen = votes.groupBy("key").agg(F.max(F.struct("hits", "used", "place", "pair", "words")).alias("v")).select("key", "v.pair", "v.words")
-    by_words = some.join(chosen, "key").select("key", "text", "pair", "words").mapInPandas(_reread, f"key {kind}, kind string, restored string")
+    by_words = some.join(chosen, "key").select("key", "text", "pair", "words").mapInPandas(_reread, f"key {kind}, route string, kind string, restored string")
     return by_structure.unionByName(by_words).withColumnRenamed("key", key)

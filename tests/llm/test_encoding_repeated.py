@@ -53,3 +53,24 @@ def test_romanian_by_box_drawings():
 def test_russian_twice_is_not_read_as_shift_jis():
     said = "Подскажите, кто отвечает за это с прошлой недели? Почему ссылка показывает 17 вместо 3120?"
     assert encoding.examine(damaged(said, "cp1252", 2)) == ("utf-8 read as w1252", said)
+
+
+@pytest.mark.parametrize("read", ["cp1252", "mac_roman", "cp437"])
+@pytest.mark.parametrize("times", [3, 6, 9])
+def test_any_number_of_readings(read, times):
+    text = "M\u00fcller \u00fcber Stra\u00dfe, d\u00e9j\u00e0 vu"
+    route, kind, back = encoding.examined(damaged(text, read, times))
+    assert route == encoding.AUTOMATON and back in (text, None)
+    if read == "cp1252":
+        assert back == text
+
+
+def test_no_restoration_with_controls():
+    said = "M\u00fcller \u00fcber Stra\u00dfe"
+    for times in range(1, 9):
+        for lose in ("replace", "ignore"):
+            text = said
+            for _ in range(times):
+                text = text.encode().decode("cp1252", lose)
+            back = encoding.examine(text)[1]
+            assert back is None or not any(c < " " for c in back)
