@@ -1,42 +1,52 @@
 """Linking the spellings of names that people typed: organisations and persons.
 
-Method: a spelling is read into a *core* (the name proper, or the family name) and a *qualifier* (the trade, or the given
-name).  Cores are compared, never rows: distinct cores collide by *MinHash banding over padded q-grams*, with bands and
-rows chosen from the collision curve for the recall wanted; candidates are verified by *Monge-Elkan similarity* over edit
-similarity; *star clustering* turns verified pairs into groups around the spelling most used, so that chains of typing
-errors do not run on.  Within a group, equal qualifiers make an entity; spellings without a full qualifier (no trade, only
-an initial, a nickname of several names, a core cut short) go to the one entity they can mean, told apart by what else is
-known of the account (legal form, the other name on it), and to none where that stays open.
-
-Scale: all stages work on distinct spellings with counts; a spelling of a third of all rows is one row here.  Groups are
-never collected: stars are found by joins in rounds, entities by aggregation.
-
-Defined cases: null, empty and placeholder names and names of departments have no entity; rows repeated whole count once;
-a name of which nothing is known but its core is an entity by that core; a text of any length is read.
+Method: *MinHash banding over padded q-grams*, with bands and rows from the collision curve for the recall wanted, proposes pairs
+of name parts; *Monge-Elkan similarity* over their words, so that the order and the spacing of words do not matter, verifies
+them; *star clustering* gathers them around the spelling most used, so that chains of typing errors do not run on.
+
+Which word of a name is the name proper, the *core* (of an organisation its own name, of a person the family name), and which
+is the *qualifier* (the trade, the given name) is told by the corpus: a qualifier stands beside many different words, a core
+beside few.  Where the corpus says nothing, usage does (``core trade``, ``given family``, ``family, given``).  There is no list
+of trades or given names.  Qualifiers that the corpus uses with very many names are also what short forms are read by:
+``Mfg.``, ``Pharma`` by their letters, familiar forms of given names by a list of general knowledge (``data/nicknames.txt``,
+a parameter).
+
+Accounts of one core and one qualifier name one entity; spellings without a full qualifier (none, only an initial, a form of
+several names, a core cut short) go to the one entity they can mean, told apart by what else is known of the account (legal
+form, the other name on it), and to none where that stays open.
+
+Scale: all stages work on distinct spellings and words with counts; a spelling of a third of all rows is one row here.  Within
+a bucket members are compared with its most used one, and only what then still stands alone is compared in pairs, so the many
+misspellings of one frequent name cost a row each.  Groups are never collected: stars are found by joins in rounds until none
+is left, entities by aggregation.
+
+Defined cases: null, empty and placeholder names and names of departments have no entity, nor has a given name alone; rows
+repeated whole count once; a name of which nothing is known but its core is an entity by that core; a name of any length is
+read, cores of one letter included.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semframe.session import durable
 
 # --- fixed values ------------------------------------------------------------------------------------------------------
 PLACEHOLDERS = set("|-|--|n/a|na|none|null|nil|tbd|tba|unknown|unbekannt|test|test account|x|xx|xxx|?|.|not available|no name|anonymous|dummy".split("|"))
+# words of which the names of departments and functions are made, and those of which one is enough
 DEPARTMENT = set(
     "desk helpdesk team dept department payable receivable accounts office support sales reception purchasing procurement service services"
-    " admin administration hr info billing finance accounting marketing legal operations it staff switchboard secretary customer care".split()
+    " admin administration hr info billing finance accounting marketing legal operations it staff switchboard secretary customer care front".split()
 )
-# any of these makes a name the name of a department
 DEPARTMENT_SURE = set("desk helpdesk team dept department payable receivable purchasing procurement reception switchboard accounting".split())
 TITLES = set("mr mrs ms miss mx dr prof professor ing dipl sir dame herr frau attn attention sr sra mme mlle rev hon phd msc mba jr md".split())
 LEGAL = {
@@ -44,35 +54,20 @@ LEGAL = {
     "gmbh": "gmbh", "ag": "ag", "ab": "ab", "sa": "sa", "sarl": "sarl", "bv": "bv", "nv": "nv", "pty": "pty", "plc": "plc", "oy": "oy", "as": "as",
     "srl": "srl", "spa": "spa", "kg": "kg", "llp": "llp", "lp": "lp", "kk": "kk", "sas": "sas",
 }
-TRADES = (
-    "analytics brewery ceramics consulting electronics engineering foods insurance international logistics manufacturing pharmaceuticals"
-    " publishing robotics shipyards textiles holdings group solutions systems technologies media software partners ventures energy chemicals construction"
-).split()
-TRADE_SHORT = {"mfg": "manufacturing", "intl": "international", "int": "international", "fds": "foods", "brwy": "brewery", "pharma": "pharmaceuticals", "txtl": "textiles", "robotix": "robotics"}
 FILLERS = {"the", "and", "of", "branch", "und", "et", "y"}
-# given name: short forms
-GIVEN = {
-    "alexander": "alex xander sasha alec sandy", "amara": "", "anthony": "tony ant", "benjamin": "ben benny benji", "charlotte": "charlie lottie lotte",
-    "christopher": "chris topher kit", "daniel": "dan danny", "deborah": "deb debbie debby", "dorothea": "dora thea dot dottie dorothy", "edward": "ed eddie ted ned teddy",
-    "efua": "", "elizabeth": "beth betty liz lizzie eliza bess", "francesca": "fran chesca frankie", "francisco": "paco pancho fran frank cisco", "frederick": "fred freddie freddy",
-    "gabriel": "gabe", "gregory": "greg", "guadalupe": "lupe lupita", "henrietta": "etta hettie hattie", "hiroko": "", "hugo": "", "ignacio": "nacho iggy", "imre": "",
-    "ines": "", "james": "jim jimmy jamie", "johannes": "hannes jo johan", "katherine": "kate katie kathy kit kitty kat", "kofi": "", "lars": "", "leonardo": "leo nardo lenny",
-    "margaret": "meg maggie peggy marge", "maximilian": "max", "michael": "mike mick mickey micky", "nicholas": "nick nicky", "noor": "", "olga": "", "oluwaseun": "seun",
-    "patricia": "pat patty trish tricia", "philippa": "pippa pip", "quentin": "", "rebecca": "becky becca", "richard": "dick rick richie ricky rich", "robert": "rob bob bobby robbie",
-    "samuel": "sam sammy", "susan": "sue susie suzy", "theodore": "ted teddy theo", "thomas": "tom tommy", "ulrike": "ulla rike", "uma": "", "valentina": "val tina",
-    "victoria": "vicky tori vic", "wanjiru": "", "william": "bill will liam billy", "xiomara": "", "yekaterina": "katya", "yusuf": "", "zachary": "zach zack", "zofia": "zosia",
-    "joseph": "joe", "jennifer": "jen jenny", "jessica": "jess", "matthew": "matt", "andrew": "andy drew", "joshua": "josh", "stephen": "steve", "peter": "pete",
-    "david": "dave", "jonathan": "jon", "timothy": "tim", "barbara": "barb", "pamela": "pam", "cynthia": "cindy", "maria": "", "anna": "annie",
-}
-NICK: dict[str, set[str]] = {}
-for _g, _short in GIVEN.items():
-    for _n in (_g, *_short.split()):
-        NICK.setdefault(_n, set()).add(_g)
+NICKNAMES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data", "nicknames.txt")
 
-#: q of the padded q-grams; similarity at which a pair of cores must collide, and how surely.
+#: q of the padded q-grams; similarity at which a pair must collide, and how surely.
 Q, RECALL_AT, RECALL = 3, 0.45, 0.96
-#: Monge-Elkan similarity from which two cores are spellings of one name.
+#: Words up to this length are below the curve after one error (a swap in six letters leaves a quarter of the q-grams), so
+#: they also collide by what is left when one letter is taken out, which finds every single error.
+SHORT = 12
+#: Monge-Elkan similarity from which two names are spellings of one.
 SIMILAR = 0.8
+#: A word is a qualifier of the corpus from so many different neighbours on, and from the root of the most that any word has.
+LEAST_NEIGHBOURS = 8
+#: A word with this share of another's neighbours is a word of its own, not a misspelling of it.
+OWN_WORD = 0.1
 
 
 # --- similarity --------------------------------------------------------------------------------------------------------
@@ -111,17 +106,29 @@ def edit_similarity(a: str, b: str) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
-    """Mean over the tokens of one name of their best match in the other; the smaller of both directions."""
+    """Mean over the words of one name of their best match in the other, each word weighing its letters; the smaller of both
+    directions."""
     if not a or not b:
         return 0.0
-    one = sum(max(edit_similarity(x, y) for y in b) for x in a) / len(a)
-    two = sum(max(edit_similarity(x, y) for x in a) for y in b) / len(b)
+    best = [[edit_similarity(x, y) for y in b] for x in a]
+    one = sum(len(x) * max(row) for x, row in zip(a, best)) / sum(map(len, a))
+    two = sum(len(y) * max(row[j] for row in best) for j, y in enumerate(b)) / sum(map(len, b))
     return min(one, two)
 
 
+def same_name(a: str, b: str) -> float:
+    """Monge-Elkan similarity of two names of words between blanks, or, if that is more, of the names written in one word."""
+    x, y = a.split(" "), b.split(" ")
+    one, two = "".join(x), "".join(y)
+    # written in one word a name has about as many letters: a whole word more or less is another name
+    if len(x) == len(y) == 1 or abs(len(one) - len(two)) >= min(map(len, x + y)):
+        return monge_elkan(x, y)
+    return max(monge_elkan(x, y), monge_elkan([one], [two]))
+
+
 # --- reading a spelling ------------------------------------------------------------------------------------------------
 _LEET = str.maketrans("01345", "oieas")
-_TRAIL = re.compile(r"\s*(?:\([^)]*\)|\[[^\]]*\]|\s[-–—/|]\s.*|\bext\.?\s*\d+)\s*$", re.I)
+_TRAIL = re.compile(r"\s*(?:\(([^)]*)\)|\[([^\]]*)\]|\s[-–—/|]\s(.*)|\bext\.?\s*\d+)\s*$", re.I)
 
 
 def _plain(s: str) -> str:
@@ -129,181 +136,91 @@ def _plain(s: str) -> str:
 
 
 def _tokens(s: str) -> list[tuple[str, bool, str]]:
-    """``(lower token, ends in a full stop, as typed)``; dotted and spaced single letters stay single."""
+    """``(lower word, ends in a full stop, as typed)``; capitals within a word begin a new one, hyphens do not."""
     s = re.sub(r"(?<=[a-z]{2})(?=[A-Z][a-z])", " ", s)
     s = re.sub(r"['’`]", "", s)
     s = re.sub(r"(?<=\w)[-‐](?=\w)", "", s)
     out = []
     for m in re.finditer(r"[^\W_]+", s):
         t = m.group()
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t):
+        if any(c.isdigit() for c in t) and sum(c.isalpha() for c in t) > 1:
             t = t.translate(_LEET)
-        out.append((t.lower(), s[m.end() : m.end() + 1] == "." and (m.end() + 1 == len(s) or not s[m.end() + 1].isalnum()), t))
+        out.append((t.lower(), s[m.end() : m.end() + 1] == ".", t))
     return out
 
 
-def _cut_trails(s: str) -> str:
-    s = " ".join(s.split())
-    while (t := _TRAIL.sub("", s)) != s and t:
-        s = t
-    return s
-
-
-@lru_cache(maxsize=50_000)
-def trade_of(token: str) -> str | None:
-    """The trade that a token writes in full, short or with a typing error."""
-    if token in TRADE_SHORT:
-        return TRADE_SHORT[token]
-    if len(token) < 3:
-        return None
-    for t in TRADES:
-        if token == t or (t.startswith(token) and len(token) >= 3):
-            return t
-    for t in TRADES:  # vowels left out
-        if token[0] == t[0] and len(token) <= 0.8 * len(t) and sum(c in "aeiou" for c in token) <= 1 + len(token) // 5:
-            at = iter(t)
-            if all(c in at for c in token):
-                return t
-    best = None
-    for t in TRADES:
-        most = 2 if len(token) >= 7 else 1 if len(token) >= 4 else 0
-        if most and (d := edits(token, t, most)) <= most and (best is None or d < best[0]):
-            best = (d, t)
-    if best is None and len(token) >= 5:  # a short form with a typing error
-        for t in TRADES:
-            if token[:2] == t[:2] and edits(token, t[: len(token)], 1) <= 1:
-                return t
-    return best[1] if best else None
-
-
-@lru_cache(maxsize=50_000)
-def given_of(token: str) -> tuple[str, ...]:
-    """The given names a token may stand for."""
-    if token in NICK:
-        return tuple(sorted(NICK[token]))
-    if len(token) < 3:
-        return ()
-    most = 2 if len(token) >= 8 else 1
-    best, found = most + 1, set()
-    for n, names in NICK.items():
-        if len(n) >= min(4, len(token)) and (d := edits(token, n, most)) <= most:
-            if d < best:
-                best, found = d, set()
-            if d == best:
-                found |= names
-    return tuple(sorted(found))
-
-
-@lru_cache(maxsize=50_000)
-def _glued(token: str) -> tuple[str, str] | None:
-    """Name and trade of a token that writes both without a space."""
-    for k in range(5, len(token) - 3):
-        tail = token[k:]
-        if len(tail) == 4 and tail[-1] in "aeiou":  # as a name may end
-            continue
-        for t in TRADES:
-            if t.startswith(tail):
-                return token[:k], t
-    return None
+def _cut_trails(s: str) -> tuple[str, list[str]]:
+    """A name without remarks at its end (in brackets, after a dash or slash), and their words."""
+    s, said = " ".join(s.split()), []
+    while (m := _TRAIL.search(s)) and m.start() > 0:
+        said += [t for t, _, _ in _tokens(" ".join(x for x in m.groups() if x))]
+        s = s[: m.start()]
+    return s, said
 
 
 def read_organisation(raw: str | None) -> dict | None:
-    """``core, cut, options, initial, side``: name, whether it is cut short, its trade if given, "", its legal form."""
+    """``words`` (each with whether it ends in a full stop), ``family`` (1 if the first word is turned round with a comma, else -1),
+    ``side`` (its legal form), ``remarks``; None for a placeholder."""
     if raw is None or _plain(raw).strip().lower() in PLACEHOLDERS:
         return None
-    whole = " ".join(_plain(raw).split())
-    s = re.sub(r"(?i)\s+[^\W\d_]+\s+branch$", "", whole)
-    branch = s != whole
-    s = _cut_trails(s)
+    s, remarks = _cut_trails(_plain(raw))
     s = re.sub(r"\b((?:\w\.\s?){2,4})(?=\W|$)", lambda m: m[1].replace(".", "").replace(" ", "") + " ", s)  # G.m.b.H., S. A.
-    s = re.sub(r"\b([Ss]) ([Aa])\b", r"\1\2", s)
-    groups: list[list[tuple[str, bool]]] = []  # neighbouring words that are neither trade nor legal form: a name written apart
-    trade, legal, apart = None, "", True
-    for t, stop, _ in _tokens(s):
-        if t in FILLERS:
-            continue
-        if t in LEGAL and groups:
-            legal, apart = legal or LEGAL[t], True
-            continue
-        if found := trade_of(t) if len(t) <= 17 else None:
-            trade, apart = trade or found, True
-            continue
-        if trade is None and (split := _glued(t)):
-            t, trade = split
-        if apart:
-            groups.append([])
-        groups[-1].append((t, stop))
-        apart = False
-    if not groups:
-        return None
-    words = max(groups, key=lambda g: sum(len(t) for t, _ in g))
-    if branch and len(words) > 1 and len(words[0][0]) >= 9:  # the first word of a place of two
-        words = words[:1]
-    core = "".join(t for t, _ in words)
-    if len(core) < 3:
-        return None
-    return {"core": core, "cut": words[-1][1] and len(core) <= 9, "options": [trade] if trade else [], "initial": "", "side": legal}
+    s = re.sub(r"\b(\w(?: \w){1,3})\b", lambda m: m[1].replace(" ", ""), s)  # S A
+    words, side, toks = [], "", _tokens(s)
+    if len(toks) > 2 and toks[-1][0] == "branch":  # the word before is a place; if three are left, the last may belong to it
+        remarks.append(toks[-2][0])
+        toks = toks[:-2]
+        if len(toks) > 2:
+            remarks.append(toks[-1][0])
+    for t, stop, _ in toks:
+        if t in LEGAL and words:
+            side = side or LEGAL[t]
+        elif t not in FILLERS:
+            words.append((t, stop))
+    # turned round: one word, a comma, the name
+    before = [t for t, _, _ in _tokens(s.split(",", 1)[0])] if "," in s else []
+    turned = len(before) == 1 and len(words) > 1
+    return {"words": words, "family": 1 if turned else -1, "initial": "", "side": side, "remarks": remarks} if words else None
 
 
 def read_person(raw: str | None) -> dict | None:
-    """``core, cut, options, initial, side``: family name, whether it is cut short, possible given names, initial, ""."""
+    """``words``, ``family`` (which of them is marked as the family name, else -1), ``initial`` of the given name if there is
+    only that, ``remarks``; None for a placeholder or department."""
     if raw is None or _plain(raw).strip().lower() in PLACEHOLDERS:
         return None
-    s = _cut_trails(_plain(raw))
-    if all(t in DEPARTMENT for t, _, _ in _tokens(s)) or any(t in DEPARTMENT_SURE for t, _, _ in _tokens(s)):
-        return None
-    swapped = bool(re.search(r"\b[a-z][A-Z]{2,}", s))
-    if swapped:
+    s, remarks = _cut_trails(_plain(raw))
+    if re.search(r"\b[a-z][A-Z]{2,}", s):
         s = s.swapcase()
-    family_first = bool(re.match(r"^[^,]*\w[^,]*,\s*\S", s))
+    comma = bool(re.match(r"^[^,]*\w[^,]*,\s*\S", s))
     toks = [x for x in _tokens(s.replace(",", " ")) if x[0] not in TITLES]
-    if len(toks) == 1 and len(toks[0][0]) >= 9:  # no space between the names
-        t = toks[0][0]
-        for k in range(min(len(t) - 5, 11), 3, -1):
-            if t[:k] in NICK:
-                toks = [(t[:k], False, t[:k]), (t[k:], toks[0][1], t[k:])]
-                break
-    if len(toks) == 1 and re.match(r"[A-Z][A-Z][a-z]", toks[0][2]):  # nor between an initial and the family name
+    if len(toks) == 1 and re.match(r"[A-Z][A-Z][a-z]", toks[0][2]):  # no space between an initial and the family name
         t, stop, typed = toks[0]
         toks = [(t[0], False, typed[0]), (t[1:], stop, typed[1:])]
+    if all(t in DEPARTMENT for t, _, _ in toks) or any(t in DEPARTMENT_SURE for t, _, _ in toks):
+        return None
     long = [x for x in toks if len(x[0]) > 1]
-    if not long or all(t in DEPARTMENT for t, _, _ in long):
+    if not long:
         return None
     initials = [t for t, _, _ in toks if len(t) == 1]
-    if len(long) == 1:
-        fam, options = long[0], ()
-        initial = initials[0] if initials else ""
-    else:
-        known = [given_of(t) for t, _, _ in long]
-        exact = [t in NICK for t, _, _ in long]
-        if family_first:
-            order = list(range(1, len(long)))
-        else:
-            order = sorted(range(len(long)), key=lambda i: (not exact[i], not known[i], i))
-            if not known[order[0]]:
-                upper = [x[2].isupper() for x in long]
-                order = list(range(1, len(long))) if upper[0] and not all(upper) else list(range(len(long)))
-        g = order[0]
-        rest = [x for i, x in enumerate(long) if i != g]
-        fam = max(rest, key=lambda x: len(x[0]))
-        options = known[g] or (long[g][0],)
-        initial = ""
-    if len(fam[0]) < 2:
-        return None
-    return {"core": fam[0], "cut": fam[1] and len(fam[0]) <= 9, "options": list(options), "initial": initial, "side": ""}
+    upper = [x[2].isupper() for x in long]
+    family = -1
+    if len(long) > 1:
+        family = 0 if comma else upper.index(True) if sum(upper) == 1 else -1
+    return {"words": [(t, stop) for t, stop, _ in long], "family": family, "initial": initials[0] if initials and len(long) == 1 else "", "side": "", "remarks": remarks}
 
 
 READERS = {"acct_nm": read_organisation, "prim_cntct": read_person}
-_READ = "field string, raw string, core string, cut boolean, options array<string>, initial string, side string"
+ORGANISATION = "acct_nm"
+_READ = "field string, raw string, n bigint, words array<struct<t:string,stop:boolean>>, family int, initial string, side string, remarks array<string>"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for field, raw in zip(batch["field"], batch["raw"]):
+        for field, raw, n in zip(batch["field"], batch["raw"], batch["n"]):
             if r := READERS[field](raw):
-                rows.append((field, raw, r["core"], bool(r["cut"]), r["options"], r["initial"], r["side"]))
-        yield pd.DataFrame(rows, columns=["field", "raw", "core", "cut", "options", "initial", "side"])
+                rows.append((field, raw, n, [{"t": t, "stop": s} for t, s in r["words"]], r["family"], r["initial"], r["side"], r["remarks"]))
+        yield pd.DataFrame(rows, columns=["field", "raw", "n", "words", "family", "initial", "side", "remarks"])
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -328,9 +245,13 @@ def bands_for(similarity: float = RECALL_AT, recall: float = RECALL, chance: flo
     return best[1], best[2]
 
 
-def grams(core: str, q: int = Q) -> set[str]:
-    padded = "^" * (q - 1) + core + "$" * (q - 1)
-    return {padded[i : i + q] for i in range(len(padded) - q + 1)}
+def grams(name: str, q: int = Q) -> set[str]:
+    """The padded q-grams of the words of a name, in any order of the words."""
+    out: set[str] = set()
+    for word in name.split(" "):
+        padded = "^" * (q - 1) + word + "$" * (q - 1)
+        out.update(padded[i : i + q] for i in range(len(padded) - q + 1))
+    return out
 
 
 def _hash(s: str) -> int:
@@ -340,6 +261,12 @@ def _hash(s: str) -> int:
     return h
 
 
+def deletions(name: str) -> set[str]:
+    """A short name written in one word, and that with each letter taken out; none of a longer one."""
+    word = name.replace(" ", "")
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) <= SHORT else set()
+
+
 def _banded(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(20250101)
@@ -350,8 +277,9 @@ def _banded(bands: int, rows: int):
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
                 keys = np.empty((len(part), bands), dtype=np.uint64)
-                for i, core in enumerate(part["core"]):
-                    g = [known.setdefault(x, _hash(x)) for x in grams(core)]
+                extra: list[tuple[int, int]] = []
+                for i, name in enumerate(part["name"]):
+                    g = [known.setdefault(x, _hash(x)) for x in grams(name)]
                     v = np.array(g, dtype=np.uint64)[:, None] * mul + add
                     v ^= v >> np.uint64(29)
                     v *= np.uint64(0xBF58476D1CE4E5B9)
@@ -361,10 +289,10 @@ def _banded(bands: int, rows: int):
                         k = (k ^ sig[:, r]) * np.uint64(0x9E3779B97F4A7C15)
                         k ^= k >> np.uint64(31)
                     keys[i] = k + np.arange(bands, dtype=np.uint64)
-                yield pd.DataFrame({
-                    "field": np.repeat(part["field"].to_numpy(), bands), "core": np.repeat(part["core"].to_numpy(), bands),
-                    "bucket": keys.reshape(-1).view(np.int64),
-                })
+                    extra += [(i, _hash("-" + x)) for x in deletions(name)]
+                at = np.concatenate([np.repeat(np.arange(len(part)), bands), np.array([i for i, _ in extra], dtype=np.int64)])
+                bucket = np.concatenate([keys.reshape(-1), np.array([h for _, h in extra], dtype=np.uint64)]).view(np.int64)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "bucket": bucket})
             if len(known) > 500_000:
                 known.clear()
 
@@ -373,71 +301,305 @@ def _banded(bands: int, rows: int):
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sim = [monge_elkan([a], [b]) for a, b in zip(batch["a"], batch["b"])]
-        batch = batch.assign(sim=sim)
+        sim = np.array([same_name(a, b) for a, b in zip(batch["na"], batch["nb"])])
+        batch = batch[["field", "a", "b"]].assign(sim=sim)
         yield batch[batch["sim"] >= SIMILAR]
 
 
-def similar_cores(cores: DataFrame) -> DataFrame:
-    """``field, a, b, sim`` with ``a < b``: pairs of distinct cores that spell one name."""
+_EDGE = "field string, a bigint, b bigint, sim double"
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``field, a, b, sim`` of the candidate ids that spell one name."""
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"n{c}"), F.col("div").alias(f"d{c}"), F.col("field").alias(f"f{c}"))
+    n = F.greatest(F.length("na"), F.length("nb"))
+    # lengths too different to be similar, and two words that both stand beside many others, need no comparison
+    near = (F.abs(F.length("na") - F.length("nb")) <= n * (1 - SIMILAR) + 1) & (F.col("fa") == F.col("fb"))
+    own = (F.least("da", "db") >= LEAST_NEIGHBOURS) & (F.least("da", "db") >= F.greatest("da", "db") * OWN_WORD)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near & ~own)
+    return _spread(both.select(F.col("fa").alias("field"), "a", "b", "na", "nb")).mapInPandas(_verified, _EDGE)
+
+
+def cluster(nodes: DataFrame) -> DataFrame:
+    """``field, name, center``: ``nodes(id, field, name, weight, div)`` by star clustering of the pairs that collide and are similar.
+
+    First each node is compared with the most used node of each of its buckets; what finds its centre there is done.  The others
+    are then compared in all pairs of their buckets, so no pair that collides is lost, while the many spellings of a frequent
+    name never meet each other.
+    """
     bands, rows = bands_for()
-    # one row per core and band; a core is in as many buckets as there are bands
-    banded = _spread(cores.select("field", "core")).mapInPandas(_banded(bands, rows), "field string, core string, bucket bigint")
-    left, right = banded.withColumnRenamed("core", "a"), banded.withColumnRenamed("core", "b")
-    pairs = (
-        left.join(right, ["field", "bucket"])
-        .where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.greatest(F.length("a"), F.length("b")) * (1 - SIMILAR)))
-        .select("field", "a", "b").distinct()
+    banded = _spread(nodes.select("id", "field", "name")).mapInPandas(_banded(bands, rows), "id bigint, bucket bigint")
+    w = Window.partitionBy("bucket")
+    placed = banded.join(nodes.select("id", "field", F.struct("weight", "name", "id").alias("prio")), "id").withColumn("bucket", F.xxhash64("field", "bucket"))
+    shared = durable(placed.withColumn("members", F.count(F.lit(1)).over(w)).withColumn("top", F.max("prio").over(w)["id"]).where("members > 1").select("id", "bucket", "top"))
+    first = durable(_compared(shared.where("id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")).distinct(), nodes))
+    near = stars(nodes, first)
+    alone = near.where("id = center").select("id")
+    left = shared.join(alone, "id").select("id", "bucket")
+    pairs = left.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b").distinct()
+    far = stars(nodes.join(alone, "id"), durable(_compared(pairs, nodes)))
+    label = nodes.select(F.col("id").alias("last"), F.col("name").alias("center"))
+    return (
+        near.withColumnRenamed("center", "mid").join(far.select(F.col("id").alias("mid"), F.col("center").alias("last")), "mid")
+        .join(label, "last").join(nodes.select("id", "field", "name"), "id").select("field", "name", "center")
     )
-    return _spread(pairs).mapInPandas(_verified, "field string, a string, b string, sim double")
 
 
-def stars(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``field, core, center``: star clustering.  A node heavier than all its free neighbours becomes a centre and takes
-    them; this repeats among the nodes still free.  ``nodes(field, core, weight)``, ``edges(field, a, b, sim)``."""
-    prio = F.struct("weight", F.length("core").alias("l"), "core")
-    nodes = nodes.select("field", "core", prio.alias("prio"))
-    both = edges.select("field", "a", "b", "sim").unionByName(edges.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, center``: star clustering.  A node heavier than all its free neighbours becomes a centre and takes them; this
+    repeats among the nodes still free until no edge is left (the heaviest free node always is a centre, so it ends)."""
+    nodes = nodes.select("id", F.struct("weight", "name", "id").alias("prio"))
+    both = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     free = durable(
-        both.join(nodes.select("field", F.col("core").alias("a"), F.col("prio").alias("pa")), ["field", "a"])
-        .join(nodes.select("field", F.col("core").alias("b"), F.col("prio").alias("pb")), ["field", "b"])
+        both.join(nodes.select(F.col("id").alias("a"), F.col("prio").alias("pa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("prio").alias("pb")), "b")
     )
-    taken = None
-    for _ in range(rounds):
-        tops = free.groupBy("field", "a").agg(F.max("pb").alias("top"), F.first("pa").alias("pa")).where("pa > top").select("field", F.col("a").alias("center"))
+    parts: list[DataFrame] = []
+    while not free.isEmpty():
+        tops = free.groupBy("a").agg(F.max("pb").alias("top"), F.first("pa").alias("pa")).where("pa > top").select(F.col("a").alias("center"))
         joined = (
-            free.join(tops.withColumnRenamed("center", "a"), ["field", "a"])
-            .groupBy("field", "b").agg(F.max(F.struct("sim", "pa", "a")).alias("m"))
-            .select("field", F.col("b").alias("core"), F.col("m.a").alias("center"))
+            free.join(tops.withColumnRenamed("center", "a"), "a").groupBy("b").agg(F.max(F.struct("sim", "pa", "a")).alias("m"))
+            .select(F.col("b").alias("id"), F.col("m.a").alias("center"))
         )
-        new = durable(joined.unionByName(tops.select("field", F.col("center").alias("core"), "center")))
-        if new.isEmpty():
-            break
-        taken = new if taken is None else taken.unionByName(new)
-        gone = new.select("field", F.col("core"))
-        free = durable(
-            free.join(gone.withColumnRenamed("core", "a"), ["field", "a"], "left_anti").join(gone.withColumnRenamed("core", "b"), ["field", "b"], "left_anti")
-        )
-        if free.isEmpty():
-            break
-    own = nodes.select("field", "core")
-    if taken is None:
-        return own.withColumn("center", F.col("core"))
-    return own.join(taken, ["field", "core"], "left").withColumn("center", F.coalesce("center", "core"))
+        new = durable(joined.unionByName(tops.select(F.col("center").alias("id"), "center")))
+        parts.append(new)
+        gone = new.select("id")
+        free = durable(free.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
+        if len(parts) == 8:  # the plan stays as deep as it is
+            parts = [durable(_union(parts))]
+    own = nodes.select("id")
+    if not parts:
+        return own.withColumn("center", F.col("id"))
+    return own.join(_union(parts), "id", "left").withColumn("center", F.coalesce("center", "id"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- words and their parts in names ------------------------------------------------------------------------------------
+def _fits_short(q: str, g: str) -> int:
+    """How a word may write a longer one in short: 1 by its beginning, 2 by letters left out (vowels first), 3 by a beginning
+    with a typing error; 0 not at all."""
+    if len(q) < 2 or len(q) >= len(g) or q[0] != g[0]:
+        return 0
+    if g.startswith(q):
+        return 1
+    if len(q) <= 0.8 * len(g) and sum(c in "aeiou" for c in q) <= 1 + len(q) // 5:
+        at = iter(g)
+        if all(c in at for c in q):
+            return 2
+    if len(q) >= 5 and q[:2] == g[:2] and edits(q, g[: len(q)], 1) <= 1:
+        return 3
+    return 0
+
+
+def _reading(field: str, q: str, g: str, dq: int, dg: int) -> int:
+    """How ``q`` may stand for the more usual ``g``, the surest way least: short forms of trades, beginnings of given names, and
+    words too short to be similar after one error."""
+    if field == ORGANISATION and (how := _fits_short(q, g)):
+        return how
+    if field != ORGANISATION and len(q) >= 3 and g.startswith(q) and 2 * dq <= dg:
+        return 1
+    return 4 if len(q) >= 3 and len(g) >= 4 and dq <= max(1, OWN_WORD * dg) and edits(q, g, 1) <= 1 else 0
+
+
+def _shorts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        how = [_reading(*x) for x in zip(batch["field"], batch["q"], batch["g"], batch["dq"], batch["dg"])]
+        batch = batch[["field", "q", "g", "gen"]].assign(how=how)
+        yield batch[batch["how"] > 0]
+
+
+def nickname_pairs(path: str = NICKNAMES) -> list[tuple[str, str]]:
+    """``(short form, given name)`` of a list ``given name: short forms``, folded like the names."""
+    out = []
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if line.strip() and not line.startswith("#"):
+                formal, _, shorts = line.partition(":")
+                out += [(_plain(x).lower(), _plain(formal).strip().lower()) for x in shorts.split()]
+    return out
+
+
+def _least(words: DataFrame, div: str) -> Column:
+    """From how many neighbours on a word of the field is a qualifier of the corpus."""
+    tops = {r["field"]: r["m"] for r in words.groupBy("field").agg(F.max(div).alias("m")).collect()}  # one number a field
+    out = F.lit(LEAST_NEIGHBOURS)
+    for field, top in tops.items():
+        out = F.when(F.col("field") == field, max(LEAST_NEIGHBOURS, math.ceil(math.sqrt(top)))).otherwise(out)
+    return out
+
+
+def _word_table(read: DataFrame) -> DataFrame:
+    """``field, t, n, plain, stops, rem, qual, votes, div``: each word with the accounts that use it, how many spellings do so without
+    and with a full stop, how many remarks hold it, beside how many different words it stands, and how often usage makes it a qualifier less how
+    often a core."""
+    at = F.posexplode("words").alias("pos", "w")
+    # without marks: the last word of an organisation and the first of a person is the qualifier; marked family names count more
+    k, pos = F.size("words"), F.col("pos")
+    marked = F.when(F.col("family") >= 0, F.when(pos == F.col("family"), -2).otherwise(2))
+    person = F.coalesce(marked, F.when(k == 1, F.when(F.col("initial") != "", -2).otherwise(0)).when(pos == 0, 1).when(pos == k - 1, -1).otherwise(0))
+    firm = F.when(k == 1, 0).when(pos == 0, -1).when(pos == k - 1, 1).otherwise(0)
+    vote = F.when(F.col("field") == ORGANISATION, F.coalesce(marked, firm)).otherwise(person)
+    long = read.select("field", "n", "words", "family", "initial", at).select("field", F.col("w.t").alias("t"), "n", (~F.col("w.stop")).cast("int").alias("plain"), F.col("w.stop").cast("int").alias("stops"), F.lit(0).alias("rem"), vote.alias("qual"))
+    remarks = read.select("field", F.explode("remarks").alias("t")).select("field", "t", F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("plain"), F.lit(0).alias("stops"), F.lit(1).alias("rem"), F.lit(0).alias("qual"))
+    words = long.unionByName(remarks).groupBy("field", "t").agg(*[F.sum(c).alias(c) for c in ("n", "plain", "stops", "rem", "qual")], F.sum(F.abs("qual")).alias("votes"))
+    pairs = read.where(F.size("words") > 1).select("field", F.explode(F.arrays_zip(F.expr("slice(words, 1, size(words) - 1).t").alias("a"), F.expr("slice(words, 2, size(words) - 1).t").alias("b"))).alias("p"))
+    beside = pairs.select("field", F.col("p.a").alias("t"), F.col("p.b").alias("o")).unionByName(pairs.select("field", F.col("p.b").alias("t"), F.col("p.a").alias("o")))
+    div = beside.groupBy("field", "t").agg(F.countDistinct("o").alias("div"))
+    return words.join(div, ["field", "t"], "left").withColumn("div", F.coalesce("div", F.lit(0)))
+
+
+def _unglued(read: DataFrame, words: DataFrame, least: Column) -> DataFrame:
+    """``read`` with names written in one word taken apart where one part is a qualifier of the corpus: the end of an
+    organisation's, the beginning of a person's."""
+    whole = read.where((F.size("words") == 1) & (F.col("initial") == "")).select("field", F.col("words")[0]["t"].alias("t")).distinct().where(F.length("t") >= 7)
+    cuts = whole.withColumn("i", F.explode(F.sequence(F.lit(3), F.length("t") - 3)))
+    head, tail = F.expr("substring(t, 1, i)"), F.expr("substring(t, i + 1)")
+    firm = F.col("field") == ORGANISATION
+    cuts = cuts.select("field", "t", F.when(firm, tail).otherwise(head).alias("qualifier"), F.when(firm, head).otherwise(tail).alias("core"))
+    known = words.where(F.col("div") >= least).select("field", F.col("t").alias("qualifier"))
+    parts = cuts.join(known, ["field", "qualifier"]).groupBy("field", "t").agg(F.max(F.struct(F.length("qualifier").alias("l"), "qualifier", "core")).alias("m"))
+    parts = parts.select("field", F.col("t").alias("_t"), "m.qualifier", "m.core")
+    one, more = read.where(F.size("words") == 1), read.where(F.size("words") > 1)
+    word = lambda c: F.struct(F.col(c).alias("t"), F.lit(False).alias("stop"))
+    apart = F.when(F.col("qualifier").isNull() | (F.col("initial") != ""), F.col("words")).when(F.col("field") == ORGANISATION, F.array(word("core"), word("qualifier"))).otherwise(F.array(word("qualifier"), word("core")))
+    split = one.withColumn("_t", F.col("words")[0]["t"]).join(parts, ["field", "_t"], "left").withColumn("words", apart).select(*read.columns)
+    return more.unionByName(split)
+
+
+def _informed(read: DataFrame, words: DataFrame, cols: list[str]) -> DataFrame:
+    """Per spelling its words with ``cols`` of the word table, in order."""
+    at = read.select("field", "raw", F.posexplode("words").alias("pos", "w")).select("field", "raw", "pos", F.col("w.t").alias("t"), F.col("w.stop").alias("stop"))
+    full = at.join(words.select("field", "t", *cols), ["field", "t"])
+    back = full.groupBy("field", "raw").agg(F.sort_array(F.collect_list(F.struct("pos", "t", "stop", *cols))).alias("ws"))
+    return read.drop("words").join(back, ["field", "raw"])
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of several words that may be a core: the words of a spelling that are no qualifiers, all, and without the first or
+    the last of them."""
+    for batch in batches:
+        rows = []
+        for field, n, ws in zip(batch["field"], batch["n"], batch["ws"]):
+            own = [w["t"] for w in ws if not w["gen"]]
+            for part in {tuple(own), tuple(own[1:]), tuple(own[:-1])}:
+                if len(part) > 1:
+                    rows.append((field, " ".join(part), n))
+        yield pd.DataFrame(rows, columns=["field", "name", "n"])
+
+
+def _whole_name() -> Column:
+    """The words of a spelling of which none is a qualifier, as the name of a group; else null."""
+    return F.when((F.size("ws") > 1) & ~F.exists("ws", lambda w: w["gen"]), F.array_join(F.transform("ws", lambda w: w["t"]), " "))
+
+
+_ROLES = "field string, raw string, written string, core string, cut boolean, q string, initial string, side string"
+
+
+def _roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Core and qualifier of each spelling."""
+    for batch in batches:
+        rows = []
+        for field, raw, family, initial, side, ws, one in zip(*[batch[c] for c in ("field", "raw", "family", "initial", "side", "ws", "one")]):
+            if one is not None:  # all words together are a known name of one word
+                rows.append((field, raw, "", one, False, "", "", side))
+                continue
+            marked = ws[family]["t"] if 0 <= family < len(ws) else None
+            kept = [w for w in ws if not w["remark"]] or list(ws)
+            q = None
+            if len(kept) > 1:
+                free = [w for w in kept if w["t"] != marked or w["gen"] and not all(x["gen"] for x in kept)] or kept
+                q = min(free, key=lambda w: (-w["score"], w["c"]))
+                kept = [w for w in kept if w is not q]
+                kept = [w for w in kept if not w["gen"]] or kept
+            elif field != ORGANISATION and not initial and kept[0]["gen"]:
+                continue  # a given name alone
+            alone = len(kept) == 1
+            core = kept[0]["c"] if alone else " ".join(w["t"] for w in kept)
+            cut = alone and bool(kept[0]["stop"]) and not kept[0]["plain"] and kept[0]["c"] == kept[0]["t"]
+            written = " ".join(w["t"] for w in ws)
+            rows.append((field, raw, written, core, cut, q["c"] if q is not None else "", initial if q is None else "", side))
+        yield pd.DataFrame(rows, columns=["field", "raw", "written", "core", "cut", "q", "initial", "side"])
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    return durable(nodes.withColumn("id", F.monotonically_increasing_id()))
+
+
+def spellings(accounts: DataFrame, nicknames: str = NICKNAMES) -> DataFrame:
+    """``field, raw, center, cut, options, initial, side`` of the distinct ``accounts(field, raw, n)``: the core that a spelling has,
+    whether it is cut short, the qualifiers it may mean, and what else it says."""
+    spark = accounts.sparkSession
+    read = durable(_spread(accounts).mapInPandas(_read, _READ))
+    raw_words = durable(_word_table(read))
+    least = _least(raw_words, "div")
+    read = durable(_unglued(read, raw_words, least))
+    words = durable(_word_table(read))
+    flags = words.withColumn("gen", F.col("div") >= least)
+    single = flags.select("field", F.col("t").alias("name"), F.col("n").alias("weight"), "div")
+    groups = _informed(read, flags, ["gen"]).where(F.size(F.filter("ws", lambda w: ~w["gen"])) > 1).select("field", "n", "ws").mapInPandas(_groups, "field string, name string, n bigint")
+    groups = groups.groupBy("field", "name").agg(F.sum("n").alias("weight")).withColumn("div", F.lit(0).cast("bigint"))
+    center = durable(cluster(_numbered(single.where("weight > 0").unionByName(groups))))
+
+    # what is known of a word is known of all its misspellings
+    named = words.join(center.select("field", F.col("name").alias("t"), F.col("center").alias("c")), ["field", "t"])
+    sums = named.groupBy("field", "c").agg(F.max("div").alias("cdiv"), F.sum("qual").alias("cqual"), F.sum("votes").alias("cvotes"))
+    score = F.log1p("cdiv") + 4 * F.col("cqual") / (F.col("cvotes") + 2)
+    known = durable(
+        named.join(sums, ["field", "c"]).withColumn("score", score).withColumn("gen", F.col("cdiv") >= least)
+        .withColumn("remark", (F.col("rem") > 0) & (F.col("rem") >= F.col("plain") + F.col("stops"))).withColumn("plain", 2 * F.col("plain") > F.col("stops"))
+    )
+    joined = center.where("name like '% %' and center not like '% %'").select("field", F.col("name").alias("whole"), F.col("center").alias("one"))
+    informed = _informed(read, known, ["c", "score", "gen", "remark", "plain"]).withColumn("whole", _whole_name()).join(joined, ["field", "whole"], "left")
+    roles = durable(_spread(informed).mapInPandas(_roles, _ROLES))
+    roles = roles.join(center.select("field", F.col("name").alias("core"), "center"), ["field", "core"], "left").withColumn("center", F.coalesce("center", "core"))
+
+    # a name of one word that is a spelling of one of several words has its core and qualifier
+    read_so = roles.where("q <> ''").groupBy("field", F.col("written").alias("center")).agg(F.min(F.struct(F.col("center").alias("c"), "q")).alias("m"))
+    roles = durable(
+        roles.join(read_so.select("field", "center", F.col("m.c").alias("c2"), F.col("m.q").alias("q2")), ["field", "center"], "left")
+        .withColumn("turn", (F.col("q") == "") & F.col("center").contains(" ") & F.col("c2").isNotNull())
+        .withColumn("center", F.when(F.col("turn"), F.col("c2")).otherwise(F.col("center"))).withColumn("q", F.when(F.col("turn"), F.col("q2")).otherwise(F.col("q")))
+        .select("field", "raw", "center", "cut", "q", "initial", "side")
+    )
+
+    # what a qualifier may stand for
+    quals = roles.where("q <> ''").select("field", "q").distinct().join(known.where("t = c").select("field", F.col("t").alias("q"), F.col("cdiv").alias("dq")), ["field", "q"])
+    full = known.where("t = c and cqual > 0 and (gen or cdiv > 1)").select("field", F.col("t").alias("g"), F.col("cdiv").alias("dg"), "gen")
+    pairs = quals.withColumn("key", F.substring("q", 1, 1)).join(full.withColumn("key", F.substring("g", 1, 1)), ["field", "key"]).where((F.col("q") != F.col("g")) & (F.col("dq") <= F.col("dg")))
+    # beside the same core any longer one may be meant
+    own = roles.where("q <> '' and not cut").select("field", "center", "q").distinct().withColumn("key", F.substring("q", 1, 1))
+    beside = own.join(own.withColumnRenamed("q", "g"), ["field", "center", "key"]).where(F.length("q") < F.length("g")).select("field", "q", "g").distinct()
+    beside = beside.join(quals, ["field", "q"]).join(quals.select("field", F.col("q").alias("g"), F.col("dq").alias("dg")), ["field", "g"]).where(F.col("field") == ORGANISATION)
+    pairs = pairs.select("field", "q", "g", "dq", "dg", "gen").unionByName(beside.select("field", "q", "g", "dq", "dg", F.lit(False).alias("gen"))).groupBy("field", "q", "g", "dq", "dg").agg(F.max("gen").alias("gen"))
+    short = _spread(pairs.select("field", "q", "g", "dq", "dg", "gen")).mapInPandas(_shorts, "field string, q string, g string, gen boolean, how int")
+    # what few names have is read so only where nothing that many have fits
+    short = short.select("field", "q", "g", (F.col("how") + F.when(F.col("gen"), 1).otherwise(11)).alias("how"))
+    listed = spark.createDataFrame(nickname_pairs(nicknames), "q string, g string").withColumn("field", F.lit("prim_cntct"))
+    # a given name by what its misspellings are read as, where the corpus has it
+    formal = listed.join(center.select("field", F.col("name").alias("g"), F.col("center").alias("gc")), ["field", "g"], "left")
+    formal = formal.select("field", "q", F.coalesce("gc", "g").alias("g"), F.when(F.col("gc").isNull(), 1).otherwise(0).alias("how")).join(quals.select("field", "q"), ["field", "q"])
+    # the best way to read it: listed and in use, listed, by its beginning, by its letters
+    ways = formal.unionByName(short).where("q <> g")
+    best = durable(ways.groupBy("field", "q").agg(F.min("how").alias("how")).join(ways, ["field", "q", "how"]).groupBy("field", "q").agg(F.collect_set("g").alias("gs")))
+    # a short form of a short form means what that means
+    deeper = best.select("field", "q", F.explode("gs").alias("g")).join(best.select("field", F.col("q").alias("g"), F.col("gs").alias("more")), ["field", "g"], "left")
+    options = deeper.groupBy("field", "q").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("more", F.array("g"))))).alias("options"))
+    meant = F.when(F.col("q") == "", F.array().cast("array<string>")).otherwise(F.coalesce("options", F.array("q")))
+    return roles.join(options, ["field", "q"], "left").select("field", "raw", "center", "cut", F.array_sort(meant).alias("options"), "initial", "side")
 
 
 # --- entities ----------------------------------------------------------------------------------------------------------
-def link(accounts: DataFrame, key: str = "cust_id") -> DataFrame:
+def link(accounts: DataFrame, key: str = "cust_id", nicknames: str = NICKNAMES) -> DataFrame:
     """``field, key, entity``: for both fields, the entity that each account names; accounts without one are left out."""
     kind = dict(accounts.dtypes)[key]
     long = accounts.select(F.col(key).alias("key"), F.expr("stack(2, 'acct_nm', acct_nm, 'prim_cntct', prim_cntct) as (field, raw)")).where(F.col("key").isNotNull() & F.col("raw").isNotNull()).distinct()
-    spellings = long.select("field", "raw").distinct()
-    read = _spread(spellings).mapInPandas(_read, _READ)
-    named = durable(long.join(read, ["field", "raw"]))
-
-    cores = named.where("not cut").groupBy("field", "core").agg(F.count(F.lit(1)).alias("weight"))
-    center = stars(cores, durable(similar_cores(cores)))
-    named = named.join(center, ["field", "core"], "left").withColumn("center", F.coalesce("center", "core"))
+    seen = spellings(long.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n")), nicknames)
+    named = durable(long.join(seen, ["field", "raw"]))
     # what the other field of the account says
     other = named.select("key", F.when(F.col("field") == "acct_nm", "prim_cntct").otherwise("acct_nm").alias("field"), F.col("center").alias("context"))
     full = durable(
@@ -454,12 +616,14 @@ def link(accounts: DataFrame, key: str = "cust_id") -> DataFrame:
     )
     vague = full.where(~definite).select("field", "center", "cut", "options", "initial", "side", "context").distinct()
     prefixes = (
-        entities.withColumn("short", F.explode(F.expr("transform(sequence(3, least(9, length(center))), n -> substring(center, 1, n))")))
+        entities.withColumn("short", F.explode(F.expr("transform(sequence(1, length(center)), n -> substring(center, 1, n))")))
         .select("field", F.col("short"), F.col("center").alias("whole"), "qual", "n")
     )
     by_core = vague.where("not cut").join(entities.withColumn("whole", F.col("center")), ["field", "center"])
     by_prefix = vague.where("cut").join(prefixes.withColumnRenamed("short", "center"), ["field", "center"])
-    fits = ((F.size("options") == 0) | F.array_contains("options", F.col("qual"))) & ((F.col("initial") == "") | F.col("qual").startswith(F.col("initial")))
+    # beside a core cut short a qualifier is often cut too
+    short = F.col("cut") & F.exists("options", lambda o: F.col("qual").startswith(o))
+    fits = ((F.size("options") == 0) | F.array_contains("options", F.col("qual")) | short) & ((F.col("initial") == "") | F.col("qual").startswith(F.col("initial")))
     ident = ["field", "center", "cut", "options", "initial", "side", "context"]
     meant = (
         by_core.unionByName(by_prefix).where(fits)

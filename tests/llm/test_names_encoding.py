@@ -47,6 +47,76 @@ def test_link(spark):
     assert names.link(df.limit(0)).count() == 0
 
 
+TRADES = "Plumbing Roofing Bakery Masonry Optics Dental Carpentry Freight Printing Catering".split()
+SHORTS = {"Plumbing": ["Plbg", "Plumb."], "Roofing": ["Roof."], "Bakery": ["Bkry"], "Masonry": ["Mas."], "Dental": ["Dent."], "Carpentry": ["Carp."], "Freight": ["Frght"], "Printing": ["Prtg", "Print."], "Catering": ["Cat."], "Optics": ["Opt."]}
+GIVEN = "Priya Tomasz Ngozi Marisol Sven Aisha Dmitri Keiko Matthew Jennifer Giovanni Joshua".split()
+FAMILIES = "Sharma Kowalski Okafor Delgado Lindqvist Rahmani Sokolov Nakamura Whitfield Brambilla Oyelaran Petrescu Vandenberg Castellano Hargreaves Mbeki Stavrou Fitzgerald Yamashita Guerrero".split()
+FORMS = {"Tomasz": ["Tomek"], "Dmitri": ["Dima"], "Matthew": ["Matt"], "Jennifer": ["Jenny"], "Giovanni": ["Gianni"], "Joshua": ["Josh"]}
+
+
+def misspelt(w, rnd):
+    k = rnd.randrange(1, len(w) - 1)
+    return rnd.choice([w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+
+
+def test_other_vocabulary(spark):
+    """Trades, families and given names that no list in the code holds; names of two letters; words in any order."""
+    rnd, rows, groups = random.Random(11), [], {}
+    cust = itertools.count(1)
+
+    def add(field, group, text):
+        i = next(cust)
+        groups.setdefault((field, group), []).append(i)
+        rows.append((i, text, None) if field == "acct_nm" else (i, None, text))
+
+    syllables = [a + b for a in "b br d f gr k l m n p r s st t v w".split() for b in "a e i o u an el or".split()]
+    firms = sorted({"".join(rnd.choice(syllables) for _ in range(rnd.choice([2, 3, 4]))).capitalize() for _ in range(60)})
+    for n, core in enumerate(firms):
+        trade = TRADES[n % len(TRADES)]
+        for _ in range(5):
+            word = misspelt(core, rnd) if len(core) > 5 and rnd.random() < 0.15 else core
+            kind = rnd.choice(SHORTS[trade]) if rnd.random() < 0.25 else trade
+            add("acct_nm", n, rnd.choice([f"{word} {kind}", f"{word} {kind} Ltd", f"The {word} {kind} Inc.", f"{kind}, {word}", f"{kind} {word}", f"{word} {kind} (North)"]))
+    for pair in (("HP Inc", "HP"), ("GM Corp.", "GM"), ("3M Company", "3M", "3M Co")):
+        for text in pair:
+            add("acct_nm", pair[0], text)
+    for n, family in enumerate(FAMILIES):
+        for g in (GIVEN[n % len(GIVEN)], GIVEN[(n + 5) % len(GIVEN)]):
+            for _ in range(4):
+                given = rnd.choice(FORMS[g]) if g in FORMS and rnd.random() < 0.3 else g
+                word = misspelt(family, rnd) if rnd.random() < 0.15 else family
+                add("prim_cntct", (n, g), rnd.choice([f"{given} {word}", f"{word}, {given}", f"{word.upper()} {given}", f"Dr. {given} {word}", f"{given.lower()}.{word.lower()}", f"{word} {given}"]))
+    want = {(f, a, b) for (f, _), ids in groups.items() for a, b in itertools.combinations(ids, 2)}
+    got = {tuple(r) for r in names.pairs(names.link(spark.createDataFrame(rows, "cust_id bigint, acct_nm string, prim_cntct string"))).collect()}
+    for field in ("acct_nm", "prim_cntct"):
+        w, g = {x for x in want if x[0] == field}, {x for x in got if x[0] == field}
+        print(field, len(w), len(g), len(w & g) / len(w), len(w & g) / len(g))
+        assert len(w & g) >= 0.9 * len(w) and len(w & g) >= 0.98 * len(g)
+    for pair in ("HP Inc", "GM Corp.", "3M Company"):
+        assert all((("acct_nm", a, b) in got) for a, b in itertools.combinations(groups["acct_nm", pair], 2))
+
+
+def test_few_names_in_any_order(spark):
+    rows = [(1, "Buhitrashiha Plumbing", "Priya Sharma"), (2, "Plumbing Buhitrashiha", "Sharma Priya"), (3, None, "Tomasz Kowalski"), (4, None, "Kowalski Tomasz"), (5, None, "Tomek Kowalski")]
+    got = {tuple(r) for r in names.pairs(names.link(spark.createDataFrame(rows, "cust_id bigint, acct_nm string, prim_cntct string"))).collect()}
+    assert got == {("acct_nm", 1, 2), ("prim_cntct", 1, 2), ("prim_cntct", 3, 4), ("prim_cntct", 3, 5), ("prim_cntct", 4, 5)}
+
+
+def test_short_names_collide_after_one_error():
+    """Every single error in a word of four to twelve letters that is still similar is proposed."""
+    import pandas as pd
+
+    b, r = names.bands_for()
+    run, rnd = names._banded(b, r), random.Random(6)
+    for n in range(4, 13):
+        for _ in range(20):
+            w = "".join(rnd.choice("abdegiklmnoprstu") for _ in range(n))
+            v = misspelt(w, rnd)
+            out = next(run(iter([pd.DataFrame({"id": [0, 1], "name": [w, v]})])))
+            one, two = (set(x["bucket"]) for _, x in out.groupby("id"))
+            assert w == v or one & two
+
+
 def test_bands_follow_the_collision_curve():
     b, r = names.bands_for(0.45, 0.96)
     assert 1 - (1 - 0.45**r) ** b >= 0.96
@@ -63,8 +133,8 @@ def test_bands_follow_the_collision_curve():
         ga, gb = names.grams(w), names.grams(v)
         if len(ga & gb) / len(ga | gb) < 0.45:
             continue
-        out = next(run(iter([pd.DataFrame({"field": ["f", "f"], "core": [w, v]})])))
-        buckets = [set(x["bucket"]) for _, x in out.groupby("core")]
+        out = next(run(iter([pd.DataFrame({"id": [0, 1], "name": [w, v]})])))
+        buckets = [set(x["bucket"]) for _, x in out.groupby("id")]
         total += 1
         hits += len(buckets) < 2 or bool(buckets[0] & buckets[1])
     assert hits / total >= 0.9
