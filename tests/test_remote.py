@@ -82,3 +82,57 @@ def test_waves(spark, server):
     assert server["calls"] == calls  # reading again asks nothing
     with pytest.raises(RuntimeError):
         sem_filter(df, WaveJudge(BatchJudge(HttpHandler("http://127.0.0.1:9/", retries=0)), on_fail="stop"), "q")
+
+
+def says():
+    """A handler by words, made here so that workers need not import this module."""
+
+    def answer(request):
+        return [{"noul": 0.9 if "yes" in q["instructions"]["text"] else 0.1} for q in request["questions"]]
+
+    return answer
+
+
+def test_no_row_is_lost_by_later_uses(spark):
+    df = R.from_strings(spark, ["".join(f"{'yes' if i % 2 else 'no'} {i}\n" for i in range(50))])
+    j = WaveJudge(BatchJudge(says()), rows_per_wave=10, max_tokens=900)
+    seen = []
+    for _ in range(4):
+        got = sem_filter(df, j, "q").select("num", "p", "error").orderBy("num").collect()
+        assert [r["num"] for r in got] == list(range(1, 51))
+        assert all((r["error"] == "budget") == (r["p"] is None) for r in got)
+        seen.append(sum(r["error"] is None for r in got))
+    assert 0 < seen[0] < 50 and seen[1:] == [0, 0, 0] and j.spent_tokens <= 900
+
+
+def test_stop_after_enough(spark):
+    from pyspark.sql import functions as F
+
+    from semframe.plans.judge import Ask
+
+    df = R.from_strings(spark, ["".join(f"{'yes' if i % 5 == 0 else 'no'} {i}\n" for i in range(60))]).coalesce(1)
+    j = WaveJudge(BatchJudge(says()), rows_per_wave=10)
+    got = j.attach_until(df, Ask("noul", "q", {"text": F.col("text")}), "a", F.col("a.noul") >= 0.5, 3).orderBy("num").collect()
+    assert len(got) == 60 and [r["num"] for r in got if r["a"]["noul"] is not None] == list(range(1, 21)) and got[-1]["a"]["error"] == "stopped"
+
+
+def test_a_refusal_ends_the_run(spark, server):
+    server["key"] = "k"
+    df = R.from_strings(spark, ["line\n" * 5])
+    with pytest.raises(Exception, match="Refused"):
+        sem_filter(df, BatchJudge(HttpHandler(server["url"])), "q").collect()
+
+
+def test_open_requests_and_rates(server):
+    h = HttpHandler(server["url"], first_pause=0.01, most_open=4)
+    got = list(h.many([lambda n=n: h(ask(n)) for n in range(1, 12)]))
+    assert [len(g) for g in got] == list(range(1, 12)) and h.open == 4
+    h._refused()
+    assert h.open == 2
+    slow = HttpHandler(server["url"], per_minute=1200, tokens_per_minute=1e6, burst=0)
+    import time
+
+    t = time.time()
+    for n in range(20, 26):
+        slow(ask(n))
+    assert time.time() - t >= 0.2
