@@ -311,7 +311,7 @@ def probe_json(spark, d):
 
 def walk_paths(spark, d):
     nodes = tree.nodes_of_paths(table(spark, d, "documents").select(F.col("file").alias("path")))
-    return walk.sem_walk(nodes, walk.path_words(), "app-log p00 HERE", results=3, least=0.0).select("path", "is_dir", "place")
+    return walk.sem_walk(nodes, walk.path_words(), "app-log p00 HERE", results=3, least=0.0).select("path", "is_dir", F.round("score", 9).alias("score"), "place")
 
 
 def tree_nodes(spark, d):
@@ -336,7 +336,7 @@ def quote_requests(spark, d):
 
 def text_clean(spark, d):
     x = _inputs(spark, d)
-    return x.where(F.col("text").rlike("[\\x00-\\x08\\x0B-\\x1F\\x7F]")).select("file", "num", T.clean(F.col("text")).alias("text"), T.clip(T.clean(F.col("text")), 40).alias("clipped"))
+    return x.select("file", "num", T.clean(F.col("text")).alias("text"), T.clip(T.clean(F.col("text")), 40).alias("clipped"))
 
 
 def _ledger(spark, d):
@@ -522,10 +522,8 @@ SQL = {
     "tree_nodes": """WITH f AS (SELECT DISTINCT file FROM documents WHERE file IS NOT NULL), s AS (SELECT string_split(file, '/') AS x, unnest(range(1, len(string_split(file, '/')) + 1)) AS n FROM f)
       SELECT array_to_string(x[1:n], '/') AS path, coalesce(array_to_string(x[1:n - 1], '/'), '') AS parent, x[n] AS name, bool_or(n < len(x)) AS is_dir, count(DISTINCT array_to_string(x, '/')) AS files FROM s GROUP BY 1, 2, 3""",
     "quote_tokens": f"SELECT doc_id, {_est_sql('x')} AS tokens FROM (SELECT doc_id, {_plain_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS x FROM documents)",
-    "quote_requests": "WITH x AS (SELECT DISTINCT item_id, state_id, state_est, est FROM items), n AS (SELECT *, (row_number() OVER (PARTITION BY state_id ORDER BY item_id) - 1) // 128 AS request FROM x) SELECT state_id, request, count(*) AS questions, CAST(sum(est) AS BIGINT) AS est FROM n GROUP BY ALL",
     "text_clean": rf"""SELECT file, num, text, CASE WHEN length(text) > 40 THEN substring(text, 1, 39) || '…' ELSE text END AS clipped FROM (
-      SELECT input_id AS file, num, {_clean_sql('line')} AS text FROM (SELECT input_id, num, regexp_replace(coalesce(l, ''), '\r$', '') AS line FROM (SELECT input_id, unnest(lines) AS l, unnest(range(1, len(lines) + 1)) AS num FROM doc_inputs))
-      WHERE regexp_matches(line, '[\x00-\x08\x0B-\x1F\x7F]'))""",
+      SELECT input_id AS file, num, {_clean_sql('line')} AS text FROM (SELECT input_id, num, regexp_replace(coalesce(l, ''), '\r$', '') AS line FROM (SELECT input_id, unnest(lines) AS l, unnest(range(1, len(lines) + 1)) AS num FROM doc_inputs)))""",
     "ledger_by_day": f"SELECT s.day, coalesce(CAST(sum(CAST(usd AS DECIMAL(24, 6))) AS DOUBLE), 0) AS usd FROM (SELECT unnest(generate_series(DATE '{LAST}' - 89, DATE '{LAST}', INTERVAL 1 DAY))::DATE AS day) s LEFT JOIN ledger l ON s.day = l.day GROUP BY 1",
     "ledger_by_tool": f"SELECT tool, CAST(sum(CAST(coalesce(usd, 0) AS DECIMAL(24, 6))) AS DOUBLE) AS usd, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens FROM ledger WHERE strftime(day, '%Y-%m') = '{MONTH}' GROUP BY tool",
     "ledger_spent": "SELECT coalesce(CAST(sum(CAST(usd AS DECIMAL(24, 6))) FILTER (day = DATE '2026-09-14') AS DOUBLE), 0) AS today, coalesce(CAST(sum(CAST(usd AS DECIMAL(24, 6))) FILTER (strftime(day, '%Y-%m') = '2026-09') AS DOUBLE), 0) AS month FROM ledger",

@@ -19,7 +19,7 @@ def cells_of(line: Column, delimiter: str) -> Column:
     d = delimiter
     cell = rf'(?:^|{d})("(?:[^"]|"")*"(?=[{d}]|$)|[^{d}]*)'
     raw = F.regexp_extract_all(F.regexp_replace(line, "\\r\\z", ""), F.lit(cell), F.lit(1))
-    return F.transform(raw, lambda x: F.when(x.rlike(r'\A".*"\z'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.transform(raw, lambda x: F.when(x.rlike(r'(?s)\A".*"\z'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
 def read_table(spark: SparkSession, path: str, delimiter: str | None = None) -> tuple[list[str], DataFrame]:
@@ -36,6 +36,26 @@ def read_table(spark: SparkSession, path: str, delimiter: str | None = None) ->
     return head, rows
 
 
+def read_whole_table(spark: SparkSession, path: str, delimiter: str | None = None) -> tuple[list[str], DataFrame]:
+    """As ``read_table``, for files whose quoted cells hold line ends: each file is read whole, so a record may go over several
+    lines; ``file, num, cells``, numbered within the file.  The header is that of the first file by name."""
+    from semframe.sources.records import whole_texts
+
+    texts = whole_texts(spark, [path]).select(F.regexp_replace("text", "\\A\\x{FEFF}", "").alias("text"))
+    first = texts.select(F.regexp_extract("text", "\\A[^\\n]*", 0).alias("h")).where("h <> ''").limit(1).collect()
+    if not first:
+        return [], texts.select(F.lit(0).cast("bigint").alias("num"), F.array().cast("array<string>").alias("cells")).limit(0)
+    d = delimiter or detect_delimiter(first[0]["h"])
+    if d == "\t":
+        record = "[^\\n]+"
+    else:
+        cell = rf'(?:"(?:[^"]|"")*"(?=[{d}\r\n]|\z)|[^{d}\n]*)'
+        record = rf"(?:\A|(?<=\n))(?!\r?(?:\n|\z)){cell}(?:{d}{cell})*"
+    rows = texts.select(F.posexplode(F.regexp_extract_all("text", F.lit(record), F.lit(0))).alias("num", "line"))
+    head = rows.where("num = 0").select(cells_of(F.col("line"), d).alias("c")).collect()[0]["c"]
+    return head, rows.where("num > 0").select(F.col("num").cast("bigint").alias("num"), cells_of(F.col("line"), d).alias("cells"))
+
+
 def to_lines(rows: DataFrame, delimiter: str, cells: str = "cells") -> Column:
     """Cells as a line: tab verbatim, else quoted only where needed."""
     if delimiter == "\t":
