@@ -12,7 +12,7 @@ from semframe.functions.templates import template
 from semframe.operators.sequence import with_position
 from semframe.operators.test import NO, UNCERTAIN, YES
 from semframe.plans.judge import Ask, Judge, cleaned
-from semframe.session import durable
+from semframe.sources.records import with_neighbours
 
 PROBES = 16
 
@@ -53,10 +53,10 @@ def probes(lower: int, upper: int, n: int, k: int, first: bool) -> list[int]:
 
 def sem_bisect(df: DataFrame, judge: Judge, query: str, *, by: list[str | Column] | None = None, k: int = PROBES, threshold: float = 0.5,
                band: tuple[float, float] | None = None, invert: bool = False, verify: bool = False, text: str = "text",
-               context: dict[str, str] | None = None) -> tuple[Flip, DataFrame]:
+               context: dict[str, str] | None = None, window: int = 0) -> tuple[Flip, DataFrame]:
     """``(flip, positioned)``: the first record from which on the answer is yes, and the records with ``pos``.
 
-    Each round is one semi-join on at most ``k`` positions.  A *no* after a known *yes* is an inversion: noted, and the search
+    Each round reads at most ``k`` positions, with ``window`` records on either side of each.  A *no* after a known *yes* is an inversion: noted, and the search
     goes on to the first yes.  A band hit on the flip or its predecessor, or disagreement with ``verify``, is *uncertain*.
     """
     by = by or ["file_idx", "num"]
@@ -64,13 +64,23 @@ def sem_bisect(df: DataFrame, judge: Judge, query: str, *, by: list[str | Column
     n = rows.count()
     if not n:
         return Flip(None, NO), rows.drop("_text")
-    ask = Ask("noul", template(query), {"text": F.col("_text")}, context=context or {})
+    about = {"text": F.col("_text")}
+    if window:
+        about = {"before": F.col("before"), **about, "after": F.col("after")}
+    ask = Ask("noul", template(query), about, context=context or {})
+
+    def at_positions(at: list[int]) -> DataFrame:
+        if not window:
+            return rows.where(F.col("pos").isin(at))
+        some = rows.where(F.col("pos").isin(sorted({i + j for i in at for j in range(-window, window + 1)})))
+        near = with_neighbours(some.withColumn("_all", F.lit(0)), window, ["_all"], text="_text", num="pos").drop("_all")
+        return near.where(F.col("pos").isin(at))
 
     def is_yes(p: float) -> bool:
         return ((p > band[1]) if band else (p >= threshold)) != invert
 
     def answers(at: list[int]) -> dict[int, float]:
-        got = judge.attach(rows.where(F.col("pos").isin(at)), ask, "_answer").select("pos", "_answer.noul", "_answer.error").collect()  # at most k rows
+        got = judge.attach(at_positions(at), ask, "_answer").select("pos", "_answer.noul", "_answer.error").collect()  # at most k rows
         bad = [r for r in got if r["error"] is not None]
         if bad:
             raise RuntimeError(f"record {bad[0]['pos'] + 1}: {bad[0]['error']}")

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semframe.functions.text import clean, estimate
-from semframe.operators.sequence import numbered
+from semframe.functions.text import clean
 from semframe.operators.test import NO, UNCERTAIN, YES
-from semframe.plans.judge import Ask, Judge, Limits
-from semframe.plans.planner import packed_requests
+from semframe.operators.windows import choose_in_windows, windowed
+from semframe.plans.judge import Ask, BatchJudge, Judge
 from semframe.session import durable
 
 # A window's candidates and estimated tokens, and the finalists it sends on.
@@ -25,14 +24,15 @@ def wording(question: str) -> str:
     return f"How well does `text` answer: {q}" if q.endswith("?") else f"How well does this describe `text`: {q}"
 
 
-def _windowed(cands: DataFrame, group: Sequence[str], size: int, tokens: int | None) -> DataFrame:
-    """``window``: consecutive candidates, at most ``size`` of them and of at most ``tokens`` tokens together; a longer candidate
-    has a window of its own.  Each window is filled before the next begins."""
-    if tokens is None:
-        return numbered(cands, group, ["num"], "_k").withColumn("window", F.floor((F.col("_k") - 1) / size)).drop("_k")
-    limits = Limits(request_tokens=tokens, question_tokens=tokens, margin=1.0, questions=size, frame=0, per_question=0)
-    sized = cands.withColumn("_est", estimate(F.col("_text"))).withColumn("_none", F.lit(0))
-    return packed_requests(sized, state_est="_none", est="_est", group=list(group), by=["num"], limits=limits).withColumnRenamed("request", "window").drop("_est", "_none")
+def existence(question: str) -> str:
+    """Whether there is an answer at all."""
+    q = question.strip()
+    return f"Does any line of `document` answer: {q}" if q.endswith("?") else f"Does any line of `document` fit this description: {q}"
+
+
+def choice_wording(question: str) -> str:
+    q = question.strip()
+    return f"Which line of `document` best answers: {q}" if q.endswith("?") else f"Which line of `document` does this describe best: {q}"
 
 
 def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, threshold: float = 0.5, min_p: float = 0.0, force: bool = False,
@@ -40,8 +40,9 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
              context: dict[str, str] | None = None) -> DataFrame:
     """The ``best`` records of each group that answer the question: ``place, num, text, p, exists, verdict``.
 
-    Each window sends its ``max(3, best)`` best on, in record order, until one window is left.  ``exists`` is the largest
-    probability of the first round: below ``threshold`` the verdict is *no* and, unless ``force``, there are no rows.  A last
+    Each window sends its ``max(3, best)`` best on, in record order, until one window is left.  A judge by packed requests sees
+    each window as a document, makes one choice among its lines, and is asked in the first round whether there is an answer
+    at all; others are asked about each record.  ``exists`` is the largest probability of the first round: below ``threshold`` the verdict is *no* and, unless ``force``, there are no rows.  A last
     probability under ``min_p`` is *uncertain*.  Blank and null records are no candidates; ties go to the earlier record.
     """
     cands = df.where(F.col(text).rlike("(?U)\\S")).select(*group, "num", F.col(text).alias("text"), clean(F.col(text)).alias("_text"))
@@ -50,10 +51,16 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
     exists, now, size = None, cands, max(window, 2 * keep)
     while True:
         # later rounds go by number alone: long records, few to a window, would else never become fewer
-        placed = _windowed(now, group, size, tokens if exists is None else None)
-        judged = durable(judge.attach(placed, ask, "_answer").withColumn("p", F.coalesce(F.col("_answer.noul"), F.lit(-1.0))).drop("_answer"))
+        placed = windowed(now, group, size, tokens if exists is None else None)
+        if isinstance(judge, BatchJudge):
+            asked = choose_in_windows(durable(placed), judge, choice_wording(question), existence(question) if exists is None else None, group, context)
+        else:
+            one = judge.attach(placed, ask, "_answer")
+            asked = one.withColumn("p", F.col("_answer.noul")).withColumn("exists", F.col("p")).drop("_answer")
+        judged = durable(asked.withColumn("p", F.coalesce("p", F.lit(-1.0))))
         if exists is None:
-            exists = judged.groupBy(*group).agg(F.max("p").alias("exists"))
+            exists = judged.groupBy(*group).agg(F.max(F.coalesce("exists", F.lit(-1.0))).alias("exists"))
+        judged = judged.drop("exists")
         rank = F.row_number().over(Window.partitionBy(*group, "window").orderBy(F.col("p").desc(), "num"))
         last = judged.groupBy(*group).agg(F.countDistinct("window").alias("w")).where("w > 1").isEmpty()
         if last:
@@ -69,7 +76,7 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
 def windows_of(df: DataFrame, group: Sequence[str] = ("file_idx",), text: str = "text", window: int = WINDOW, tokens: int = WINDOW_TOKENS) -> DataFrame:
     """``group, window, n``: the first round's windows, as a quote counts them."""
     cands = df.where(F.col(text).rlike("(?U)\\S")).select(*group, "num", clean(F.col(text)).alias("_text"))
-    return _windowed(cands, group, window, tokens).groupBy(*group, "window").agg(F.count(F.lit(1)).alias("n"))
+    return windowed(cands, group, window, tokens).groupBy(*group, "window").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidates(texts: DataFrame, patterns: Sequence[str], key: Sequence[str] = ("file_idx",), text: str = "text") -> DataFrame:

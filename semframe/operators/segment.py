@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semframe.functions.templates import has_placeholder, rewrite_placeholders
 from semframe.functions.text import clean
-from semframe.operators.sequence import judge_where, running_sum, with_shifted
-from semframe.plans.judge import Ask, Judge
+from semframe.operators.sequence import beside_pair, judge_where, running_sum, with_shifted
+from semframe.operators.windows import ask_at_breaks
+from semframe.plans.judge import Ask, BatchJudge, Judge
 
 
 def boundary_question(question: str | None) -> str:
@@ -23,6 +25,23 @@ def boundary_question(question: str | None) -> str:
     return f"Regarding the boundary between `f1` and `f2`: {q}" if q.endswith("?") else f"Is it true that between `f1` and `f2` {q.removesuffix('.')}?"
 
 
+# Boundaries of a window and its estimated tokens.
+WINDOW, WINDOW_TOKENS = 64, 5_500
+
+
+def boundary_at(question: str | None, tag: Column) -> Column:
+    """The question about the record with an id, in a document of records."""
+    if question is None:
+        return F.concat(F.lit("Does a new topic begin with record "), tag, F.lit("?"))
+    q = question.strip()
+    if has_placeholder(q):  # the first field is the record before
+        parts = re.split(r"\{(1|2|)\}", q)
+        named = [F.lit(p) if i % 2 == 0 else F.concat(F.lit("the record before "), tag) if p == "1" else F.concat(F.lit("record "), tag) for i, p in enumerate(parts)]
+        return F.concat(*named)
+    said = F.lit(f": {q}" if q.endswith("?") else f", is it true that {q.removesuffix('.')}?")
+    return F.concat(F.lit("Regarding the boundary before record "), tag, said)
+
+
 def _keep_min(group: Sequence[str], least: int):
     """Greedy choice among the possible cuts, in order: a cut counts if enough records have passed since the last one."""
 
@@ -42,17 +61,26 @@ def _keep_min(group: Sequence[str], least: int):
 
 
 def sem_segment(df: DataFrame, judge: Judge, question: str | None = None, *, threshold: float = 0.5, min_len: int = 1,
-                group: Sequence[str] = ("file_idx",), text: str = "text", context: dict[str, str] | None = None) -> DataFrame:
+                group: Sequence[str] = ("file_idx",), text: str = "text", context: dict[str, str] | None = None, around: int = 0) -> DataFrame:
     """Every record with ``p`` of the boundary before it (null for the first), ``cut`` and ``segment`` from 1.
 
     With ``min_len`` a cut is made iff the boundary fits and the segment before it has so many records; only the possible cuts
     go through that fold, in order and in constant memory.  A failed boundary is no cut.  ``num`` must be dense from 1.
+
+    A judge by packed requests is asked about all boundaries of a window in one request, with the records as its document;
+    ``around`` shows so many further records on either side.
     """
     kept = df.withColumn("_text", F.coalesce(clean(F.col(text)), F.lit("")))
-    paired = with_shifted(kept, {"_text": "_before"}, -1, group)
-    ask = Ask("noul", boundary_question(question), {"f1": F.col("_before"), "f2": F.col("_text")}, context=context or {})
-    judged = judge_where(paired, judge, ask, "_answer", F.col("_before").isNotNull())
-    judged = judged.withColumn("p", F.col("_answer.noul")).withColumn("error", F.col("_answer.error")).drop("_answer", "_text", "_before")
+    if isinstance(judge, BatchJudge):
+        judged = ask_at_breaks(kept, judge, F.col("num") > 1, lambda tag: boundary_at(question, tag), group=group, text="_text", size=WINDOW, tokens=WINDOW_TOKENS, prefix="R", around=around, context=context)
+        judged = judged.withColumn("_before", F.lit(None).cast("string"))
+    else:
+        paired = with_shifted(kept, {"_text": "_before"}, -1, group)
+        about = {"f1": F.col("_before"), "f2": F.col("_text")}
+        if around:
+            paired, about = beside_pair(paired, about, around, group)
+        judged = judge_where(paired, judge, Ask("noul", boundary_question(question), about, context=context or {}), "_answer", F.col("_before").isNotNull())
+    judged = judged.withColumn("p", F.col("_answer.noul")).withColumn("error", F.col("_answer.error")).drop("_answer", "_text", "_before", "_earlier", "_later")
     fits = F.coalesce(F.col("error").isNull() & (F.col("p") >= threshold), F.lit(False))
     if min_len <= 1:
         judged = judged.withColumn("cut", fits)

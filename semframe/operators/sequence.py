@@ -102,6 +102,19 @@ def with_shifted(df: DataFrame, cols: dict[str, str], offset: int, group: Sequen
     return over_neighbours(df, {b: value(a) for a, b in cols.items()}, abs(offset), group, num)
 
 
+def beside_pair(paired: DataFrame, about: dict[str, Column], n: int, group: Sequence[str], text: str = "_text") -> tuple[DataFrame, dict[str, Column]]:
+    """What a question about a record and the one before is shown besides: ``n`` records before both and ``n`` after."""
+    def some(steps):
+        def lists(w):
+            found = F.filter(F.array(*[F.lead(text, k).over(w) for k in steps]), lambda x: x.isNotNull())
+            return F.when(F.size(found) > 0, found)
+
+        return lists
+
+    shown = over_neighbours(paired, {"_earlier": some(range(-n - 1, -1)), "_later": some(range(1, n + 1))}, n + 1, group)
+    return shown, {"before": F.col("_earlier"), **about, "after": F.col("_later")}
+
+
 def running_sum(df: DataFrame, value: Column, out: str, group: Sequence[str] = ("file_idx",), num: str = "num", block: int = BLOCK) -> DataFrame:
     """``out``: the sum of ``value`` over the group's records up to and with this one."""
     cut = df.withColumn("_v", value).withColumn("_block", F.floor(F.col(num) / block))

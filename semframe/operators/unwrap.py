@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from semframe.functions.text import clean, trim_blank
 from semframe.operators.sequence import judge_where, running_sum, with_shifted
-from semframe.plans.judge import Ask, Judge
+from semframe.operators.windows import ask_at_breaks
+from semframe.plans.judge import Ask, BatchJudge, Judge
 
 # The line kinds by pattern, and the thresholds after a dangling and after a finished line.
 FENCE = r"\A {0,3}(```|~~~)"
@@ -21,6 +22,8 @@ TABLE = r"\A[ \t\f\r]*\|"
 TERMINAL = r"[.!?:;…][\"'”’)\]]*\z"
 HYPHEN = r"\p{L}-\z"
 DANGLING_T, TERMINAL_T = 0.2, 0.5
+# lines of a window and its estimated tokens
+WINDOW, WINDOW_TOKENS = 120, 5_500
 
 BLANK, FIXED, STARTS, PLAIN = "blank", "fixed", "starts", "plain"
 
@@ -50,7 +53,11 @@ def sem_unwrap_lines(df: DataFrame, judge: Judge, *, dangling: float = DANGLING_
     open_ = ~settled & ((F.col("kind") != STARTS) | (F.col("_line").rlike(QUOTE) & F.col("_before").rlike(QUOTE)))
     ask = Ask("noul", "Does `f2` go on with a sentence that `f1` leaves unfinished?", {"f1": clean(F.col("_before")), "f2": clean(F.col("_line"))},
               yes="The break tore a sentence apart", no="Something new begins: a sentence, an item, a heading", context=context or {})
-    judged = judge_where(lines, judge, ask, "_answer", F.coalesce(open_, F.lit(False)))
+    if isinstance(judge, BatchJudge):  # all breaks of a window in one request, the lines as its document
+        judged = ask_at_breaks(lines, judge, open_, lambda tag: F.concat(F.lit("Does line "), tag, F.lit(" go on with a sentence that the line before it leaves unfinished?")),
+                               group=group, text="_line", size=WINDOW, tokens=WINDOW_TOKENS, prefix="L", yes=ask.yes, no=ask.no, context=context)
+    else:
+        judged = judge_where(lines, judge, ask, "_answer", F.coalesce(open_, F.lit(False)))
     judged = judged.withColumn("p", F.col("_answer.noul")).withColumn("error", F.col("_answer.error"))
     limit = F.when(trim_blank(F.col("_before"), left=False).rlike(TERMINAL), F.lit(terminal)).otherwise(F.lit(dangling))
     judged = judged.withColumn("join", F.coalesce(F.col("error").isNull() & (F.col("p") >= limit), F.lit(False)))

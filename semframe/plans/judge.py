@@ -167,6 +167,32 @@ class Refused(RuntimeError):
 Handler = Callable[[dict], list[dict]]
 
 
+def _asking(handler: Handler) -> Callable[[str, list[dict]], list[dict]]:
+    """``(state, questions)`` to answers: in halves where refused as too large, errors as answers, refusals raised."""
+
+    def ask_all(state: str, questions: list[dict]) -> list[dict]:
+        try:
+            answers = handler({"state": json.loads(state), "questions": questions})
+            if len(answers) != len(questions):
+                raise ValueError("the number of answers is not the number of questions")
+            return answers
+        except Overlimit as e:
+            if len(questions) == 1:
+                return [{"error": f"too large: {e}"}]
+            half = len(questions) // 2
+            return ask_all(state, questions[:half]) + ask_all(state, questions[half:])
+        except Refused:
+            raise
+        except Exception as e:  # noqa: BLE001
+            return [{"error": f"{type(e).__name__}: {e}"}] * len(questions)
+
+    return ask_all
+
+
+#: What a window is answered: for each question its key and the parts of an answer.
+WINDOW_ANSWERS = "array<struct<key:string,noul:double,choice:string,confidence:double,probabilities:map<string,double>,error:string>>"
+
+
 class BatchJudge(Judge):
     """Answers by a function from a request ``{state, questions: [{type, instructions, criteria}]}`` to a list of answers.
 
@@ -178,21 +204,7 @@ class BatchJudge(Judge):
         self.handler, self.limits, self.partitions = handler, limits, partitions
 
     def _run(self, handler: Handler, limits: Limits):
-        def ask_all(state: str, questions: list[dict]) -> list[dict]:
-            try:
-                answers = handler({"state": json.loads(state), "questions": questions})
-                if len(answers) != len(questions):
-                    raise ValueError("the number of answers is not the number of questions")
-                return answers
-            except Overlimit as e:
-                if len(questions) == 1:
-                    return [{"error": f"too large: {e}"}]
-                half = len(questions) // 2
-                return ask_all(state, questions[:half]) + ask_all(state, questions[half:])
-            except Refused:
-                raise
-            except Exception as e:  # noqa: BLE001
-                return [{"error": f"{type(e).__name__}: {e}"}] * len(questions)
+        ask_all = _asking(handler)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep: pd.DataFrame | None = None
@@ -227,6 +239,32 @@ class BatchJudge(Judge):
 
         return run
 
+    def attach_windows(self, windows: DataFrame) -> DataFrame:
+        """``windows`` with ``answers`` (``WINDOW_ANSWERS``) to their ``questions(key, type, instructions, criteria)`` about their
+        ``state``: a request for each window, or as many as its questions need."""
+        handler, limits = self.handler, self.limits
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask_all = _asking(handler)
+            for batch in batches:
+                for row, state, questions, state_est, ests in zip(*[batch[c] for c in ("_row", "state", "questions", "_state_est", "_ests")]):
+                    qs = [{"type": q["type"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"]) if q["criteria"] else None} for q in questions]
+                    packed = pack([state] * len(qs), [state_est] * len(qs), list(ests), limits)
+                    calls = [lambda idx=idx: ask_all(state, [qs[i] for i in idx]) for idx in packed]
+                    out = [None] * len(qs)
+                    for idx, answers in zip(packed, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
+                        for i, a in zip(idx, answers):
+                            out[i] = {"key": questions[i]["key"], **{n: a.get(n) for n in ("noul", "choice", "confidence", "probabilities", "error")}}
+                    yield pd.DataFrame({"_row": [row], "answers": [out]})
+
+        rows = durable(windows.withColumn("_row", F.monotonically_increasing_id()))
+        sized = rows.select("_row", "state", "questions", estimate_json(F.col("state")).alias("_state_est"),
+                            F.transform("questions", lambda q: estimate_json(F.concat(q["instructions"], F.coalesce(q["criteria"], F.lit(""))))).alias("_ests"))
+        if self.partitions:
+            sized = sized.repartition(self.partitions)
+        answers = durable(sized.mapInPandas(run, f"_row bigint, answers {WINDOW_ANSWERS}"))
+        return rows.join(answers, "_row").drop("_row", "state", "questions")
+
     def attach(self, df: DataFrame, ask: Ask, out: str) -> DataFrame:
         """The rows are numbered and written once, so that answers come back to the right row whatever is run again."""
         rows = durable(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from semframe.functions import text as T
 from semframe.functions.templates import parse_question_json, parse_specs
-from semframe.operators import edit, filter as filt, label, pick, probe, rank, segment, sort, test as whole
+from semframe.operators import edit, filter as filt, label, pick, probe, rank, segment, sort, test as whole, unwrap
 from semframe.plans import ledger, oracles as O
 from semframe.plans.judge import Ask, BatchJudge, Limits, Overlimit
 from semframe.plans.remote import WaveJudge
-from semframe.queries_ops import _DOCS, _UNWRAP, _WRAPPED, LABELS, RULES, _clean_sql, _docs, _drained, _est_sql, _judge, _ledger, _p_sql, _stream, docs
+from semframe.queries_ops import SQL as OPS
+from semframe.queries_ops import _DOCS, _SPACE, _UNWRAP, _WRAPPED, LABELS, RULES, _clean_sql, _docs, _drained, _est_sql, _events, _inputs, _judge, _ledger, _p_sql, _stream, docs
 from semframe.session import shared_folder, table
 from semframe.sources import records as R
 from semframe.sources import tables as TB
@@ -47,6 +51,28 @@ def at_most(n: int):
     return handler
 
 
+def by_document(request: dict) -> list[dict]:
+    """A handler that reads the lines of a document by their ids: choices by the rules, segments where a line says ``signup``,
+    joined lines by a small letter or a marker."""
+    lines = dict(x.split("| ", 1) for x in request["state"]["document"].split("\n") if "| " in x)
+    rule = lambda t: next((p for word, p in RULES if word in t.lower()), 0.05)
+    out = []
+    for q in request["questions"]:
+        said = q["instructions"]["question"]
+        tag = re.search(r"\b[LR]\d{4,}\b", said)
+        if q["type"] == "choice":
+            out.append({"probabilities": {k: rule(lines[k]) for k in q["criteria"]}})
+        elif tag is None:
+            out.append({"noul": max(map(rule, lines.values()))})
+        elif tag[0][0] == "R":
+            out.append({"noul": 0.95 if "signup" in lines[tag[0]] else 0.05})
+        else:
+            text = re.sub(r"\A[ \t>]+", "", lines[tag[0]])
+            marker = re.search(r"p=([0-9]*\.?[0-9]+)", text)
+            out.append({"noul": float(marker[1]) if marker else 0.9 if unicodedata.category(text[:1] or " ") == "Ll" else 0.05})
+    return out
+
+
 SMALL = Limits(request_tokens=4_000, question_tokens=1_000, questions=16)
 
 
@@ -65,6 +91,21 @@ def batch_label(spark, d):
     return label.sem_label(_docs(spark, d), BatchJudge(by_rules), LABELS, threshold=0.5).select("doc_id", "label", "confidence")
 
 
+def batch_pick(spark, d):
+    """The best records by choices among the lines of documents."""
+    return pick.sem_pick(_inputs(spark, d), BatchJudge(by_document), "Which reports a problem?", best=2, group=["file"]).select("file", "place", "num", "p", "verdict")
+
+
+def batch_segment(spark, d):
+    """Segments, all boundaries of a window in one request."""
+    return segment.segments(segment.sem_segment(_events(spark, d), BatchJudge(by_document), group=["user_id"], around=1), ["user_id"])
+
+
+def batch_unwrap(spark, d):
+    """Rejoined lines, all breaks of a window in one request."""
+    return unwrap.sem_unwrap(_inputs(spark, d), BatchJudge(by_document), dehyphen=True, group=["file"])
+
+
 def batch_rank(spark, d):
     out = rank.sem_rank(_docs(spark, d), BatchJudge(by_rules), QUESTION, ties=["doc_id"])
     return out.select("doc_id", "score", F.col("error").isNotNull().alias("failed"))
@@ -279,7 +320,7 @@ def stream_unwrap(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    batch_filter, batch_halves, batch_label, batch_rank, wave_budget, wave_stop, questions_encoded, questions_of_specs, tags, windows_of_sources,
+    batch_filter, batch_halves, batch_label, batch_rank, batch_pick, batch_segment, batch_unwrap, wave_budget, wave_stop, questions_encoded, questions_of_specs, tags, windows_of_sources,
     lines_written, texts_written, whole_files, chunks_of_texts, files_by_chunks, csv_written, tsv_written, csv_line_ends, routed_labels, segments_written, ledger_file,
     match_candidates, edit_trace, edit_union, edit_choose, context_first, sort_suppliers, stream_probe, stream_collapse, stream_segment, stream_unwrap,
 )}
@@ -388,6 +429,12 @@ SQL = {
     # rules as the function judge has them: no marker in the text decides
     "stream_unwrap": "WITH " + _UNWRAP.replace(f"regexp_replace({_clean_sql('line')}, '^[ \\t>]+', '') AS seen", "regexp_replace(line, '^[ \\t>]+', '') AS seen").replace("p=([0-9]*", "\\x{0}p=([0-9]*") + f", {_WRAPPED} SELECT CAST(file AS VARCHAR) AS file, min(num) AS num, count(*) AS n, string_agg(piece, '' ORDER BY num) AS text FROM q GROUP BY file, para",
 }
+SQL["batch_segment"], SQL["batch_unwrap"] = OPS["segment_events"], OPS["unwrap_docs"]
+SQL["batch_pick"] = rf"""WITH l AS (SELECT input_id AS file, num, {_clean_sql("regexp_replace(coalesce(line, ''), '" + chr(92) + "r$', '')")} AS t FROM (SELECT input_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS num FROM doc_inputs)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY p DESC, num) AS place, max(p) OVER (PARTITION BY file) AS top FROM (SELECT file, num, {_p_sql('t')} AS p FROM l WHERE regexp_matches(t, '[^{_SPACE}]')))
+      SELECT file, place, num, p, 'yes' AS verdict FROM r WHERE place <= 2 AND top >= 0.5"""
+SQL["walk_paths"] = """SELECT DISTINCT 'app-log/p00' AS path, true AS is_dir, CASE WHEN n <= 253 THEN CAST(0.9 AS DOUBLE) ELSE round(sqrt(CAST(0.9 AS DOUBLE) * 0.95), 9) END AS score, 1 AS place
+      FROM (SELECT count(DISTINCT file) AS n FROM documents WHERE starts_with(file, 'app-log/p00/')) WHERE n > 0"""
 SQL["quote_requests"] = f"""WITH RECURSIVE q AS (SELECT DISTINCT item_id, state_id, state_est, est FROM items),
       base AS (SELECT state_id AS g, row_number() OVER (PARTITION BY state_id ORDER BY item_id) AS k, coalesce(est + {_LIMITS.per_question}, 0) AS cost, est,
         coalesce({_LIMITS.frame + _LIMITS.per_question} + state_est + est > {_LIMITS.lone_room}, true) AS own, {_LIMITS.room - _LIMITS.frame} - state_est AS room FROM q), {_greedy(_LIMITS.questions)}

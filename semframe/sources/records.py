@@ -137,7 +137,8 @@ def with_neighbours(df: DataFrame, n: int, group: Sequence[str] = ("file_idx",),
 
     def side(steps):
         def lists(w):
-            found = F.filter(F.array(*[F.lead(text, k).over(w) for k in steps]), lambda x: x.isNotNull())
+            # numbers may have gaps: only true neighbours count
+            found = F.filter(F.array(*[F.when(F.lead(num, k).over(w).between(F.col(num) - n, F.col(num) + n), F.lead(text, k).over(w)) for k in steps]), lambda x: x.isNotNull())
             return F.when(F.size(found) > 0, found)
 
         return lists

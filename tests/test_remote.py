@@ -136,3 +136,35 @@ def test_open_requests_and_rates(server):
     for n in range(20, 26):
         slow(ask(n))
     assert time.time() - t >= 0.2
+
+
+def test_windows_are_one_request_each(spark):
+    """Boundaries of a window go out together, with the record before it and the context shown once."""
+    from pyspark.sql import functions as F
+
+    from semframe.operators import pick, segment
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def handler(request):
+        seen.add(1)
+        lines = request["state"]["document"].split("\n")
+        assert request["state"]["about"] == "a log" and lines[0].startswith(("R0001| ", "L0001| "))
+        out = []
+        for q in request["questions"]:
+            if q["type"] == "choice":
+                out.append({"probabilities": {k: float("ANSWER" in x) for k, x in zip(q["criteria"], lines)}})
+            else:
+                tag = q["instructions"]["question"].split()[-1].rstrip("?")
+                out.append({"noul": float("ANSWER" in request["state"]["document"]) if tag not in request["state"]["document"] else float("NEW" in next(x for x in lines if x.startswith(tag)))})
+        return out
+
+    df = R.from_strings(spark, ["".join(f"{'NEW' if i % 10 == 9 else 'on'} {i}\n" for i in range(200)), "single\n"])
+    got = segment.sem_segment(df, BatchJudge(handler), context={"about": "a log"}, around=2).orderBy("file_idx", "num").collect()
+    assert [r["num"] for r in got if r["cut"]] == [i for i in range(2, 201) if i % 10 == 0] and len(got) == 201
+    assert seen.value == 4  # 200 records in windows of 64; a single record has no boundary
+    df = R.from_strings(spark, ["".join(f"{'ANSWER' if i == 399 else 'line'} {i}\n" for i in range(600))])
+    best = pick.sem_pick(df, BatchJudge(handler), "where?", context={"about": "a log"}).collect()
+    assert [(r["num"], r["exists"]) for r in best] == [(400, 1.0)]
+    assert seen.value == 4 + 3 + 1  # three windows, then their finalists
+    assert df.select(F.count("num")).collect()[0][0] == 600
