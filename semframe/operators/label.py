@@ -198,7 +198,6 @@ def _by_expression(df: DataFrame, judge: OptionJudge, rows: list[tuple], forced:
 
     def grow(p: Column) -> Column:
         opts = F.element_at(tree, p["at"].cast("string"))
-        n = F.size(opts)
         fits = F.filter(opts, lambda o: judge.fits(F.col("_text"), o["name"], o["hint"]))
         won = F.array_min(F.transform(fits, lambda o: o["place"]))
         if judge.fallback == "last":
@@ -206,13 +205,15 @@ def _by_expression(df: DataFrame, judge: OptionJudge, rows: list[tuple], forced:
         elif judge.fallback is not None:
             won = F.coalesce(won, F.array_min(F.transform(F.filter(opts, lambda o: o["name"] == judge.fallback), lambda o: o["place"])))
 
-        def step(o: Column) -> Column:
+        def step(o: Column, won: Column, n: Column) -> Column:
             prob = F.when(n == 1, 1.0).when(won.isNull(), 1.0 / n).when(o["place"] == won, 0.9).otherwise(0.1 / (n - 1))
             logp, edges = p["logp"] + F.log(F.greatest(prob, F.lit(1e-9))), p["edges"] + 1
             return F.struct((-logp / edges).alias("cost"), F.concat(p["rank"], F.array(o["place"])).alias("rank"), o["to"].alias("at"),
                             F.concat(p["path"], F.lit("/"), o["name"], o["more"]).alias("path"), logp.alias("logp"), edges.alias("edges"), o["ends"].alias("done"))
 
-        return F.when(p["done"], F.array(p)).otherwise(F.transform(opts, step))
+        # an array of one binds the choice, so that it is made once and not for each option
+        made = F.transform(F.array(F.struct(opts.alias("opts"), won.alias("won"))), lambda z: F.transform(z["opts"], lambda o: step(o, z["won"], F.size(z["opts"]))))
+        return F.when(p["done"], F.array(p)).otherwise(F.flatten(made))
 
     for _ in range(deepest):
         out = out.withColumn("_paths", F.slice(F.array_sort(F.flatten(F.transform("_paths", grow))), 1, beam))

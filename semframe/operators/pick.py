@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from semframe.functions.text import clean
 from semframe.operators.test import NO, UNCERTAIN, YES
 from semframe.operators.windows import choose_in_windows, windowed
-from semframe.plans.judge import Ask, BatchJudge, Judge
+from semframe.plans.judge import Ask, BatchJudge, ExprJudge, Judge
 from semframe.session import durable
 
 # A window's candidates and estimated tokens, and the finalists it sends on.
 WINDOW, WINDOW_TOKENS, FINALISTS = 255, 16_000, 3
 MAX_SPANS, LONG_SPAN = 254, 100
+#: Parts of a group in which its best are looked for first.
+PARTS = 32
 
 
 def wording(question: str) -> str:
@@ -42,10 +44,12 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
 
     Each window sends its ``max(3, best)`` best on, in record order, until one window is left.  A judge by packed requests sees
     each window as a document, makes one choice among its lines, and is asked in the first round whether there is an answer
-    at all; others are asked about each record.  ``exists`` is the largest probability of the first round: below ``threshold`` the verdict is *no* and, unless ``force``, there are no rows.  A last
+    at all.  A judge by expression is asked about each record by itself, which gives the same without the rounds.  ``exists`` is the largest probability of the first round: below ``threshold`` the verdict is *no* and, unless ``force``, there are no rows.  A last
     probability under ``min_p`` is *uncertain*.  Blank and null records are no candidates; ties go to the earlier record.
     """
     cands = df.where(F.col(text).rlike("(?U)\\S")).select(*group, "num", F.col(text).alias("text"), clean(F.col(text)).alias("_text"))
+    if isinstance(judge, ExprJudge):
+        return _decided(*_best_by_record(cands, judge, question, best, group, context), best, group, threshold, min_p, force)
     keep = max(FINALISTS, best)
     ask = Ask("noul", wording(question), {"text": F.col("_text")}, context=context or {})
     exists, now, size = None, cands, max(window, 2 * keep)
@@ -67,7 +71,22 @@ def sem_pick(df: DataFrame, judge: Judge, question: str, *, best: int = 1, thres
             break
         now = judged.withColumn("_r", rank).where(F.col("_r") <= keep).drop("_r", "window", "p")
     final = judged.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("p").desc(), "num"))).where((F.col("place") <= best) & (F.col("p") >= 0))
-    out = final.join(exists, list(group)).select(*group, "place", "num", "text", "p", "exists")
+    return _decided(final, exists, best, group, threshold, min_p, force)
+
+
+def _best_by_record(cands: DataFrame, judge: ExprJudge, question: str, best: int, group: Sequence[str], context: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """What the tournament ends with if each record is judged by itself: the best of each group, found in parts of a group first."""
+    judged = judge.attach(cands, Ask("noul", wording(question), {"text": F.col("_text")}, context=context or {}), "_answer")
+    judged = judged.select(*group, "num", "text", F.coalesce(F.col("_answer.noul"), F.lit(-1.0)).alias("p"), F.pmod(F.xxhash64("num"), F.lit(PARTS)).alias("_part"))
+    order = [F.col("p").desc(), F.col("num")]
+    some = judged.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))).where(F.col("_r") <= best).drop("_r", "_part")
+    final = some.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).withColumn("exists", F.max("p").over(Window.partitionBy(*group)))
+    return final.where((F.col("place") <= best) & (F.col("p") >= 0)), None
+
+
+def _decided(final: DataFrame, exists: DataFrame | None, best: int, group: Sequence[str], threshold: float, min_p: float, force: bool) -> DataFrame:
+    out = final if exists is None else final.join(exists, list(group))
+    out = out.select(*group, "place", "num", "text", "p", "exists")
     v = F.when(F.col("exists") < threshold, NO).when(F.col("p") < min_p, UNCERTAIN).otherwise(YES)
     out = out.withColumn("verdict", v)
     return out if force else out.where(F.col("verdict") != NO)

@@ -33,10 +33,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+    """Materialise ``df`` as a table in the shared checkpoint folder and read that.
 
-    Used where a costly or non-deterministic frame (a judge, a tokenizer, an iteration state) feeds several
-    consumers.  The copy is on shared storage, so the loss of an executor loses nothing.
+    Used where a costly or non-deterministic frame (a judge, a tokenizer, an iteration state) feeds several consumers.  The copy
+    is on shared storage, so the loss of an executor loses nothing; being a table, it is read by column, and the optimizer
+    knows its size, so what is small is joined without a shuffle.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    where = shared_folder(spark, "table")
+    df.write.parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._written_at = where
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a ``durable`` frame that nothing reads any more."""
+    where = getattr(df, "_written_at", None)
+    if where is not None:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
