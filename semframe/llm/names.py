@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semframe.session import durable
+from semframe.session import durable, release
 
 # --- fixed values ------------------------------------------------------------------------------------------------------
 PLACEHOLDERS = set("|-|--|n/a|na|none|null|nil|tbd|tba|unknown|unbekannt|test|test account|x|xx|xxx|?|.|not available|no name|anonymous|dummy".split("|"))
@@ -363,9 +363,12 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = durable(joined.unionByName(tops.select(F.col("center").alias("id"), "center")))
         parts.append(new)
         gone = new.select("id")
+        last = free
         free = durable(free.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
+        release(last)
         if len(parts) == 8:  # the plan stays as deep as it is
             parts = [durable(_union(parts))]
+    release(free)
     own = nodes.select("id")
     if not parts:
         return own.withColumn("center", F.col("id"))
