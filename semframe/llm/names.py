@@ -617,39 +617,44 @@ def link(accounts: DataFrame, key: str = "cust_id", nicknames: str = NICKNAMES)
         sure.where("side <> ''").groupBy("field", "center", "qual", "side").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("field", "center", "qual").agg(F.max(F.struct("n", "side")).alias("m")).select("field", "center", "qual", F.col("m.side").alias("usual"))
     )
-    vague = full.where(~definite).select("field", "center", "cut", "options", "initial", "side", "context").distinct()
+    # what a spelling without a full qualifier may mean, by what it says alone: few patterns a core, however many accounts
+    said = ["field", "center", "cut", "options", "initial"]
+    text = F.concat_ws(",", "options")  # sorted
+    vague = full.where(~definite).withColumn("pattern", F.concat_ws("\x1f", "center", F.col("cut").cast("string"), text, "initial"))
+    patterns = vague.select("pattern", *said).distinct()
+    # a core cut to less than three letters stands for too many names
     prefixes = (
-        entities.withColumn("short", F.explode(F.expr("transform(sequence(1, length(center)), n -> substring(center, 1, n))")))
-        .select("field", F.col("short"), F.col("center").alias("whole"), "qual", "n")
+        entities.withColumn("short", F.explode(F.expr("transform(filter(sequence(1, length(center)), n -> n >= 3), n -> substring(center, 1, n))")))
+        .select("field", F.col("short").alias("center"), F.col("center").alias("whole"), "qual")
     )
-    by_core = vague.where("not cut").join(entities.withColumn("whole", F.col("center")), ["field", "center"])
-    by_prefix = vague.where("cut").join(prefixes.withColumnRenamed("short", "center"), ["field", "center"])
+    by_core = patterns.where("not cut").join(entities.select("field", "center", F.col("center").alias("whole"), "qual"), ["field", "center"])
+    by_prefix = patterns.where("cut").join(prefixes, ["field", "center"])
     # beside a core cut short a qualifier is often cut too
     short = F.col("cut") & F.exists("options", lambda o: F.col("qual").startswith(o))
     fits = ((F.size("options") == 0) | F.array_contains("options", F.col("qual")) | short) & ((F.col("initial") == "") | F.col("qual").startswith(F.col("initial")))
-    ident = ["field", "center", "cut", "options", "initial", "side", "context"]
-    meant = (
-        by_core.unionByName(by_prefix).where(fits)
-        .join(contexts.select("field", F.col("center").alias("whole"), "qual", "context", F.lit(2).alias("seen")), ["field", "whole", "qual", "context"], "left")
-        .join(sides.withColumnRenamed("center", "whole"), ["field", "whole", "qual"], "left")
-        .withColumn("score", F.coalesce("seen", F.lit(0)) + F.when((F.col("side") != "") & (F.col("side") == F.col("usual")), 1).otherwise(0))
+    meant = durable(
+        by_core.unionByName(by_prefix).where(fits).select("field", "pattern", "whole", "qual")
+        .join(sides.withColumnRenamed("center", "whole"), ["field", "whole", "qual"], "left").withColumn("e", F.concat_ws("|", "whole", "qual"))
     )
-    best = (
-        meant.groupBy(*ident, "score").agg(F.count(F.lit(1)).alias("ties"), F.min(F.struct("whole", "qual")).alias("e"))
-        .groupBy(*ident).agg(F.max(F.struct("score", "ties", "e")).alias("m"), F.sum("ties").alias("among"))
-        .select(*ident, F.when(F.col("m.ties") == 1, F.concat_ws("|", "m.e.whole", "m.e.qual")).alias("entity"), "among")
-    )
-    text = F.concat_ws(",", F.array_sort("options"))
+    known = meant.join(contexts.withColumnRenamed("center", "whole"), ["field", "whole", "qual"])
+
+    def counted(rows: DataFrame, by: list[str], n: str) -> DataFrame:
+        return rows.groupBy("field", "pattern", *by).agg(F.when(F.count(F.lit(1)) == 1, F.min("e")).alias(f"e{n}"), F.lit(True).alias(f"has{n}"))
+
+    # the narrowest evidence that fits anybody decides, if it fits just one: other name and legal form, other name, legal form, none
+    sided = F.col("usual").isNotNull()
+    steps = [
+        (counted(known.where(sided), ["context", "usual"], "3").withColumnRenamed("usual", "side"), ["field", "pattern", "context", "side"]), (counted(known, ["context"], "2"), ["field", "pattern", "context"]),
+        (counted(meant.where(sided), ["usual"], "1").withColumnRenamed("usual", "side"), ["field", "pattern", "side"]), (counted(meant, [], "0"), ["field", "pattern"]),
+    ]
+    settled = vague
+    for table, on in steps:
+        settled = settled.join(table, on, "left")
+    choice = F.when(F.col("has3") & (F.col("context") != "") & (F.col("side") != ""), F.col("e3"))
+    choice = choice.when(F.col("has2") & (F.col("context") != ""), F.col("e2")).when(F.col("has1") & (F.col("side") != ""), F.col("e1")).when(F.col("has0"), F.col("e0"))
+    # nobody it could be: an entity by what it says; several it could be: none
     alone = F.concat_ws("|", "center", F.concat(F.lit("?"), F.coalesce(F.when(text != "", text), F.col("initial"))))
-    cond = [F.col(f"v.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ident]
-    settled = (
-        full.where(~definite).alias("v").join(best.alias("b"), cond, "left")
-        .select("v.*", "b.entity", "b.among")
-        # nobody it could be: an entity by what it says; several it could be: none
-        .withColumn("entity", F.coalesce("entity", F.when(F.col("among").isNull(), alone)))
-        .where(F.col("entity").isNotNull())
-        .select("field", "key", "entity")
-    )
+    settled = settled.withColumn("entity", F.when(F.col("has0"), choice).otherwise(alone)).where(F.col("entity").isNotNull()).select("field", "key", "entity")
     out = sure.select("field", "key", F.concat_ws("|", "center", "qual").alias("entity")).unionByName(settled)
     return out.select("field", F.col("key").cast(kind).alias(key), "entity").distinct()
 
