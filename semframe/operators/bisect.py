@@ -15,6 +15,8 @@ from semframe.plans.judge import Ask, Judge, cleaned
 from semframe.sources.records import with_neighbours
 
 PROBES = 16
+#: Neighbours on either side that the verification shows at least.
+VERIFIED_WITH = 3
 
 
 @dataclass
@@ -64,12 +66,13 @@ def sem_bisect(df: DataFrame, judge: Judge, query: str, *, by: list[str | Column
     n = rows.count()
     if not n:
         return Flip(None, NO), rows.drop("_text")
-    about = {"text": F.col("_text")}
-    if window:
-        about = {"before": F.col("before"), **about, "after": F.col("after")}
-    ask = Ask("noul", template(query), about, context=context or {})
+    def ask(window: int) -> Ask:
+        about = {"text": F.col("_text")}
+        if window:
+            about = {"before": F.col("before"), **about, "after": F.col("after")}
+        return Ask("noul", template(query), about, context=context or {})
 
-    def at_positions(at: list[int]) -> DataFrame:
+    def at_positions(at: list[int], window: int) -> DataFrame:
         if not window:
             return rows.where(F.col("pos").isin(at))
         some = rows.where(F.col("pos").isin(sorted({i + j for i in at for j in range(-window, window + 1)})))
@@ -79,8 +82,8 @@ def sem_bisect(df: DataFrame, judge: Judge, query: str, *, by: list[str | Column
     def is_yes(p: float) -> bool:
         return ((p > band[1]) if band else (p >= threshold)) != invert
 
-    def answers(at: list[int]) -> dict[int, float]:
-        got = judge.attach(at_positions(at), ask, "_answer").select("pos", "_answer.noul", "_answer.error").collect()  # at most k rows
+    def answers(at: list[int], window: int = window) -> dict[int, float]:
+        got = judge.attach(at_positions(at, window), ask(window), "_answer").select("pos", "_answer.noul", "_answer.error").collect()  # at most k rows
         bad = [r for r in got if r["error"] is not None]
         if bad:
             raise RuntimeError(f"record {bad[0]['pos'] + 1}: {bad[0]['error']}")
@@ -107,7 +110,7 @@ def sem_bisect(df: DataFrame, judge: Judge, query: str, *, by: list[str | Column
     flip.pos, flip.p, flip.already = upper, known[upper], upper == 0
     doubt = band is not None and any(band[0] <= known[i] <= band[1] for i in (upper, upper - 1) if i in known)
     if verify:
-        again = answers([i for i in (upper - 1, upper) if i >= 0])
+        again = answers([i for i in (upper - 1, upper) if i >= 0], max(window, VERIFIED_WITH))
         doubt |= not is_yes(again[upper]) or (upper > 0 and is_yes(again[upper - 1]))
     flip.verdict = UNCERTAIN if doubt else YES
     return flip, rows.drop("_text")

@@ -7,22 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semframe.functions.text import clip
+from semframe.functions.text import clip, estimate_py
 from semframe.operators.sequence import with_position
 from semframe.plans.judge import Ask, Judge, cleaned
 from semframe.session import durable
 
 # The seed's levels, its sample of the list, and the passes made by default.
 SEED_LEVELS = ("first", "early", "middle", "late", "last")
-SAMPLE, CLIP, PASSES = 80, 300, 4
+SAMPLE, SAMPLE_TOKENS, CLIP, PASSES = 80, 12_000, 300, 4
 QUIET = 2
 
 
 def even_sample(df: DataFrame, pos: str, n: int, most: int = SAMPLE, text: str = "text") -> list[str]:
-    """At most ``most`` texts spread evenly over ``n`` records."""
+    """At most ``most`` texts spread evenly over ``n`` records, clipped, as many of them as fit the tokens of a sample."""
     step = max(1, n // most)
     rows = df.where(F.pmod(F.col(pos), F.lit(step)) == 0).orderBy(pos).limit(most).select(clip(F.col(text), CLIP).alias("t")).collect()
-    return [r["t"] for r in rows]
+    out, used = [], 0
+    for r in rows:
+        used += estimate_py(r["t"])
+        if used > SAMPLE_TOKENS:
+            break
+        out.append(r["t"])
+    return out
 
 
 def sem_sort(df: DataFrame, judge: Judge, order: str, *, passes: int = PASSES, reverse: bool = False, limit: int | None = None,

@@ -13,6 +13,10 @@ from semframe.session import durable
 MAX_OPTIONS, PRUNE, ROUNDS = 255, 0.005, 64
 LEAST, LEAST_VERIFIED = 0.15, 0.5
 HERE, NONE = ".", "(none)"
+#: Names beneath a directory that its option shows, and in a choice of all directories together.
+SAMPLE, SAMPLED_NAMES = 40, 3000
+#: Parts of a directory in which names are looked for first.
+PARTS = 16
 
 
 def path_words() -> OptionJudge:
@@ -26,14 +30,30 @@ def path_words() -> OptionJudge:
     return OptionJudge(fits, fallback=NONE)
 
 
+def names_beneath(eligible: DataFrame, places: DataFrame, most: Column) -> DataFrame:
+    """``path, names``: for each directory of ``places`` the names beneath it, breadth first, at most ``most`` of them (a column of
+    ``places``).  Found in parts of a directory first, so a large one is not sorted in one task."""
+    steps = F.split("path", "/")
+    up = eligible.select("path", F.size(steps).alias("deep"), steps.alias("steps")).where("deep > 1")
+    above = up.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("deep") - 1))).select(
+        F.array_join(F.slice("steps", F.lit(1), F.col("k")), "/").alias("dir"), (F.col("deep") - F.col("k")).alias("below"), F.array_join(F.expr("slice(steps, k + 1, deep - k)"), "/").alias("name"))
+    found = above.join(places.select(F.col("path").alias("dir"), most.alias("most")), "dir").withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)))
+    first = Window.partitionBy("dir", "part").orderBy("below", "name")
+    some = found.withColumn("r", F.row_number().over(first)).where("r <= most").drop("r")
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("below", "name"))).where("r <= most")
+    return some.groupBy(F.col("dir").alias("path")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("names"))
+
+
 def sem_walk(nodes: DataFrame, judge: Judge, query: str, *, beam: int = 3, results: int = 1, least: float | None = None, dirs_only: bool = False,
-             files_only: bool = False, verify: Judge | None = None) -> DataFrame:
+             files_only: bool = False, verify: Judge | None = None, sample: int = SAMPLE, heads: DataFrame | None = None) -> DataFrame:
     """``path, is_dir, score, place``: the best places, best first, with the geometric mean of their probabilities.
 
     Options of a directory are its entries in order of name (directories with a slash), ``.`` for itself (not at the root, not
     with ``files_only``) and ``(none)``; up to 255 are one choice, more are asked about one by one and not normalised.  Chains
     of directories with a single directory in them are one step unless ``dirs_only``.  Ties keep the order of the options.
-    ``verify`` asks about the best again, by itself, and sorts by that.
+    A directory is offered with a breadth-first sample of the names beneath it: ``sample`` of them, fewer among many options.
+    ``verify`` asks about the best again, by itself, and sorts by that; it sees what a file begins with, or what lies beneath a
+    directory, if ``heads(path, head)`` are given (see ``records.head_of``).
     """
     if dirs_only and files_only:
         raise ValueError("directories only and files only exclude each other")
@@ -76,9 +96,17 @@ def sem_walk(nodes: DataFrame, judge: Judge, query: str, *, beam: int = 3, resul
         full = some.unionByName(none.join(some.select("path").distinct(), "path", "left_semi"))
         if here is not None:
             full = full.unionByName(here.join(some.select("path").distinct(), "path", "left_semi"))
-        full = full.withColumn("looking_for", F.lit(query)).withColumn("hint", F.col("path"))
+        full = full.withColumn("looking_for", F.lit(query))
         sizes = full.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
-        full = durable(full.join(sizes, "path"))
+        full = full.join(sizes, "path")
+        if isinstance(judge, OptionJudge):  # rules look at names
+            full = durable(full.withColumn("hint", F.col("path")))
+        else:
+            each_of = F.least(F.lit(sample), F.greatest(F.lit(2), F.floor(F.lit(SAMPLED_NAMES) / F.col("size")))).cast("int")
+            full = durable(full)
+            shown = names_beneath(eligible, full.where("opens").select(F.col("to").alias("path"), "size").distinct(), each_of)
+            hint = F.when(F.col("names").isNotNull(), F.concat(F.lit("in "), F.col("path"), F.lit("; holds "), F.array_join("names", ", "))).otherwise(F.concat(F.lit("in "), F.col("path")))
+            full = durable(full.join(shown.withColumnRenamed("path", "to"), "to", "left").withColumn("hint", hint).select(*full.columns, "hint"))
         one = choose_among(full.where(F.col("size") <= MAX_OPTIONS), judge, ["path"], "Which entry is, or leads to, what `text` describes?", text="looking_for", option="option", hint="hint", place="place")
         total = F.sum("p").over(Window.partitionBy("path"))
         one = one.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(F.col("p")))
@@ -106,7 +134,12 @@ def sem_walk(nodes: DataFrame, judge: Judge, query: str, *, beam: int = 3, resul
         if isinstance(verify, OptionJudge):
             top = top.withColumn("score", F.when(verify.fits(F.lit(query), base, F.col("path")), 0.95).otherwise(0.05))
         else:
-            top = verify.attach(top, Ask("noul", "Is `path` what `text` describes?", {"text": F.lit(query), "path": F.col("path")}), "_a").withColumn("score", F.col("_a.noul")).drop("_a")
+            about = {"text": F.lit(query), "path": F.col("path")}
+            if heads is not None:
+                shown = names_beneath(eligible, top.where("is_dir"), F.lit(sample)).select("path", F.array_join("names", "\n").alias("beneath"))
+                top = top.join(heads.select("path", "head"), "path", "left").join(shown, "path", "left")
+                about["content"] = F.coalesce("head", "beneath")
+            top = verify.attach(top, Ask("noul", "Is `path` what `text` describes?", about), "_a").withColumn("score", F.col("_a.noul")).select("path", "is_dir", "score", "rank")
         out = top
     out = out.where(F.col("score") >= least).orderBy(F.col("score").desc(), "rank").limit(results)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "rank"))  # at most ``results`` rows

@@ -17,6 +17,7 @@ from semframe.functions.text import clean, estimate, tagged_id
 from semframe.operators.sequence import numbered, over_neighbours
 from semframe.plans.judge import BatchJudge, Limits
 from semframe.plans.planner import packed_requests
+from semframe.session import durable
 
 
 def windowed(records: DataFrame, group: Sequence[str], size: int, tokens: int | None, text: str = "_text") -> DataFrame:
@@ -53,18 +54,31 @@ def question(key: Column, kind: str, text: Column, criteria: Column | None = Non
 
 def choose_in_windows(rows: DataFrame, judge: BatchJudge, wording: str, exists: str | None, group: Sequence[str], context: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with ``p``, the share of each record in the choice of its window, and ``exists``, whether the window holds an answer
-    at all (null unless asked).  A failed window has p null."""
-    docs = documents(rows, group)
-    options = F.to_json(F.map_from_arrays(F.transform("lines", lambda x: x["tag"]), F.transform("lines", lambda x: F.lit(""))))
-    asked = [question(F.lit("best"), "choice", F.lit(wording), options)]
-    if exists is not None:
-        asked.append(question(F.lit("exists"), "noul", F.lit(exists)))
-    got = judge.attach_windows(docs.withColumn("state", state_of(context)).withColumn("questions", F.array(*asked)).drop("document"))
-    best = F.get(F.filter("answers", lambda a: a["key"] == "best"), 0)
-    there = F.get(F.filter("answers", lambda a: a["key"] == "exists"), 0)
-    one = got.select(*group, "window", best["probabilities"].alias("_probs"), there["noul"].alias("exists"), F.explode("lines").alias("_line"))
-    one = one.select(*group, F.col("_line.num").alias("num"), F.when(F.col("_probs").isNotNull(), F.coalesce(F.try_element_at("_probs", F.col("_line.tag")), F.lit(0.0))).alias("p"), "exists")
-    return rows.join(one, [*group, "num"])
+    at all (null unless asked).  A window refused as too large is halved; a failed one has p null."""
+    parts: list[DataFrame] = []
+    todo = rows.withColumn("window", F.col("window").cast("string"))
+    while True:
+        docs = documents(todo, group)
+        options = F.to_json(F.map_from_arrays(F.transform("lines", lambda x: x["tag"]), F.transform("lines", lambda x: F.lit(""))))
+        asked = [question(F.lit("best"), "choice", F.lit(wording), options)]
+        if exists is not None:
+            asked.append(question(F.lit("exists"), "noul", F.lit(exists)))
+        got = durable(judge.attach_windows(docs.withColumn("state", state_of(context)).withColumn("questions", F.array(*asked)).drop("document")))
+        best = F.get(F.filter("answers", lambda a: a["key"] == "best"), 0)
+        there = F.get(F.filter("answers", lambda a: a["key"] == "exists"), 0)
+        one = got.select(*group, "window", best["probabilities"].alias("_probs"), best["error"].alias("_error"), there["noul"].alias("exists"), F.size("lines").alias("_n"), F.posexplode("lines").alias("_i", "_line"))
+        # a window that is too large is asked in halves; a single record that is, is skipped
+        large = F.coalesce(F.col("_error").startswith("too large"), F.lit(False)) & (F.col("_n") > 1)
+        p = F.when(F.col("_probs").isNotNull(), F.coalesce(F.try_element_at("_probs", F.col("_line.tag")), F.lit(0.0)))
+        parts.append(one.where(~large).select(*group, F.col("_line.num").alias("num"), F.col("window").alias("_window"), p.alias("p"), "exists"))
+        again = one.where(large).select(*group, F.col("_line.num").alias("num"), F.concat("window", F.when(F.col("_i") * 2 < F.col("_n"), ".0").otherwise(".1")).alias("_window"))
+        if again.isEmpty():
+            break
+        todo = durable(todo.join(again, [*group, "num"]).withColumn("window", F.col("_window")).drop("_window"))
+    answers = parts[0]
+    for x in parts[1:]:
+        answers = answers.unionByName(x)
+    return rows.join(answers, [*group, "num"]).withColumn("window", F.col("_window")).drop("_window")
 
 
 def ask_at_breaks(rows: DataFrame, judge: BatchJudge, condition: Column, wording: Callable[[Column], Column], *, group: Sequence[str], text: str, size: int, tokens: int,

@@ -250,7 +250,9 @@ class BatchJudge(Judge):
                 for row, state, questions, state_est, ests in zip(*[batch[c] for c in ("_row", "state", "questions", "_state_est", "_ests")]):
                     qs = [{"type": q["type"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"]) if q["criteria"] else None} for q in questions]
                     packed = pack([state] * len(qs), [state_est] * len(qs), list(ests), limits)
-                    calls = [lambda idx=idx: ask_all(state, [qs[i] for i in idx]) for idx in packed]
+                    # a question that does not fit beside its document stands alone and is not sent
+                    lost = [len(idx) == 1 and limits.frame + state_est + ests[idx[0]] + limits.per_question > limits.lone_room for idx in packed]
+                    calls = [(lambda: [{"error": "too large for a request"}]) if bad else (lambda idx=idx: ask_all(state, [qs[i] for i in idx])) for idx, bad in zip(packed, lost)]
                     out = [None] * len(qs)
                     for idx, answers in zip(packed, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
                         for i, a in zip(idx, answers):

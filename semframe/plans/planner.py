@@ -13,7 +13,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from semframe.functions.text import estimate_json
 from semframe.operators.sequence import with_position
-from semframe.plans.judge import Ask, Limits, pack
+from semframe.plans.judge import Ask, Limits
+from semframe.session import durable
 
 
 @dataclass(frozen=True)
@@ -72,8 +73,8 @@ def cost_of(tokens: int, price: float | None) -> float | None:
 def plan(df: DataFrame, ask: Ask, *, limits: Limits = Limits(), billing: Billing | None = None, price: float | None = None, exact: bool = False) -> Quote:
     """The quote of one question per row, without asking any.
 
-    Tokens are summed in the JVM.  Requests are counted from the sums (questions of one state fill requests); ``exact`` runs the
-    packer in order, which only small runs need.
+    Tokens are summed in the JVM.  Requests are counted from the sums (questions of one state fill requests); ``exact`` packs them
+    in order as a run would, by blocks.
     """
     billing = billing or Billing()
     size = len(ask.options) or len(ask.levels)
@@ -81,11 +82,19 @@ def plan(df: DataFrame, ask: Ask, *, limits: Limits = Limits(), billing: Billing
     state = estimate_json(F.lit(ask.state()))
     est = df.select(estimate_json(F.concat(ask.instructions(), F.lit(criteria))).alias("est"), state.alias("state"))
     if exact:
-        rows = est.collect()
-        packed = pack([""] * len(rows), [r["state"] for r in rows], [r["est"] for r in rows], limits)
-        st = rows[0]["state"] if rows else 0
-        tokens = len(packed) * billing.base(st, limits) + sum(billing.per(st, r["est"], ask.kind, size, limits) for r in rows)
-        return Quote(len(rows), len(packed), tokens, cost_of(tokens, price))
+        rows = est.withColumn("_g", F.lit(0)).withColumn("_i", F.monotonically_increasing_id())
+        packed = packed_requests(durable(rows), state="_g", state_est="state", est="est", group=["_g"], by=["_i"], limits=limits)
+        r = packed.agg(F.count(F.lit(1)).alias("n"), F.max("request").alias("last"), F.max("state").alias("state"), F.sum("est").alias("est")).collect()[0]
+        if not r["n"]:
+            return Quote(usd=cost_of(0, price))
+        requests = r["last"] + 1
+        if type(billing) is Billing:
+            body = r["est"] + r["n"] * limits.per_question
+        else:  # what a question costs may depend on it: sizes are few
+            sizes = est.groupBy("est").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per size, at most as many as a question has tokens
+            body = sum(x["n"] * billing.per(r["state"], x["est"], ask.kind, size, limits) for x in sizes)
+        tokens = requests * billing.base(r["state"], limits) + body
+        return Quote(r["n"], requests, tokens, cost_of(tokens, price))
     r = est.agg(F.count(F.lit(1)).alias("n"), F.sum("est").alias("est"), F.max("state").alias("state")).collect()[0]
     if not r["n"]:
         return Quote(usd=cost_of(0, price))
@@ -113,6 +122,36 @@ def sort_bound(n: int, passes: int, seed: Quote, tokens_per_pass: int) -> Quote:
     return seed + Quote(passes * max(0, n - 1), passes, passes * tokens_per_pass, seed.usd) if passes and n > 1 else seed
 
 
+def pick_bound(windows: int, candidates: int, tokens: int, keep: int, size: int, per_request: int) -> Quote:
+    """What a tournament asks: a choice and an existence question for each of the first ``windows``, whose records have ``tokens``
+    tokens together, and a choice for each window of the rounds after, among ``keep`` finalists of each."""
+    requests, questions, total, now = windows, 2 * windows, tokens + windows * per_request, windows
+    mean = tokens / candidates if candidates else 0.0
+    while now > 1:
+        finalists = min(now * keep, candidates)
+        now = -(-finalists // max(size, 2 * keep))
+        requests, questions, total = requests + now, questions + now, total + int(finalists * mean) + now * per_request
+    return Quote(questions, requests, total)
+
+
+def tree_bound(records: int, levels: list[int], beam: int, per_question: int) -> Quote:
+    """At most what labels by a taxonomy ask: per record and level one choice for each open path; ``levels`` are the numbers of
+    parents with a choice on each level."""
+    questions = records * sum(min(beam, n) for n in levels)
+    return Quote(questions, questions, questions * per_question)
+
+
+def walk_bound(rounds: int, beam: int, per_question: int, verified: int = 0) -> Quote:
+    """At most what a walk of so many rounds asks: a choice for each of the ``beam`` open places, and the verification."""
+    questions = 1 + max(0, rounds - 1) * beam + verified
+    return Quote(questions, questions, questions * per_question)
+
+
+def projection(spent: int, asked: int, total: int) -> int:
+    """What a run will have spent when all is asked, from what it has spent so far."""
+    return spent if asked <= 0 else round(spent * max(total, asked) / asked)
+
+
 class BudgetExceeded(RuntimeError):
     """A quote is over a limit; nothing was asked."""
 

@@ -194,11 +194,15 @@ def jsonl(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.trim(F.col(text)) != "").withColumn("parsed", F.try_parse_json(F.col(text)))
 
 
-def head_of(df: DataFrame, n: int = 20, width: int = 120) -> DataFrame:
-    """The first ``n`` lines of each file, clipped."""
-    from semframe.functions.text import clip
-
-    return df.where(F.col("num") <= n).withColumn("text", clip(F.col("text"), width))
+def head_of(df: DataFrame, n: int = 20, width: int = 120, tokens: int | None = None) -> DataFrame:
+    """The first ``n`` lines of each file, clipped, and of these as many as ``tokens`` allow."""
+    from semframe.functions.text import clip, estimate
+
+    head = df.where(F.col("num") <= n).withColumn("text", clip(F.col("text"), width))
+    if tokens is None:
+        return head
+    used = F.sum(estimate(F.coalesce("text", F.lit("")))).over(Window.partitionBy("file_idx").orderBy("num"))  # at most ``n`` rows a file
+    return head.withColumn("_used", used).where(F.col("_used") <= tokens).drop("_used")
 
 
 def path_exists(path: str) -> bool:

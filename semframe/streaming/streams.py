@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from semframe.operators import unwrap as lines_
+from semframe.plans.judge import Refused
 
-PairJudge = Callable[[list[tuple[str, str]]], list[float]]
+PairJudge = Callable[[list[tuple[str, str]]], list[float | None]]
 #: Input of the stateful forms; ``eof`` may be null.
 INPUT = "file string, num bigint, text string, eof boolean"
 
@@ -42,6 +43,26 @@ def lowercase_start(pairs: list[tuple[str, str]]) -> list[float]:
     return [0.9 if b.lstrip(" \t>")[:1].islower() else 0.05 for _, b in pairs]
 
 
+def judged_pairs(handler, wording: str, limit: int = 128) -> PairJudge:
+    """Pairs judged by a handler of packed requests, ``limit`` questions a request; a failed pair is None: no run goes on, no
+    segment begins, no line is joined."""
+
+    def judge(pairs: list[tuple[str, str]]) -> list[float | None]:
+        out: list[float | None] = []
+        for lo in range(0, len(pairs), limit):
+            qs = [{"type": "noul", "instructions": {"f1": a, "f2": b, "question": wording}, "criteria": None} for a, b in pairs[lo : lo + limit]]
+            try:
+                answers = handler({"state": "Answer each question about the record it contains.", "questions": qs})
+            except Refused:
+                raise
+            except Exception:  # noqa: BLE001
+                answers = [{"error": "failed"}] * len(qs)
+            out += [None if a.get("error") else a.get("noul") for a in answers]
+        return out
+
+    return judge
+
+
 def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int | None) -> DataFrame:
     """``fold(file, rows, state or None, ended) -> (output rows, state or None)`` per input and micro-batch."""
     names = [x.split()[0] for x in out.split(", ")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 import re
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from semframe import render
 from semframe.functions.templates import Label, parse_labels, parse_specs, parse_taxonomy
+from semframe.functions.text import estimate
 from semframe.operators import bisect, collapse, columns, edit, filter as filt, label, pick, probe, rank, segment, sort, test as whole, unwrap, walk
 from semframe.operators.options import keyword_options
 from semframe.plans import oracles as O
@@ -315,7 +317,7 @@ def test_best_record(spark):
 def test_windows_are_filled_in_order(spark):
     rnd = random.Random(13)
     lines = ["word " * rnd.choice([1, 5, 30, 90]) for _ in range(300)]
-    sizes = [r["e"] for r in loaded(spark, lines).orderBy("num").select(pick.estimate(F.col("text")).alias("e")).collect()]
+    sizes = [r["e"] for r in loaded(spark, lines).orderBy("num").select(estimate(F.col("text")).alias("e")).collect()]
     want, used = [], None
     for e in sizes:
         if used is None or want[-1] >= 20 or used + e > 60 or e > 60:
@@ -454,3 +456,35 @@ def test_large_and_scanned_directories(spark, tmp_path):
     assert T.read_directory(spark, str(tmp_path), hidden=True).where("not is_dir").count() == len(STORES) + 2
     with pytest.raises(ValueError):
         T.read_directory(spark, str(tmp_path), most=5)
+
+
+def test_walk_shows_what_lies_beneath(spark):
+    """A judge by requests finds a directory with an unspeaking name by the names beneath it, and is shown the content at the end."""
+    from semframe.plans.judge import BatchJudge
+
+    def handler(request):
+        out = []
+        for q in request["questions"]:
+            about = q["instructions"]
+            if q["type"] == "choice":
+                options = about["options"] if isinstance(about["options"], list) else json.loads(about["options"])
+                fits = [o["option"] for o in options if "tide" in o["option"] or "tide" in (o.get("means") or "")] or ["(none)"]
+                out.append({"probabilities": {o["option"]: float(o["option"] == fits[0]) for o in options}})
+            else:
+                out.append({"noul": 0.9 if "moon" in (about.get("content") or "") else 0.1})
+        return out
+
+    nodes = T.nodes_of_paths(spark.createDataFrame([(p,) for p in ("x1/a/tides.csv", "x1/b.txt", "x2/c.txt", "x2/d.txt")], "path string"))
+    heads = spark.createDataFrame([("x1/a/tides.csv", "moon, height")], "path string, head string")
+    got = walk.sem_walk(nodes, BatchJudge(handler), "tide tables", verify=BatchJudge(handler), heads=heads).collect()
+    assert [(r["path"], r["score"]) for r in got] == [("x1/a/tides.csv", 0.9)]
+    small = T.nodes_of_paths(spark.createDataFrame([(f"d/{c}/{i}.txt",) for c in "ab" for i in range(30)], "path string"))
+    names = walk.names_beneath(small, small.where("path = 'd'"), F.lit(5)).collect()[0]["names"]
+    assert names == ["a", "b", "a/0.txt", "a/1.txt", "a/10.txt"]
+
+
+def test_heads_are_bounded(spark):
+    df = loaded(spark, ["word " * 200] * 9, ["short"] * 30)
+    got = R.head_of(df, 20, 120, tokens=100).groupBy("file_idx").agg(F.count("num").alias("n"), F.max(F.length("text")).alias("w")).orderBy("file_idx").collect()
+    per = R.head_of(df, 1, 120).where("file_idx = 0").select(estimate(F.col("text")).alias("e")).collect()[0]["e"]
+    assert [(r["n"], r["w"]) for r in got] == [(100 // per, 120), (20, 5)]

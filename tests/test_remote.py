@@ -168,3 +168,55 @@ def test_windows_are_one_request_each(spark):
     assert [(r["num"], r["exists"]) for r in best] == [(400, 1.0)]
     assert seen.value == 4 + 3 + 1  # three windows, then their finalists
     assert df.select(F.count("num")).collect()[0][0] == 600
+
+
+def test_large_windows_are_halved(spark):
+    from semframe.operators import pick
+    from semframe.plans.judge import Overlimit
+
+    def handler(request):
+        lines = request["state"]["document"].split("\n")
+        if len(lines) > 9:
+            raise Overlimit("9")
+        return [{"probabilities": {k: float(x.split()[-1]) for k, x in zip(q["criteria"], lines)}} if q["type"] == "choice" else {"noul": 0.8} for q in request["questions"]]
+
+    df = R.from_strings(spark, ["".join(f"value {i % 37}\n" for i in range(100))])
+    best = pick.sem_pick(df, BatchJudge(handler), "largest?", best=2).orderBy("place").collect()
+    assert [r["num"] for r in best] == [37, 74]
+
+
+def test_pairs_of_a_stream_by_requests():
+    from semframe.plans.remote import Refused
+    from semframe.streaming.streams import judged_pairs
+
+    def handler(request):
+        if any("boom" in q["instructions"]["f2"] for q in request["questions"]):
+            raise ValueError("boom")
+        return [{"noul": 0.9} if q["instructions"]["f1"] == q["instructions"]["f2"] else {"error": "unclear"} for q in request["questions"]]
+
+    assert judged_pairs(handler, "same?", 2)([("a", "a"), ("a", "b"), ("c", "boom"), ("d", "d"), ("e", "e")]) == [0.9, None, None, None, 0.9]
+
+    def refuse(request):
+        raise Refused("401")
+
+    with pytest.raises(Refused):
+        judged_pairs(refuse, "same?")([("a", "b")])
+
+
+def test_quotes(spark):
+    from pyspark.sql import functions as F
+
+    from semframe.plans import planner
+    from semframe.plans.judge import Ask, pack
+    from semframe.functions.text import estimate_json
+
+    df = R.from_strings(spark, ["".join("word " * (i % 400) + "\n" for i in range(700))])
+    ask, limits = Ask("noul", "q", {"text": F.col("text")}), Limits(request_tokens=9_000, question_tokens=400)
+    ests = [r[0] for r in df.orderBy("num").select(estimate_json(ask.instructions())).collect()]
+    state = df.limit(1).select(estimate_json(F.lit(ask.state()))).collect()[0][0]
+    packed = pack([""] * 700, [state] * 700, ests, limits)
+    q = planner.plan(df.orderBy("num"), ask, limits=limits, exact=True)
+    assert (q.questions, q.requests) == (700, len(packed)) and q.tokens == len(packed) * (limits.frame + state) + sum(ests) + 700 * limits.per_question
+    assert planner.pick_bound(1, 10, 100, 3, 255, 262).requests == 1 and planner.pick_bound(3, 600, 6000, 3, 255, 262) == planner.Quote(7, 4, 6000 + 3 * 262 + 90 + 262)
+    assert planner.tree_bound(10, [1, 3, 8], 2, 50).questions == 50 and planner.walk_bound(3, 3, 100, 6).questions == 13
+    assert planner.projection(500, 50, 200) == 2000
