@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semframe.functions.templates import check_placeholders, template
-from semframe.operators.sequence import with_shifted
+from semframe.operators.sequence import over_neighbours
 from semframe.plans.judge import Ask, Judge, cleaned
 from semframe.sources.records import with_fields, with_neighbours
 
@@ -88,23 +88,25 @@ def with_context(judged: DataFrame, before: int = 0, after: int = 0, limit: int
     """Selected records and their neighbours: ``match`` tells which, ``gap`` that a group of records begins after another.
 
     With ``limit`` only the first matches count, and records after the last of them were never judged: their ``p`` is null.
-    Each match names its neighbours by number, so a large file is not sorted in one task.
+    One window over overlapping blocks of numbers, so a large file is not sorted in one task.
     """
     keys = [*group, "num"]
-    hits = judged.where(F.col("verdict") == SELECTED).select(*keys)
-    if limit is not None:
-        hits = hits.orderBy(*keys).limit(limit)
-    near = (
-        hits.select(*group, F.col("num").alias("_hit"), F.explode(F.sequence(F.col("num") - before, F.col("num") + after)).alias("num"))
-        .groupBy(*keys).agg(F.max((F.col("num") == F.col("_hit")).cast("int")).alias("_match"))
-    )
-    out = judged.join(near, keys).withColumn("match", F.col("_match") == 1)
+    hit = F.col("verdict") == SELECTED
     if limit is not None:
+        hits = judged.where(hit).select(*keys).orderBy(*keys).limit(limit)
         last = hits.agg(F.max(F.struct(*keys))).scalar()
-        out = out.withColumn("p", F.when(F.struct(*keys) <= last, F.col("p")))
+        judged = judged.withColumn("p", F.when(F.struct(*keys) <= last, F.col("p")))
+        hit = hit & (F.struct(*keys) <= last)
+    marked = judged.withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("int"))
+    # a match lies from ``after`` records before to ``before`` records behind; and so for the record before
+    near = {
+        "_near": lambda w: F.max("_hit").over(w.rowsBetween(-after, before)),
+        "_prev": lambda w: F.coalesce(F.max("_hit").over(w.rowsBetween(-after - 1, before - 1)), F.lit(0)),
+    }
+    out = over_neighbours(marked, near, max(before, after) + 1, group).where("_near = 1")
     first = out.groupBy().agg(F.min(F.struct(*keys))).scalar()
-    out = with_shifted(out, {"_match": "_prev"}, -1, group)
-    return out.withColumn("gap", F.col("_prev").isNull() & (F.struct(*keys) != first)).drop("_match", "_prev", "verdict")
+    gap = ((F.col("_prev") == 0) | (F.col("num") == 1)) & (F.struct(*keys) != first)
+    return out.withColumn("match", F.col("_hit") == 1).withColumn("gap", gap).drop("_hit", "_near", "_prev", "verdict")
 
 
 def sem_filter_files(chunks: DataFrame, judge: Judge, query: str, *, threshold: float = 0.5, band: tuple[float, float] | None = None,
