@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semframe.llm import encoding, mixing, names, packing, splitting, tokens
-from semframe.session import table
+from semframe.session import durable, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,26 @@ def p8_routes(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair(table(spark, d, "documents")).groupBy("route").agg(F.count(F.lit(1)).alias("found"), F.count("restored").alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_assignments, p4_requests, p4_fill, p4_check, p5_found, p5_pieces, p5_check, p6_ids, p7_uses, p7_shares, p7_check, p8_found, p8_restored, p8_routes)}
+def p8_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Sound documents, misread once and twice on purpose: whether nearly all of them are found and come back as they were."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike("[^\\x00-\\x7F]"))
+    sound = docs.join(encoding.repair(docs).select("doc_id"), "doc_id", "left_anti")
+    again = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    planted = sound.select("doc_id", F.lit(1).alias("times"), F.col("text").alias("true"), again(F.col("text")).alias("text")).unionByName(
+        sound.select("doc_id", F.lit(2).alias("times"), F.col("text").alias("true"), again(again(F.col("text"))).alias("text")))
+    planted = durable(planted.withColumn("key", F.concat_ws("-", "doc_id", "times")))
+    back = encoding.repair(planted.select("key", "text"), key="key")
+    out = planted.join(back, "key", "left").groupBy("times").agg(F.avg(F.col("kind").isNotNull().cast("int")).alias("found"), F.avg(F.coalesce(F.col("restored") == F.col("true"), F.lit(False)).cast("int")).alias("same"))
+    return out.select("times", (F.col("found") >= 0.99).alias("found"), (F.col("same") >= 0.95).alias("same"))
+
+
+def p2_check(spark: SparkSession, d: str) -> DataFrame:
+    """How many accounts name more than one entity in a field."""
+    linked = names.link(table(spark, d, "cutv_export"))
+    return linked.groupBy("field", "cust_id").agg(F.count(F.lit(1)).alias("n")).groupBy("field").agg(F.count_if(F.col("n") > 1).alias("twice"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p2_check, p4_assignments, p4_requests, p4_fill, p4_check, p5_found, p5_pieces, p5_check, p6_ids, p7_uses, p7_shares, p7_check, p8_found, p8_restored, p8_routes, p8_planted)}
 
 SQL = {
     "p4_check": """
@@ -103,6 +122,8 @@ SQL = {
     "p5_check": """
         SELECT input_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(list_sum([length(coalesce(x, '')) for x in lines]), 0) AS BIGINT) AS chars, false AS over
         FROM doc_inputs""",
+    "p2_check": "SELECT field, CAST(0 AS BIGINT) AS twice FROM (VALUES ('acct_nm'), ('prim_cntct')) AS f(field)",
+    "p8_planted": "SELECT times, true AS found, true AS same FROM (VALUES (1), (2)) AS t(times)",
     "p7_check": "SELECT source, true AS met, true AS within FROM mix_targets",
     "p5_found": """
         SELECT DISTINCT input_id FROM doc_inputs JOIN limits USING (protocol)
