@@ -35,11 +35,12 @@ _D = r"""CASE WHEN contains(h, chr(9)) THEN chr(9) WHEN contains(h, ',') THEN ',
 
 
 def _fields(d: str) -> str:
-    """DuckDB: the fields of a line at delimiter ``d``, null where its quoting is broken."""
+    """DuckDB: the fields of a line at delimiter ``d``, null where its quoting is broken.  Each match begins with a delimiter: an
+    empty one at the start of a line would end the search for the next."""
     one = rf'(?:"(?:[^"]|"")*"|[^"{d}]*)'
     return (
         rf"""CASE WHEN regexp_full_match(line, '{one}(?:{d}{one})*', 's')"""
-        rf""" THEN list_transform(regexp_extract_all(line, '(^|{d})("(?:[^"]|"")*"|[^"{d}]*)', 2, 's'),"""
+        rf""" THEN list_transform(regexp_extract_all('{d}' || line, '{d}("(?:[^"]|"")*"|[^"{d}]*)', 1, 's'),"""
         r""" lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) END"""
     )
 

@@ -9,7 +9,7 @@ Defined cases
 -------------
 * one trailing CR is not part of a line; a line that is then empty is not a record; null text is not a record;
 * the header is line 1 of its file and never a record; a file without line 1 has the reason ``no_header``;
-* a file whose header fits no known layout has the reason ``unknown_layout``;
+* a file whose header is not exactly the columns of a known layout in their order has the reason ``unknown_layout``;
 * tab files have no quoting; elsewhere a field is free of quotes, or wrapped in quotes as a whole with inner quotes
   doubled;
 * a file of any share of all rows is fine: the header join is salted by line number, and the anti join is on the
@@ -42,13 +42,11 @@ class Field:
 @dataclass(frozen=True)
 class Layout:
     name: str
-    marker: str
     fields: tuple[Field, ...]
 
 
 USERS = Layout(
     "users",
-    "Full Name",
     (
         Field("id", "id", "id"),
         Field("Full Name", "full_name", "person"),
@@ -60,7 +58,6 @@ USERS = Layout(
 )
 CUTV_EXPORT = Layout(
     "cutv-export",
-    "cust_id",
     (
         Field("cust_id", "cust_id", "id"),
         Field("acct_nm", "acct_nm", "free"),
@@ -187,7 +184,9 @@ def _parsed(lines: DataFrame) -> DataFrame:
     quoted = (d != "\t") & F.col("_line").contains('"')
     layout = F.lit(None).cast("string")
     for x in reversed(LAYOUTS):
-        layout = F.when(F.col("header").contains(x.marker), x.name).otherwise(layout)
+        # all the columns in their order: a file that only mentions one of them is not loaded by position
+        named = F.replace("header", F.lit('"'), F.lit("")).isin(*[sep.join(f.name for f in x.fields) for sep in ("\t", ",", ";")])
+        layout = F.when(named, x.name).otherwise(layout)
     return (
         lines.withColumn("_line", _trim_cr(F.col("text")))
         .withColumn("_d", delimiter_of(F.col("header")))

@@ -45,6 +45,8 @@ def test_strict_rows(spark):
         lines = [head, *g, "", "\r", *b, *list(b)[:1], None]
         rows += [(f, i, t) for i, t in enumerate(lines, 1)]
         want |= {(f, i): b[t] for i, t in enumerate(lines, 1) if t in b}
+    rows += [("other.csv", 1, "Full Name,id,E-mail,Tel,Signup,Plan"), ("other.csv", 2, "1,Ann,,,2025-01-31,free"), ("more.csv", 1, "note,cust_id"), ("more.csv", 2, "x,1")]
+    want |= {("other.csv", 2): "unknown_layout", ("more.csv", 2): "unknown_layout"}
     rows.append(("lost.csv", 2, "1,Ann,,,2025-01-31,free"))
     want["lost.csv", 2] = "no_header"
     df = spark.createDataFrame(rows, "file string, num bigint, text string").withColumn("header", F.lit("clash")).withColumn("reason", F.lit(1))
