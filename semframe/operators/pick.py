@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semframe.functions.text import clean
+from semframe.functions.text import clean, estimate, tagged_id
 from semframe.operators.test import NO, UNCERTAIN, YES
-from semframe.operators.windows import choose_in_windows, windowed
+from semframe.operators.windows import choose_in_windows, question as ask_question, state_of, windowed
 from semframe.plans.judge import Ask, BatchJudge, ExprJudge, Judge
 from semframe.session import durable
 
 # A window's candidates and estimated tokens, and the finalists it sends on.
 WINDOW, WINDOW_TOKENS, FINALISTS = 255, 16_000, 3
-MAX_SPANS, LONG_SPAN = 254, 100
+MAX_SPANS, LONG_SPAN, WHOLE_TOKENS = 254, 100, 20_000
 #: Parts of a group in which its best are looked for first.
 PARTS = 32
 
@@ -112,14 +112,46 @@ def candidates(texts: DataFrame, patterns: Sequence[str], key: Sequence[str] = (
     return first.select(*key, F.col("m.start").alias("start"), "span", F.col("m.line").alias("line"), F.col("m.around").alias("around"))
 
 
+def _chosen_match(texts: DataFrame, found: DataFrame, judge: BatchJudge, question: str, threshold: float, key: Sequence[str], text: str) -> DataFrame:
+    """One choice per text; a text has as many matches as a choice may hold, so they are one row."""
+    many = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_SPANS).limit(1).collect()
+    if many:
+        raise ValueError(f"{many[0]['n']} different matches in one text, more than {MAX_SPANS}")
+    one = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "span", "line", "around"))).alias("ms"))
+    by_id = F.exists("ms", lambda m: (F.length(m["span"]) > LONG_SPAN) | m["span"].contains("\n"))
+    one = one.withColumn("by_id", by_id).withColumn("names", F.transform("ms", lambda m, i: F.when(F.col("by_id"), tagged_id("M", i + 1, 3)).otherwise(m["span"])))
+    # the escape is in brackets until no match is called so
+    taken = lambda n: F.array_contains("names", n)
+    none = F.when(~taken("none"), F.lit("none")).when(~taken("(none)"), F.lit("(none)")).otherwise(F.lit("((none))"))
+    one = one.join(texts.select(*key, clean(F.col(text)).alias("_whole")), list(key))
+    parts = F.array_join(F.array_distinct(F.transform("ms", lambda m: F.concat_ws(" ", F.lit("…"), clean(m["around"])))), "\n")
+    one = one.withColumn("none", none).withColumn("document", F.when(estimate(F.col("_whole")) <= WHOLE_TOKENS, F.col("_whole")).otherwise(parts))
+    means = F.transform("ms", lambda m: F.when(F.col("by_id"), clean(m["span"])).otherwise(""))
+    criteria = F.to_json(F.map_from_arrays(F.concat("names", F.array("none")), F.concat(means, F.array(F.lit("none of them")))))
+    asked = F.array(ask_question(F.lit("match"), "choice", F.lit(f"Which match in `document` answers: {question}"), criteria))
+    got = judge.attach_windows(one.withColumn("state", state_of(None)).withColumn("questions", asked).drop("_whole", "document"))
+    probs = F.get("answers", 0)["probabilities"]
+    each = got.withColumn("_p", probs).where(F.col("_p").isNotNull()).select(*key, F.coalesce(F.try_element_at("_p", "none"), F.lit(0.0)).alias("none"), F.transform(
+        "ms", lambda m, i: F.struct((-F.coalesce(F.try_element_at(F.col("_p"), F.get("names", i)), F.lit(0.0))).alias("q"), m["start"].alias("start"), m["span"].alias("span"), m["line"].alias("line"))).alias("ms"))
+    best = each.withColumn("b", F.array_min("ms"))
+    out = best.where(-F.col("b.q") > F.col("none")).select(*key, F.col("b.start").alias("start"), F.col("b.span").alias("span"), F.col("b.line").alias("line"), (-F.col("b.q")).alias("p"))
+    return out.withColumn("verdict", F.when(F.col("p") < threshold, UNCERTAIN).otherwise(YES))
+
+
 def sem_pick_match(texts: DataFrame, judge: Judge, patterns: Sequence[str], question: str, *, threshold: float = 0.5, key: Sequence[str] = ("file_idx",),
                    text: str = "text") -> DataFrame:
     """The one match of the patterns that answers the question, per text: ``key, start, span, line, p, verdict``.
 
     Each match is judged with the line it stands in, clipped; the best wins unless it is less likely than not (*no*, no row) or under
     ``threshold`` (*uncertain*).  Ties go to the earlier match.
+
+    A judge by packed requests makes one choice among all distinct matches of a text, or none of them: at most ``MAX_SPANS``, more
+    are an error; if one is longer than ``LONG_SPAN`` or goes over lines, all are offered by ids ``M001`` with what they stand for.
+    Of a text over ``WHOLE_TOKENS`` tokens it sees the surroundings of the matches.
     """
     found = candidates(texts, patterns, key, text)
+    if isinstance(judge, BatchJudge):
+        return _chosen_match(texts, found, judge, question, threshold, key, text)
     ask = Ask("noul", f"Is `span` the answer to: {question}", {"text": clean(F.col("around")), "span": clean(F.col("span"))})
     judged = judge.attach(found, ask, "_answer").withColumn("p", F.col("_answer.noul"))
     best = judged.where(F.col("p").isNotNull()).groupBy(*key).agg(F.min(F.struct((-F.col("p")).alias("q"), "start", "span", "line")).alias("b"))

@@ -264,6 +264,22 @@ def match_candidates(spark, d):
     return pick.candidates(_texts(spark, d), [MAIL], ["doc_id"]).select("doc_id", "span", "line", "start")
 
 
+def one_of_matches(request: dict) -> list[dict]:
+    """A handler that chooses the first address of the bills among those offered by name or by id."""
+    text = request["state"]["document"]
+    out = []
+    for q in request["questions"]:
+        named = {k: (v or k) for k, v in q["criteria"].items()}
+        won = next((k for k, v in named.items() if v.startswith("billing")), None)
+        out.append({"probabilities": {k: 0.9 if k == won else 0.0 if won or k.startswith("(") or k == "none" else 0.6 for k in named}} if text else {"error": "no text"})
+    return out
+
+
+def batch_pick_match(spark, d):
+    """The one match, by one choice among all the matches of a text."""
+    return pick.sem_pick_match(_texts(spark, d), BatchJudge(one_of_matches), [MAIL], "Where do bills go?", key=["doc_id"], threshold=0.8).select("doc_id", "span", "line", "p", "verdict")
+
+
 def edit_trace(spark, d):
     """Every occurrence with its place, whether it was acted on, and by what."""
     j = O.ExprJudge(lambda ask: O.answer(noul=F.when(F.col("line") % 2 == 1, 0.95).otherwise(0.05)))
@@ -322,7 +338,7 @@ def stream_unwrap(spark, d):
 QUERIES = {f.__name__: f for f in (
     batch_filter, batch_halves, batch_label, batch_rank, batch_pick, batch_segment, batch_unwrap, wave_budget, wave_stop, questions_encoded, questions_of_specs, tags, windows_of_sources,
     lines_written, texts_written, whole_files, chunks_of_texts, files_by_chunks, csv_written, tsv_written, csv_line_ends, routed_labels, segments_written, ledger_file,
-    match_candidates, edit_trace, edit_union, edit_choose, context_first, sort_suppliers, stream_probe, stream_collapse, stream_segment, stream_unwrap,
+    match_candidates, batch_pick_match, edit_trace, edit_union, edit_choose, context_first, sort_suppliers, stream_probe, stream_collapse, stream_segment, stream_unwrap,
 )}
 
 
@@ -433,8 +449,10 @@ SQL["batch_segment"], SQL["batch_unwrap"] = OPS["segment_events"], OPS["unwrap_d
 SQL["batch_pick"] = rf"""WITH l AS (SELECT input_id AS file, num, {_clean_sql("regexp_replace(coalesce(line, ''), '" + chr(92) + "r$', '')")} AS t FROM (SELECT input_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS num FROM doc_inputs)),
       r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY p DESC, num) AS place, max(p) OVER (PARTITION BY file) AS top FROM (SELECT file, num, {_p_sql('t')} AS p FROM l WHERE regexp_matches(t, '[^{_SPACE}]')))
       SELECT file, place, num, p, 'yes' AS verdict FROM r WHERE place <= 2 AND top >= 0.5"""
-SQL["walk_paths"] = """SELECT DISTINCT 'app-log/p00' AS path, true AS is_dir, CASE WHEN n <= 253 THEN CAST(0.9 AS DOUBLE) ELSE round(sqrt(CAST(0.9 AS DOUBLE) * 0.95), 9) END AS score, 1 AS place
-      FROM (SELECT count(DISTINCT file) AS n FROM documents WHERE starts_with(file, 'app-log/p00/')) WHERE n > 0"""
+SQL["walk_paths"] = """WITH f AS (SELECT DISTINCT file FROM documents WHERE starts_with(file, 'app-log/p00/')), n AS (SELECT count(*) AS n FROM f),
+      e AS (SELECT file, row_number() OVER (ORDER BY file) AS k FROM f)
+      SELECT 'app-log/p00' AS path, true AS is_dir, CASE WHEN n <= 253 THEN CAST(0.9 AS DOUBLE) ELSE round(sqrt(CAST(0.9 AS DOUBLE) * 0.95), 9) END AS score, 1 AS place FROM n WHERE n > 0
+      UNION ALL SELECT file, false, round(sqrt(CAST(0.9 AS DOUBLE) * 0.05), 9), CAST(k + 1 AS INT) FROM e, n WHERE n > 253 AND k <= 2"""
 SQL["quote_requests"] = f"""WITH RECURSIVE q AS (SELECT DISTINCT item_id, state_id, state_est, est FROM items),
       base AS (SELECT state_id AS g, row_number() OVER (PARTITION BY state_id ORDER BY item_id) AS k, coalesce(est + {_LIMITS.per_question}, 0) AS cost, est,
         coalesce({_LIMITS.frame + _LIMITS.per_question} + state_est + est > {_LIMITS.lone_room}, true) AS own, {_LIMITS.room - _LIMITS.frame} - state_est AS room FROM q), {_greedy(_LIMITS.questions)}
@@ -453,6 +471,7 @@ SQL["segment_min"] = """WITH RECURSIVE r AS (SELECT user_id, event_type AS text,
 SQL["pick_match"] = rf"""WITH {_matches(r'[a-z]+@[a-z]+\.example')}, o AS (SELECT doc_id, occ AS span, CAST(arg_min(i, before + col) AS INT) AS line, min(before + col) AS start, starts_with(occ, 'billing') AS b FROM m GROUP BY doc_id, occ),
       k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, start) AS n FROM o)
       SELECT doc_id, span, line, CASE WHEN b THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS p, CASE WHEN b THEN 'yes' ELSE 'uncertain' END AS verdict FROM k WHERE n = 1"""
+SQL["batch_pick_match"] = SQL["pick_match"]
 SQL["context_first"] = f"""WITH {_DOCS}, h AS (SELECT file, num FROM docs WHERE p >= 0.9 ORDER BY file, num LIMIT 20), z AS (SELECT file AS lf, num AS ln FROM h ORDER BY file DESC, num DESC LIMIT 1),
       n AS (SELECT d.file, d.num, d.p, max(CAST(h.num = d.num AS INT)) = 1 AS match FROM docs d JOIN h ON d.file = h.file AND d.num BETWEEN h.num - 1 AND h.num + 2 GROUP BY ALL)
       SELECT file, num, CASE WHEN file < lf OR (file = lf AND num <= ln) THEN p END AS p, match FROM n, z"""

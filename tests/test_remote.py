@@ -220,3 +220,21 @@ def test_quotes(spark):
     assert planner.pick_bound(1, 10, 100, 3, 255, 262).requests == 1 and planner.pick_bound(3, 600, 6000, 3, 255, 262) == planner.Quote(7, 4, 6000 + 3 * 262 + 90 + 262)
     assert planner.tree_bound(10, [1, 3, 8], 2, 50).questions == 50 and planner.walk_bound(3, 3, 100, 6).questions == 13
     assert planner.projection(500, 50, 200) == 2000
+
+
+def test_one_choice_among_matches(spark):
+    from semframe.operators import pick
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def handler(request):
+        seen.add(1)
+        c = request["questions"][0]["criteria"]
+        want = next((k for k, v in c.items() if "7" in (v or k)), None)
+        return [{"probabilities": {k: float(k == want) if want else float(v == "none of them") for k, v in c.items()}}]
+
+    df = spark.createDataFrame([(1, "pier 3, pier 7, none, pier 3"), (2, "pier 1"), (3, "nothing"), (4, "pier 7 " + "x" * 120 + " pier 70")], "k int, text string")
+    got = pick.sem_pick_match(df, BatchJudge(handler), [r"pier \d+", "none", r"x{100,}"], "which?", key=["k"]).orderBy("k").collect()
+    assert [(r["k"], r["span"], r["p"], r["verdict"]) for r in got] == [(1, "pier 7", 1.0, "yes"), (4, "pier 7", 1.0, "yes")] and seen.value == 3
+    with pytest.raises(ValueError):
+        pick.sem_pick_match(spark.createDataFrame([(1, " ".join(f"pier {i}" for i in range(300)))], "k int, text string"), BatchJudge(handler), [r"pier \d+"], "which?", key=["k"])
