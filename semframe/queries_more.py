@@ -323,6 +323,13 @@ def _line_stream(spark, d):
     return x.select("file", (F.col("pos") + 1).cast("bigint").alias("num"), F.regexp_replace(F.coalesce("text", F.lit("")), "\\r\\z", "").alias("text"), (F.col("pos") == F.col("size")).alias("eof"))
 
 
+def stream_filter_near(spark, d):
+    """A streaming filter that shows the judge a record on either side of each."""
+    near = streams.stream_neighbours(_line_stream(spark, d), 1)
+    return _drained(spark, filt.sem_filter(near.withColumnRenamed("before", "earlier").withColumnRenamed("after", "later"), _judge(), QUESTION).select(
+        "file", "num", "p", F.length(F.get("earlier", 0)).alias("earlier"), F.length(F.get("later", 0)).alias("later")))
+
+
 def stream_collapse(spark, d):
     return _drained(spark, streams.stream_collapse(_line_stream(spark, d), streams.equal_texts)).select("file", "num", "n", "text")
 
@@ -338,7 +345,7 @@ def stream_unwrap(spark, d):
 QUERIES = {f.__name__: f for f in (
     batch_filter, batch_halves, batch_label, batch_rank, batch_pick, batch_segment, batch_unwrap, wave_budget, wave_stop, questions_encoded, questions_of_specs, tags, windows_of_sources,
     lines_written, texts_written, whole_files, chunks_of_texts, files_by_chunks, csv_written, tsv_written, csv_line_ends, routed_labels, segments_written, ledger_file,
-    match_candidates, batch_pick_match, edit_trace, edit_union, edit_choose, context_first, sort_suppliers, stream_probe, stream_collapse, stream_segment, stream_unwrap,
+    match_candidates, batch_pick_match, edit_trace, edit_union, edit_choose, context_first, sort_suppliers, stream_probe, stream_filter_near, stream_collapse, stream_segment, stream_unwrap,
 )}
 
 
@@ -439,6 +446,7 @@ SQL = {
       FROM documents WHERE text IS NOT NULL""",
     "sort_suppliers": "SELECT CAST(s_suppkey AS BIGINT) AS num, row_number() OVER (ORDER BY seed, s_suppkey) - 1 AS pos, seed FROM (SELECT s_suppkey, CAST(least(4, (s_suppkey * 7 + 3) % 25 // 5) AS DOUBLE) AS seed FROM supplier)",
     "stream_probe": f"SELECT doc_id, {_p_sql('t')} AS problem FROM (SELECT doc_id, coalesce({_clean_sql('text')}, '') AS t FROM documents)",
+    "stream_filter_near": f"WITH {_STREAM_LINES} SELECT file, num, {_p_sql(_clean_sql('text'))} AS p, length(lag(text) OVER w) AS earlier, length(lead(text) OVER w) AS later FROM l WINDOW w AS (PARTITION BY file ORDER BY num)",
     "stream_collapse": f"""WITH {_STREAM_LINES}, b AS (SELECT *, CASE WHEN lag(text) OVER w IS NOT DISTINCT FROM text AND num > 1 THEN 0 ELSE 1 END AS brk FROM l WINDOW w AS (PARTITION BY file ORDER BY num)),
       g AS (SELECT *, sum(brk) OVER (PARTITION BY file ORDER BY num) AS run FROM b) SELECT file, min(num) AS num, count(*) AS n, arg_min(text, num) AS text FROM g GROUP BY file, run""",
     "stream_segment": f"WITH {_STREAM_LINES} SELECT file, num, num > 1 AND contains(text, 'NEW') AS cut, 1 + CAST(sum(CASE WHEN num > 1 AND contains(text, 'NEW') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY num) AS BIGINT) AS segment FROM l",

@@ -11,6 +11,7 @@ pass, so it does not end under ``availableNow``.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -91,6 +92,26 @@ def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int | None
     return stream.groupBy("file").applyInPandasWithState(run, out, state, "append", timeout)
 
 
+def stream_neighbours(stream: DataFrame, n: int, idle_ms: int | None = None) -> DataFrame:
+    """``file, num, text, before, after``: each record with up to ``n`` texts on either side (null instead of empty), given out when
+    the records after it have come, or at the end.  A batch filter with neighbours, or any other question, follows on it."""
+
+    def fold(file, rows, state, ended):
+        past, waiting = json.loads(state[0]) if state else ([], [])
+        texts = past + [t for _, t in waiting] + [t for _, t in rows]
+        todo = [*waiting, *rows]
+        ready = len(todo) if ended else max(0, len(todo) - n)
+        out = []
+        for i, (num, text) in enumerate(todo[:ready], len(past)):
+            out.append((file, num, text, texts[max(0, i - n) : i] or None, texts[i + 1 : i + 1 + n] or None))
+        if ended:
+            return out, None
+        keep = len(past) + ready
+        return out, (json.dumps((texts[max(0, keep - n) : keep], todo[ready:])),) if texts else None
+
+    return _stateful(stream, fold, "file string, num bigint, text string, before array<string>, after array<string>", "kept string", idle_ms)
+
+
 def stream_collapse(stream: DataFrame, judge: PairJudge, threshold: float = 0.5, idle_ms: int | None = None) -> DataFrame:
     """Heads of runs with their length, as each run ends: ``file, num, n, text, p``."""
 

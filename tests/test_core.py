@@ -295,3 +295,14 @@ def test_evaluate_by_brute_force(spark):
     acc = lambda t: sum((p >= t) == (y == 1) for p, y in rows) / len(rows)
     assert r["accuracy"] == pytest.approx(acc(0.5)) and r["best_accuracy"] == pytest.approx(max(acc(t) for t in (0.5, *evaluate.GRID)))
     assert evaluate.evaluate(spark.createDataFrame([(0.5, 1)], "p double, label int")).collect()[0]["auc"] is None
+
+
+def test_stream_neighbours_over_batches(spark, tmp_path):
+    texts = [f"t{i}" for i in range(11)]
+    cuts = [(0, 1), (1, 2), (2, 7), (7, 11)]
+    for b, (lo, hi) in enumerate(cuts):
+        rows = [("f", i + 1, texts[i], False) for i in range(lo, hi)] + ([("f", 99, None, True)] if hi == 11 else [])
+        spark.createDataFrame(rows, streams.INPUT).coalesce(1).write.parquet(str(tmp_path / f"in/b{b}"))
+    s = spark.readStream.schema(streams.INPUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = streams.drain(streams.stream_neighbours(s, 2), "near", str(tmp_path / "c")).orderBy("num").collect()
+    assert [(r["text"], r["before"], r["after"]) for r in got] == [(t, texts[max(0, i - 2) : i] or None, texts[i + 1 : i + 3] or None) for i, t in enumerate(texts)]
