@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from semframe.functions import text as T
 from semframe.functions.templates import parse_question_json, parse_specs
-from semframe.operators import edit, filter as filt, label, pick, probe, rank, segment, sort, test as whole, unwrap
-from semframe.plans import ledger, oracles as O
+from semframe import render
+from semframe.operators import columns, edit, filter as filt, label, pick, probe, rank, segment, sort, test as whole, unwrap, walk
+from semframe.plans import ledger, oracles as O, planner
 from semframe.plans.judge import Ask, BatchJudge, Limits, Overlimit
 from semframe.plans.remote import WaveJudge
 from semframe.queries_ops import SQL as OPS
@@ -18,6 +19,7 @@ from semframe.queries_ops import _DOCS, _SPACE, _UNWRAP, _WRAPPED, LABELS, RULES
 from semframe.session import shared_folder, table
 from semframe.sources import records as R
 from semframe.sources import tables as TB
+from semframe.sources import tree
 from semframe.streaming import streams
 
 # --- questions and requests --------------------------------------------------------------------------------------------
@@ -312,6 +314,57 @@ def sort_suppliers(spark, d):
     return sort.sem_sort(x, O.number_order(), "by number", passes=0, ties=["num"]).select("num", "pos", "seed")
 
 
+def output_lines(spark, d):
+    """Records with score, file and number before them, as they are written."""
+    judged = filt.sem_filter(docs(spark, d), _judge(), QUESTION)
+    return judged.select("doc_id", F.md5(render.line_column(files=True, numbers=True, scores=True, hit=F.col("p") >= 0.5)).alias("md5"))
+
+
+def sort_reversed(spark, d):
+    """The last of an order first."""
+    x = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("num"), F.concat(F.lit("item "), F.pmod(F.col("n_nationkey") * 7 + 3, F.lit(25))).alias("text"))
+    return sort.sem_sort(x, O.number_order(), "by number", passes=30, reverse=True, limit=5, ties=["num"]).select("num", "pos")
+
+
+def pick_uncertain(spark, d):
+    """Best records, those under a least probability uncertain."""
+    return pick.sem_pick(docs(spark, d), _judge(), "Which reports a problem?", best=3, group=["file"], min_p=0.85).select("file", "place", "num", "verdict")
+
+
+def columns_gate(spark, d):
+    """What projections by description end with: sure, unsure, none."""
+    c = table(spark, d, "customer")
+    asked = {"sure": ["c_name"], "unsure": ["unsure c_name"], "none": ["c_name", "price"]}
+    rows = [(k, *(lambda v, out: (v, len(out.columns)))(*columns.sem_columns(c, columns.header_oracle(), q))) for k, q in asked.items()]
+    return spark.createDataFrame(rows, "asked string, verdict string, n int")
+
+
+def columns_padded(spark, d):
+    """Cells of ragged rows by place, short rows padded."""
+    x = table(spark, d, "csv_rows").where(F.col("text").isNotNull()).select("file", "num", F.split("text", ",", -1).alias("cells"))
+    return columns.project_cells(x, [7, 0]).select("file", "num", F.col("cells")[0].alias("eighth"), F.col("cells")[1].alias("first"))
+
+
+def walk_gates(spark, d):
+    """Places under a least score are left out; the verification sorts what is left."""
+    nodes = tree.nodes_of_paths(table(spark, d, "documents").select(F.regexp_extract("file", "^[^/]*/[^/]*", 0).alias("path")))
+    out = None
+    for name, kw in (("kept", {"least": 0.85}), ("dropped", {"least": 0.95}), ("verified", {"verify": walk.path_words()})):
+        one = walk.sem_walk(nodes, walk.path_words(), "memo p00", dirs_only=False, **kw).select(F.lit(name).alias("gate"), "path", F.round("score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def quote_exact(spark, d):
+    """A quote by the packer itself, under both ways of billing."""
+    ask = Ask("noul", "Is it a problem?", {"text": F.coalesce(F.col("text"), F.lit(""))})
+    rows = []
+    for name, billing in (("state once", planner.Billing()), ("per question", planner.PerQuestion())):
+        q = planner.plan(_docs(spark, d).orderBy("doc_id"), ask, exact=True, billing=billing)
+        rows.append((name, q.questions, q.requests, q.tokens))
+    return spark.createDataFrame(rows, "billing string, questions bigint, requests bigint, tokens bigint")
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 def stream_probe(spark, d):
     s = _stream(spark, d, "documents").select("doc_id", "text")
@@ -345,7 +398,7 @@ def stream_unwrap(spark, d):
 QUERIES = {f.__name__: f for f in (
     batch_filter, batch_halves, batch_label, batch_rank, batch_pick, batch_segment, batch_unwrap, wave_budget, wave_stop, questions_encoded, questions_of_specs, tags, windows_of_sources,
     lines_written, texts_written, whole_files, chunks_of_texts, files_by_chunks, csv_written, tsv_written, csv_line_ends, routed_labels, segments_written, ledger_file,
-    match_candidates, batch_pick_match, edit_trace, edit_union, edit_choose, context_first, sort_suppliers, stream_probe, stream_filter_near, stream_collapse, stream_segment, stream_unwrap,
+    match_candidates, batch_pick_match, edit_trace, edit_union, edit_choose, context_first, output_lines, sort_reversed, pick_uncertain, columns_gate, columns_padded, walk_gates, quote_exact, sort_suppliers, stream_probe, stream_filter_near, stream_collapse, stream_segment, stream_unwrap,
 )}
 
 
@@ -479,6 +532,18 @@ SQL["segment_min"] = """WITH RECURSIVE r AS (SELECT user_id, event_type AS text,
 SQL["pick_match"] = rf"""WITH {_matches(r'[a-z]+@[a-z]+\.example')}, o AS (SELECT doc_id, occ AS span, CAST(arg_min(i, before + col) AS INT) AS line, min(before + col) AS start, starts_with(occ, 'billing') AS b FROM m GROUP BY doc_id, occ),
       k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, start) AS n FROM o)
       SELECT doc_id, span, line, CASE WHEN b THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS p, CASE WHEN b THEN 'yes' ELSE 'uncertain' END AS verdict FROM k WHERE n = 1"""
+SQL["output_lines"] = f"""WITH {_DOCS} SELECT doc_id, md5(printf('%.2f', p) || chr(9) || file || CASE WHEN p >= 0.5 THEN ':' ELSE '-' END || num || CASE WHEN p >= 0.5 THEN ':' ELSE '-' END || coalesce(text, '')) AS md5 FROM docs"""
+SQL["sort_reversed"] = "SELECT CAST(n_nationkey AS BIGINT) AS num, row_number() OVER (ORDER BY (n_nationkey * 7 + 3) % 25) - 1 AS pos FROM nation ORDER BY pos DESC LIMIT 5"
+SQL["pick_uncertain"] = f"""WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY p DESC, num) AS place, max(p) OVER (PARTITION BY file) AS top FROM docs WHERE regexp_matches(text, '[^{_SPACE}]'))
+      SELECT file, place, num, CASE WHEN p < 0.85 THEN 'uncertain' ELSE 'yes' END AS verdict FROM r WHERE place <= 3 AND top >= 0.5"""
+SQL["columns_gate"] = "SELECT * FROM (VALUES ('sure', 'yes', 1), ('unsure', 'uncertain', 0), ('none', 'no', 0)) AS v(asked, verdict, n)"
+SQL["columns_padded"] = "SELECT file, num, coalesce(string_split(text, ',')[8], '') AS eighth, string_split(text, ',')[1] AS first FROM csv_rows WHERE text IS NOT NULL"
+SQL["walk_gates"] = """SELECT gate, 'memo/p00' AS path, CAST(s AS DOUBLE) AS score FROM (VALUES ('kept', 0.9), ('verified', 0.95)) AS v(gate, s) WHERE EXISTS (FROM documents WHERE starts_with(file, 'memo/p00/'))"""
+SQL["quote_exact"] = f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), j AS (SELECT doc_id, '{{"text":' || CAST(to_json(t) AS VARCHAR) || ',"question":"Is it a problem?"}}' AS json FROM t),
+      q AS (SELECT doc_id, {_json_est('json')} AS est FROM j),
+      base AS (SELECT 0 AS g, row_number() OVER (ORDER BY doc_id) AS k, est + {_LIMITS.per_question} AS cost, est, {_LIMITS.frame + _LIMITS.per_question + _STATE} + est > {_LIMITS.lone_room} AS own, {_LIMITS.room - _LIMITS.frame - _STATE} AS room FROM q), {_greedy(_LIMITS.questions)},
+      n AS (SELECT count(*) AS requests FROM starts), b AS (SELECT count(*) AS questions, CAST(sum(cost) AS BIGINT) AS once, CAST(sum(floor(0.8 * ({_STATE} + est) + 0.5) + 47) AS BIGINT) AS each FROM base)
+      SELECT 'state once' AS billing, questions, requests, requests * {_LIMITS.frame + _STATE} + once AS tokens FROM n, b UNION ALL SELECT 'per question', questions, requests, each FROM n, b"""
 SQL["batch_pick_match"] = SQL["pick_match"]
 SQL["context_first"] = f"""WITH {_DOCS}, h AS (SELECT file, num FROM docs WHERE p >= 0.9 ORDER BY file, num LIMIT 20), z AS (SELECT file AS lf, num AS ln FROM h ORDER BY file DESC, num DESC LIMIT 1),
       n AS (SELECT d.file, d.num, d.p, max(CAST(h.num = d.num AS INT)) = 1 AS match FROM docs d JOIN h ON d.file = h.file AND d.num BETWEEN h.num - 1 AND h.num + 2 GROUP BY ALL)

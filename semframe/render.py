@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from enum import IntEnum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from semframe.sources.records import LINES, SEPARATORS
 
@@ -45,6 +46,16 @@ def records(rows: Iterable, mode: str = LINES, *, files: bool = False, numbers:
         yield out + (d["text"] or "") + SEPARATORS[mode]
 
 
+def line_column(*, files: bool = False, numbers: bool = False, scores: bool = False, hit: Column | None = None) -> Column:
+    """The same lines as a column, for output that is written by the executors."""
+    mark = F.when(F.lit(True) if hit is None else hit, ":").otherwise("-")
+    shown = F.when(F.col("p").isNull(), "-").otherwise(F.format_string("%.2f", F.col("p")))
+    parts = [F.concat(shown, F.lit("\t"))] if scores else []
+    parts += [F.concat(F.col("file").cast("string"), mark)] if files else []
+    parts += [F.concat(F.col("num").cast("string"), mark)] if numbers else []
+    return F.concat(*parts, F.coalesce("text", F.lit("")))
+
+
 def runs(rows: Iterable, mode: str = LINES, *, counts: bool = False, scores: bool = False) -> Iterator[str]:
     for r in rows:
         d = r.asDict()
