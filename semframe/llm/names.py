@@ -83,26 +83,40 @@ def edits(a: str, b: str, most: int) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return len(a) + len(b)
+    beyond = most + 1
     two: list[int] = []
-    one = list(range(len(b) + 1))
+    one = [min(j, beyond) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
+        # only the band within ``most`` of the diagonal can hold a distance that counts
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        row = [beyond] * (len(b) + 1)
+        row[0] = min(i, beyond)
+        least = row[0]
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
             v = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, two[j - 2] + 1)
             row[j] = v
-        if min(row) > most:
-            return most + 1
+            if v < least:
+                least = v
+        if least > most:
+            return beyond
         two, one = one, row
-    return one[-1]
+    return min(one[-1], beyond)
 
 
 def edit_similarity(a: str, b: str) -> float:
+    """One less the share of edits; 0 from a quarter of the letters on.  Long texts are tried with few edits first, so that their
+    cost goes with what differs."""
     n = max(len(a), len(b))
     most = n // 4 + 1
-    d = edits(a, b, most)
-    return 1 - d / n if n and d <= most else 0.0
+    k = most if n <= 64 else 4
+    while (d := edits(a, b, k)) > k:
+        if k == most:
+            return 0.0
+        k = min(most, 4 * k)
+    return 1 - d / n if n else 0.0
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
@@ -110,10 +124,11 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
     directions."""
     if not a or not b:
         return 0.0
-    best = [[edit_similarity(x, y) for y in b] for x in a]
-    one = sum(len(x) * max(row) for x, row in zip(a, best)) / sum(map(len, a))
-    two = sum(len(y) * max(row[j] for row in best) for j, y in enumerate(b)) / sum(map(len, b))
-    return min(one, two)
+    def toward(a: list[str], b: list[str]) -> float:
+        there = set(b)
+        return sum(len(x) * (1.0 if x in there else max(edit_similarity(x, y) for y in b)) for x in a) / sum(map(len, a))
+
+    return min(toward(a, b), toward(b, a))
 
 
 def same_name(a: str, b: str) -> float:
@@ -121,9 +136,10 @@ def same_name(a: str, b: str) -> float:
     x, y = a.split(" "), b.split(" ")
     one, two = "".join(x), "".join(y)
     # written in one word a name has about as many letters: a whole word more or less is another name
-    if len(x) == len(y) == 1 or abs(len(one) - len(two)) >= min(map(len, x + y)):
-        return monge_elkan(x, y)
-    return max(monge_elkan(x, y), monge_elkan([one], [two]))
+    words = monge_elkan(x, y)
+    if words >= SIMILAR or len(x) == len(y) == 1 or abs(len(one) - len(two)) >= min(map(len, x + y)):
+        return words
+    return max(words, monge_elkan([one], [two]))
 
 
 # --- reading a spelling ------------------------------------------------------------------------------------------------
@@ -267,6 +283,17 @@ def deletions(name: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) <= SHORT else set()
 
 
+def _least_hashes(grams: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The least value of each hash function, over a few thousand q-grams at a time."""
+    least = np.full(len(mul), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for lo in range(0, len(grams), 4096):
+        v = grams[lo : lo + 4096, None] * mul + add
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, (v ^ (v >> np.uint64(32))).min(axis=0))
+    return least
+
+
 def _banded(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(20250101)
@@ -280,10 +307,7 @@ def _banded(bands: int, rows: int):
                 extra: list[tuple[int, int]] = []
                 for i, name in enumerate(part["name"]):
                     g = [known.setdefault(x, _hash(x)) for x in grams(name)]
-                    v = np.array(g, dtype=np.uint64)[:, None] * mul + add
-                    v ^= v >> np.uint64(29)
-                    v *= np.uint64(0xBF58476D1CE4E5B9)
-                    sig = (v ^ (v >> np.uint64(32))).min(axis=0).reshape(bands, rows)
+                    sig = _least_hashes(np.array(g, dtype=np.uint64), mul, add).reshape(bands, rows)
                     k = np.zeros(bands, dtype=np.uint64)
                     for r in range(rows):
                         k = (k ^ sig[:, r]) * np.uint64(0x9E3779B97F4A7C15)

@@ -102,6 +102,20 @@ def test_few_names_in_any_order(spark):
     assert got == {("acct_nm", 1, 2), ("prim_cntct", 1, 2), ("prim_cntct", 3, 4), ("prim_cntct", 3, 5), ("prim_cntct", 4, 5)}
 
 
+def test_odd_names(spark):
+    """Very long names, names of signs, nulls in both columns, repeated rows, columns of the operator's own names."""
+    rnd = random.Random(3)
+    words = " ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(3000))
+    solid = "".join(rnd.choice("abcdefgh") for _ in range(20_000))
+    rows = [(1, words, None), (2, words[:500] + "x" + words[500:], None), (3, solid, None), (4, solid[:100] + "z" + solid[100:15_000] + "y" + solid[15_000:], None),
+            (5, "!!!", "???"), (6, "🚢 🚢", "🙂"), (7, None, None), (8, " ", "\t"), (9, "(all) [in] (brackets)", "- / -"), (None, "Lost", "Lost Key"), (1, words, None)]
+    df = spark.createDataFrame(rows, "cust_id bigint, acct_nm string, prim_cntct string")
+    for c in ("name", "id", "t", "center", "weight", "raw", "field"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {tuple(r) for r in names.pairs(names.link(df)).collect()}
+    assert got == {("acct_nm", 1, 2), ("acct_nm", 3, 4)}
+
+
 def test_short_names_collide_after_one_error():
     """Every single error in a word of four to twelve letters that is still similar is proposed."""
     import pandas as pd
