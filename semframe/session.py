@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,6 +41,9 @@ def durable(df: DataFrame) -> DataFrame:
     knows its size, so what is small is joined without a shuffle.
     """
     spark = df.sparkSession
+    if len({c.lower() for c in df.columns}) < len(df.columns) or re.search(r"\b(void|interval|variant)\b", df.schema.simpleString()):
+        ensure_checkpoint_dir(spark)  # what a table cannot hold
+        return df.checkpoint(eager=True)
     where = shared_folder(spark, "table")
     df.write.parquet(where)
     out = spark.read.schema(df.schema).parquet(where)

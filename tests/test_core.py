@@ -306,3 +306,19 @@ def test_stream_neighbours_over_batches(spark, tmp_path):
     s = spark.readStream.schema(streams.INPUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = streams.drain(streams.stream_neighbours(s, 2), "near", str(tmp_path / "c")).orderBy("num").collect()
     assert [(r["text"], r["before"], r["after"]) for r in got] == [(t, texts[max(0, i - 2) : i] or None, texts[i + 1 : i + 3] or None) for i, t in enumerate(texts)]
+
+
+def test_durable_frames(spark):
+    from semframe.session import durable, release
+
+    df = spark.createDataFrame([(1, {"a": [1.5]}, None), (2, None, "x")], "k int, m map<string,array<double>>, `odd.name, of` string")
+    kept = durable(df)
+    assert kept.schema.simpleString() == df.schema.simpleString() and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert durable(df.limit(0)).count() == 0
+    odd = df.select("k", F.col("k").alias("K"), F.lit(None).alias("nothing"))
+    assert durable(odd).count() == 2
+    where = kept._written_at
+    release(kept)
+    import os
+
+    assert not os.path.exists(where.removeprefix("file:"))
