@@ -17,7 +17,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from semframe.operators import unwrap as lines_
 from semframe.plans.judge import Refused
@@ -64,6 +66,20 @@ def judged_pairs(handler, wording: str, limit: int = 128) -> PairJudge:
     return judge
 
 
+def _records(parts: Iterator[pd.DataFrame]) -> tuple[list[tuple[int, str]], bool]:
+    """One micro-batch of one input: its records in order, and whether it has ended.  Plain lists, as most inputs are too short
+    to pay for sorting and selecting in pandas."""
+    rows, ended = [], False
+    for part in parts:
+        for n, t, end in zip(*[part[c].tolist() for c in ("num", "text", "eof")]):
+            if end is not None and end == end and end:
+                ended = True
+            else:
+                rows.append((int(n), "" if t is None or t != t else t))
+    rows.sort(key=lambda r: r[0])
+    return rows, ended
+
+
 def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int | None) -> DataFrame:
     """``fold(file, rows, state or None, ended) -> (output rows, state or None)`` per input and micro-batch."""
     names = [x.split()[0] for x in out.split(", ")]
@@ -73,10 +89,7 @@ def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int | None
         if st.hasTimedOut:
             rows, ended = [], True
         else:
-            got = pd.concat(list(parts)).sort_values("num", kind="stable")  # one micro-batch of one input
-            ended = bool(got["eof"].fillna(False).any())
-            live = got[~got["eof"].fillna(False).astype(bool)]
-            rows = [(int(n), "" if t is None or t != t else t) for n, t in zip(live["num"], live["text"])]
+            rows, ended = _records(parts)
         given, new = fold(key[0], rows, now, ended)
         if new is None:
             if st.exists:
@@ -86,7 +99,7 @@ def _stateful(stream: DataFrame, fold, out: str, state: str, idle_ms: int | None
             if idle_ms is not None:
                 st.setTimeoutDuration(idle_ms)
         if given:
-            yield pd.DataFrame(given, columns=names)
+            yield pd.DataFrame(dict(zip(names, map(list, zip(*given)))))
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return stream.groupBy("file").applyInPandasWithState(run, out, state, "append", timeout)
@@ -219,11 +232,18 @@ def stream_unwrap(stream: DataFrame, judge: PairJudge, separator: str = " ", deh
     return _stateful(stream, fold, "file string, num bigint, n bigint, text string", "num bigint, n bigint, text string, own string, line string, kind string, fence boolean", idle_ms)
 
 
-def drain(df: DataFrame, name: str, checkpoint: str):
-    """Run a stream over all that is there now into an in-memory table."""
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there now into a table on shared storage, beside the checkpoint, that is also the view ``name``.
+
+    The executors write the rows, so nothing of the result goes through the driver, and a stream that is drained again adds what
+    has come since."""
+    spark, where = df.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    void = [f.name for f in df.schema.fields if f.dataType.typeName() == "void"]  # a file has no such column
+    df.withColumns({c: F.col(c).cast("string") for c in void}).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(where).awaitTermination()
+    kept = StructType([StructField(f.name, StringType() if f.name in void else f.dataType) for f in df.schema.fields])
+    out = spark.read.schema(kept).parquet(where).withColumns({c: F.lit(None) for c in void})
+    out.createOrReplaceTempView(name)
+    return out
 
 
 def stop_after(df: DataFrame, n: int, checkpoint: str, by: tuple[str, ...] = ("file_idx", "num")) -> list:

@@ -322,3 +322,15 @@ def test_durable_frames(spark):
     import os
 
     assert not os.path.exists(where.removeprefix("file:"))
+
+
+def test_records_of_a_micro_batch(spark, tmp_path):
+    import pandas as pd
+
+    parts = [pd.DataFrame({"num": [3, 1], "text": ["c", None], "eof": [None, False]}), pd.DataFrame({"num": [9, 2], "text": [None, "b"], "eof": [True, False]})]
+    assert streams._records(iter(parts)) == ([(1, ""), (2, "b"), (3, "c")], True)
+    assert streams._records(iter([pd.DataFrame({"num": [1, 1], "text": ["x", float("nan")], "eof": [float("nan"), float("nan")]})])) == ([(1, "x"), (1, "")], False)
+    spark.createDataFrame([("f", 1, "a", False), ("f", 2, "b", False), ("f", 3, None, True)], streams.INPUT).write.parquet(str(tmp_path / "in/b0"))
+    s = streams.stream_neighbours(spark.readStream.schema(streams.INPUT).parquet(str(tmp_path / "in/*")), 1)
+    got = streams.drain(s, "near_files", str(tmp_path / "c"))
+    assert got.inputFiles() and sorted((r["text"], r["before"], r["after"]) for r in got.collect()) == [("a", None, ["b"]), ("b", ["a"], None)]
