@@ -17,28 +17,31 @@ from semframe.functions.text import clean, estimate, tagged_id
 from semframe.operators.sequence import numbered, over_neighbours
 from semframe.plans.judge import BatchJudge, Limits
 from semframe.plans.planner import packed_requests
-from semframe.session import durable
 
 
-def windowed(records: DataFrame, group: Sequence[str], size: int, tokens: int | None, text: str = "_text") -> DataFrame:
+def windowed(records: DataFrame, group: Sequence[str], size: int, tokens: int | None, text: Column | str = "_text") -> DataFrame:
     """``window``: consecutive records, at most ``size`` of them and of at most ``tokens`` tokens together; a longer record has a
     window of its own.  Each window is filled before the next begins."""
     if tokens is None:
         return numbered(records, group, ["num"], "_k").withColumn("window", F.floor((F.col("_k") - 1) / size)).drop("_k")
     limits = Limits(request_tokens=tokens, question_tokens=tokens, margin=1.0, questions=size, frame=0, per_question=0)
-    sized = records.withColumn("_est", estimate(F.col(text))).withColumn("_none", F.lit(0))
+    sized = records.withColumn("_est", estimate(F.col(text) if isinstance(text, str) else text)).withColumn("_none", F.lit(0))
     return packed_requests(sized, state_est="_none", est="_est", group=list(group), by=["num"], limits=limits).withColumnRenamed("request", "window").drop("_est", "_none")
 
 
-def documents(rows: DataFrame, group: Sequence[str], window: str = "window", text: str = "_text", prefix: str = "L", asked: Column | None = None) -> DataFrame:
+def documents(rows: DataFrame, group: Sequence[str], window: str = "window", text: Column | str = "_text", prefix: str = "L", asked: Column | None = None,
+              whole: bool = False) -> DataFrame:
     """``group, window, document, lines``: the records of each window as ``L0001| text`` lines, numbered from 1 within the window
-    (blank ones left blank, line ends within a record as blanks), and ``lines``: ``num, tag, asked`` of each."""
+    (blank ones left blank, line ends within a record as blanks), and ``lines``: ``num, tag, asked`` of each, with ``whole`` also
+    ``row``, its other columns."""
     one_line = F.regexp_replace(text, "[\\r\\n]+", " ")
-    shown = F.sort_array(F.collect_list(F.struct("num", one_line.alias("text"), (F.lit(True) if asked is None else asked).alias("asked"))))
+    others = [c for c in rows.columns if c not in (*group, window, "num")] if whole else []
+    row = [F.struct(*others).alias("row")] if others else []
+    shown = F.sort_array(F.collect_list(F.struct("num", one_line.alias("text"), (F.lit(True) if asked is None else asked).alias("asked"), *row)))
     got = rows.groupBy(*group, window).agg(shown.alias("_l"))
     tag = lambda i: tagged_id(prefix, i + 1)
     line = F.transform("_l", lambda x, i: F.when(x["text"].rlike("(?U)\\S"), F.concat(tag(i), F.lit("| "), x["text"])).otherwise(""))
-    lines = F.transform("_l", lambda x, i: F.struct(x["num"].alias("num"), tag(i).alias("tag"), x["asked"].alias("asked")))
+    lines = F.transform("_l", lambda x, i: F.struct(x["num"].alias("num"), tag(i).alias("tag"), x["asked"].alias("asked"), *([x["row"].alias("row")] if row else [])))
     return got.select(*group, window, F.array_join(line, "\n").alias("document"), lines.alias("lines"))
 
 
@@ -52,33 +55,37 @@ def question(key: Column, kind: str, text: Column, criteria: Column | None = Non
     return F.struct(key.alias("key"), F.lit(kind).alias("type"), F.to_json(F.struct(text.alias("question"))).alias("instructions"), (none if criteria is None else criteria).alias("criteria"))
 
 
-def choose_in_windows(rows: DataFrame, judge: BatchJudge, wording: str, exists: str | None, group: Sequence[str], context: dict[str, str] | None = None) -> DataFrame:
+def choose_in_windows(rows: DataFrame, judge: BatchJudge, wording: str, exists: str | None, group: Sequence[str], context: dict[str, str] | None = None, text: Column | str = "_text") -> DataFrame:
     """``rows`` with ``p``, the share of each record in the choice of its window, and ``exists``, whether the window holds an answer
-    at all (null unless asked).  A window refused as too large is halved; a failed one has p null."""
+    at all (null unless asked).  A window refused as too large is halved; a failed one has p null.
+
+    The records go along with their window, so nothing is joined back to them."""
     parts: list[DataFrame] = []
+    columns = [c for c in rows.columns if c not in (*group, "window", "num")]
     todo = rows.withColumn("window", F.col("window").cast("string"))
     while True:
-        docs = documents(todo, group)
+        docs = documents(todo, group, text=text, whole=True)
         options = F.to_json(F.map_from_arrays(F.transform("lines", lambda x: x["tag"]), F.transform("lines", lambda x: F.lit(""))))
         asked = [question(F.lit("best"), "choice", F.lit(wording), options)]
         if exists is not None:
             asked.append(question(F.lit("exists"), "noul", F.lit(exists)))
-        got = durable(judge.attach_windows(docs.withColumn("state", state_of(context)).withColumn("questions", F.array(*asked)).drop("document")))
+        got = judge.attach_windows(docs.withColumn("state", state_of(context)).withColumn("questions", F.array(*asked)).drop("document"))
         best = F.get(F.filter("answers", lambda a: a["key"] == "best"), 0)
         there = F.get(F.filter("answers", lambda a: a["key"] == "exists"), 0)
         one = got.select(*group, "window", best["probabilities"].alias("_probs"), best["error"].alias("_error"), there["noul"].alias("exists"), F.size("lines").alias("_n"), F.posexplode("lines").alias("_i", "_line"))
         # a window that is too large is asked in halves; a single record that is, is skipped
         large = F.coalesce(F.col("_error").startswith("too large"), F.lit(False)) & (F.col("_n") > 1)
         p = F.when(F.col("_probs").isNotNull(), F.coalesce(F.try_element_at("_probs", F.col("_line.tag")), F.lit(0.0)))
-        parts.append(one.where(~large).select(*group, F.col("_line.num").alias("num"), F.col("window").alias("_window"), p.alias("p"), "exists"))
-        again = one.where(large).select(*group, F.col("_line.num").alias("num"), F.concat("window", F.when(F.col("_i") * 2 < F.col("_n"), ".0").otherwise(".1")).alias("_window"))
-        if again.isEmpty():
+        record = [*group, F.col("_line.num").alias("num"), *[F.col("_line.row")[c].alias(c) for c in columns]]
+        parts.append(one.where(~large).select(*record, "window", p.alias("p"), "exists"))
+        half = F.concat("window", F.when(F.col("_i") * 2 < F.col("_n"), ".0").otherwise(".1")).alias("window")
+        todo = one.where(large).select(*record, half)
+        if todo.isEmpty():
             break
-        todo = durable(todo.join(again, [*group, "num"]).withColumn("window", F.col("_window")).drop("_window"))
     answers = parts[0]
     for x in parts[1:]:
         answers = answers.unionByName(x)
-    return rows.join(answers, [*group, "num"]).withColumn("window", F.col("_window")).drop("_window")
+    return answers.select(*rows.columns, "p", "exists")
 
 
 def ask_at_breaks(rows: DataFrame, judge: BatchJudge, condition: Column, wording: Callable[[Column], Column], *, group: Sequence[str], text: str, size: int, tokens: int,

@@ -17,8 +17,11 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from semframe.functions.templates import Label
 from semframe.functions.text import clean, estimate_json
@@ -191,6 +194,8 @@ def _asking(handler: Handler) -> Callable[[str, list[dict]], list[dict]]:
 
 #: What a window is answered: for each question its key and the parts of an answer.
 WINDOW_ANSWERS = "array<struct<key:string,noul:double,choice:string,confidence:double,probabilities:map<string,double>,error:string>>"
+#: Windows whose answers a worker holds before it hands them on.
+WINDOWS_AT_ONCE = 200
 
 
 class BatchJudge(Judge):
@@ -241,31 +246,41 @@ class BatchJudge(Judge):
 
     def attach_windows(self, windows: DataFrame) -> DataFrame:
         """``windows`` with ``answers`` (``WINDOW_ANSWERS``) to their ``questions(key, type, instructions, criteria)`` about their
-        ``state``: a request for each window, or as many as its questions need."""
+        ``state``: a request for each window, or as many as its questions need.
+
+        The answers are put beside the row that was asked and written once.  They are not joined back: a table of many like
+        answers takes few bytes on disk, so a join would send it whole through the driver."""
         handler, limits = self.handler, self.limits
+        kind = _parse_datatype_string(WINDOW_ANSWERS)
+        kept = [f for f in windows.schema.fields if f.name not in ("state", "questions")]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask_all = _asking(handler)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ask_all, arrow = _asking(handler), to_arrow_type(kind)
             for batch in batches:
-                for row, state, questions, state_est, ests in zip(*[batch[c] for c in ("_row", "state", "questions", "_state_est", "_ests")]):
-                    qs = [{"type": q["type"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"]) if q["criteria"] else None} for q in questions]
-                    packed = pack([state] * len(qs), [state_est] * len(qs), list(ests), limits)
-                    # a question that does not fit beside its document stands alone and is not sent
-                    lost = [len(idx) == 1 and limits.frame + state_est + ests[idx[0]] + limits.per_question > limits.lone_room for idx in packed]
-                    calls = [(lambda: [{"error": "too large for a request"}]) if bad else (lambda idx=idx: ask_all(state, [qs[i] for i in idx])) for idx, bad in zip(packed, lost)]
-                    out = [None] * len(qs)
-                    for idx, answers in zip(packed, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
-                        for i, a in zip(idx, answers):
-                            out[i] = {"key": questions[i]["key"], **{n: a.get(n) for n in ("noul", "choice", "confidence", "probabilities", "error")}}
-                    yield pd.DataFrame({"_row": [row], "answers": [out]})
-
-        rows = durable(windows.withColumn("_row", F.monotonically_increasing_id()))
-        sized = rows.select("_row", "state", "questions", estimate_json(F.col("state")).alias("_state_est"),
-                            F.transform("questions", lambda q: estimate_json(F.concat(q["instructions"], F.coalesce(q["criteria"], F.lit(""))))).alias("_ests"))
+                beside = batch.select([f.name for f in kept])
+                for lo in range(0, batch.num_rows, WINDOWS_AT_ONCE):
+                    part = batch.slice(lo, WINDOWS_AT_ONCE)
+                    got = [answered(ask_all, *x) for x in zip(*[part.column(c).to_pylist() for c in ("state", "questions", "_state_est", "_ests")])]
+                    yield beside.slice(lo, WINDOWS_AT_ONCE).append_column("answers", pa.array(got, arrow))
+
+        def answered(ask_all, state: str, questions: list[dict], state_est: int, ests: list[int]) -> list[dict]:
+            qs = [{"type": q["type"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"]) if q["criteria"] else None} for q in questions]
+            packed = pack([state] * len(qs), [state_est] * len(qs), ests, limits)
+            # a question that does not fit beside its document stands alone and is not sent
+            lost = [len(idx) == 1 and limits.frame + state_est + ests[idx[0]] + limits.per_question > limits.lone_room for idx in packed]
+            calls = [(lambda: [{"error": "too large for a request"}]) if bad else (lambda idx=idx: ask_all(state, [qs[i] for i in idx])) for idx, bad in zip(packed, lost)]
+            out = [None] * len(qs)
+            for idx, answers in zip(packed, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
+                for i, a in zip(idx, answers):
+                    probs = a.get("probabilities")
+                    out[i] = {"key": questions[i]["key"], **{n: a.get(n) for n in ("noul", "choice", "confidence", "error")}, "probabilities": None if probs is None else list(probs.items())}
+            return out
+
+        sized = windows.select("*", estimate_json(F.col("state")).alias("_state_est"),
+                               F.transform("questions", lambda q: estimate_json(F.concat(q["instructions"], F.coalesce(q["criteria"], F.lit(""))))).alias("_ests"))
         if self.partitions:
             sized = sized.repartition(self.partitions)
-        answers = durable(sized.mapInPandas(run, f"_row bigint, answers {WINDOW_ANSWERS}"))
-        return rows.join(answers, "_row").drop("_row", "state", "questions")
+        return durable(sized.mapInArrow(run, StructType([*kept, StructField("answers", kind)])))
 
     def attach(self, df: DataFrame, ask: Ask, out: str) -> DataFrame:
         """The rows are numbered and written once, so that answers come back to the right row whatever is run again."""
