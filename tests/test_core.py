@@ -334,3 +334,18 @@ def test_records_of_a_micro_batch(spark, tmp_path):
     s = streams.stream_neighbours(spark.readStream.schema(streams.INPUT).parquet(str(tmp_path / "in/*")), 1)
     got = streams.drain(s, "near_files", str(tmp_path / "c"))
     assert got.inputFiles() and sorted((r["text"], r["before"], r["after"]) for r in got.collect()) == [("a", None, ["b"]), ("b", ["a"], None)]
+
+
+@pytest.mark.parametrize("name", ["stream_unwrap"])
+def test_drained_streams_stay_off_the_driver(spark, tmp_path, name):
+    spark.createDataFrame([("f", 1, "a", False), ("f", 2, "b", False), ("f", 3, None, True)], streams.INPUT).write.parquet(str(tmp_path / "in/b0"))
+
+    def drained():
+        s = getattr(streams, name)(spark.readStream.schema(streams.INPUT).parquet(str(tmp_path / "in/*")), streams.lowercase_start)
+        return streams.drain(s.withColumn("nothing", F.lit(None)), f"kept_{name}", str(tmp_path / "c"))
+
+    got, n = drained(), 2 if name == "stream_segment" else 1
+    assert got.inputFiles() and got.count() == spark.table(f"kept_{name}").count() == got.where("nothing is null").count() == n
+    # a stream that is drained again adds what has come since
+    spark.createDataFrame([("g", 1, "c", False), ("g", 2, None, True)], streams.INPUT).write.parquet(str(tmp_path / "in/b1"))
+    assert sorted({r["file"] for r in drained().collect()}) == ["f", "g"]
