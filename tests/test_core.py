@@ -336,7 +336,7 @@ def test_records_of_a_micro_batch(spark, tmp_path):
     assert got.inputFiles() and sorted((r["text"], r["before"], r["after"]) for r in got.collect()) == [("a", None, ["b"]), ("b", ["a"], None)]
 
 
-@pytest.mark.parametrize("name", ["stream_unwrap", "stream_collapse"])
+@pytest.mark.parametrize("name", ["stream_unwrap", "stream_collapse", "stream_segment"])
 def test_drained_streams_stay_off_the_driver(spark, tmp_path, name):
     spark.createDataFrame([("f", 1, "a", False), ("f", 2, "b", False), ("f", 3, None, True)], streams.INPUT).write.parquet(str(tmp_path / "in/b0"))
 
