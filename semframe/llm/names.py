@@ -31,7 +31,7 @@ import math
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -119,27 +119,31 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - d / n if n else 0.0
 
 
-def monge_elkan(a: list[str], b: list[str]) -> float:
+def monge_elkan(a: list[str], b: list[str], similarity: Callable[[str, str], float] = edit_similarity) -> float:
     """Mean over the words of one name of their best match in the other, each word weighing its letters; the smaller of both
     directions."""
     if not a or not b:
         return 0.0
     def toward(a: list[str], b: list[str]) -> float:
         there = set(b)
-        return sum(len(x) * (1.0 if x in there else max(edit_similarity(x, y) for y in b)) for x in a) / sum(map(len, a))
+        return sum(len(x) * (1.0 if x in there else max(similarity(x, y) for y in b)) for x in a) / sum(map(len, a))
 
     return min(toward(a, b), toward(b, a))
 
 
-def same_name(a: str, b: str) -> float:
+def _written_in_one(x: list[str], y: list[str]) -> tuple[str, str] | None:
+    """Two names each in one word, where they may be compared so: a whole word more or less is another name."""
+    one, two = "".join(x), "".join(y)
+    return None if len(x) == len(y) == 1 or abs(len(one) - len(two)) >= min(map(len, x + y)) else (one, two)
+
+
+def same_name(a: str, b: str, similarity: Callable[[str, str], float] = edit_similarity) -> float:
     """Monge-Elkan similarity of two names of words between blanks, or, if that is more, of the names written in one word."""
     x, y = a.split(" "), b.split(" ")
-    one, two = "".join(x), "".join(y)
-    # written in one word a name has about as many letters: a whole word more or less is another name
-    words = monge_elkan(x, y)
-    if words >= SIMILAR or len(x) == len(y) == 1 or abs(len(one) - len(two)) >= min(map(len, x + y)):
+    words = monge_elkan(x, y, similarity)
+    if words >= SIMILAR or (glued := _written_in_one(x, y)) is None:
         return words
-    return max(words, monge_elkan([one], [two]))
+    return max(words, monge_elkan(glued[:1], glued[1:], similarity))
 
 
 # --- reading a spelling ------------------------------------------------------------------------------------------------
@@ -283,85 +287,205 @@ def deletions(name: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) <= SHORT else set()
 
 
+def _mixed(grams: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The value of each hash function for each q-gram."""
+    v = grams[:, None] * mul + add
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0xBF58476D1CE4E5B9)
+    return v ^ (v >> np.uint64(32))
+
+
 def _least_hashes(grams: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The least value of each hash function, over a few thousand q-grams at a time."""
     least = np.full(len(mul), np.uint64(0xFFFFFFFFFFFFFFFF))
     for lo in range(0, len(grams), 4096):
-        v = grams[lo : lo + 4096, None] * mul + add
-        v ^= v >> np.uint64(29)
-        v *= np.uint64(0xBF58476D1CE4E5B9)
-        least = np.minimum(least, (v ^ (v >> np.uint64(32))).min(axis=0))
+        least = np.minimum(least, _mixed(grams[lo : lo + 4096], mul, add).min(axis=0))
     return least
 
 
+#: Names of up to so many q-grams are hashed together, by values that are kept for so many q-grams.
+USUAL_GRAMS, KEPT_GRAMS = 48, 16_384
+
+
 def _banded(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(20250101)
         mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-        known: dict[str, int] = {}
+        place: dict[str, int] = {}
+        values = np.empty((0, bands * rows), dtype=np.uint64)
+
+        def signatures(names: list[set[str]]) -> np.ndarray:
+            nonlocal values
+            fresh = list(dict.fromkeys(x for g in names for x in g if x not in place))
+            if fresh and len(place) + len(fresh) > KEPT_GRAMS:
+                place.clear()
+                values, fresh = values[:0], list(dict.fromkeys(x for g in names for x in g))
+            if fresh:
+                place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+                values = np.concatenate([values, _mixed(np.array([_hash(x) for x in fresh], dtype=np.uint64), mul, add)])
+            most = max(map(len, names))
+            at = np.array([(p := [place[x] for x in g]) + p[:1] * (most - len(p)) for g in names])
+            least = values[at[:, 0]]
+            for j in range(1, most):
+                np.minimum(least, values[at[:, j]], out=least)
+            return least
+
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.iloc[lo : lo + 2000]
-                keys = np.empty((len(part), bands), dtype=np.uint64)
-                extra: list[tuple[int, int]] = []
-                for i, name in enumerate(part["name"]):
-                    g = [known.setdefault(x, _hash(x)) for x in grams(name)]
-                    sig = _least_hashes(np.array(g, dtype=np.uint64), mul, add).reshape(bands, rows)
-                    k = np.zeros(bands, dtype=np.uint64)
-                    for r in range(rows):
-                        k = (k ^ sig[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-                        k ^= k >> np.uint64(31)
-                    keys[i] = k + np.arange(bands, dtype=np.uint64)
-                    extra += [(i, _hash("-" + x)) for x in deletions(name)]
+            for lo in range(0, len(batch), 500):
+                part = batch.iloc[lo : lo + 500]
+                every = [grams(name) for name in part["name"]]
+                sig = np.empty((len(part), bands * rows), dtype=np.uint64)
+                usual = [i for i, g in enumerate(every) if len(g) <= USUAL_GRAMS]
+                if usual:
+                    sig[usual] = signatures([every[i] for i in usual])
+                for i, g in enumerate(every):
+                    if len(g) > USUAL_GRAMS:
+                        sig[i] = _least_hashes(np.array([_hash(x) for x in g], dtype=np.uint64), mul, add)
+                sig = sig.reshape(len(part), bands, rows)
+                keys = np.zeros((len(part), bands), dtype=np.uint64)
+                for r in range(rows):
+                    keys = (keys ^ sig[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+                    keys ^= keys >> np.uint64(31)
+                keys += np.arange(bands, dtype=np.uint64)
+                extra = [(i, x) for i, name in enumerate(part["name"]) for x in deletions(name)]
                 at = np.concatenate([np.repeat(np.arange(len(part)), bands), np.array([i for i, _ in extra], dtype=np.int64)])
-                bucket = np.concatenate([keys.reshape(-1), np.array([h for _, h in extra], dtype=np.uint64)]).view(np.int64)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "bucket": bucket})
-            if len(known) > 500_000:
-                known.clear()
+                bucket = np.concatenate([keys.reshape(-1), pd.util.hash_array(np.array([x for _, x in extra], dtype=object), categorize=False)])
+                if "field" in part:  # a bucket holds names of one field
+                    bucket ^= pd.util.hash_array(part["field"].to_numpy(dtype=object))[at]
+                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "bucket": bucket.view(np.int64)})
 
     return run
 
 
+#: Words up to this length are compared many at a time.
+USUAL_WORD = 40
+
+
+def edits_of_words(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``edits`` of many pairs of words of up to ``USUAL_WORD`` letters; any number over ``most`` where there are more."""
+    la, lb = (np.array([len(x) for x in w], dtype=np.int64) for w in (a, b))
+    x, y = (np.ascontiguousarray(np.array(w, dtype=f"U{USUAL_WORD}").view(np.uint32).reshape(len(w), -1).T) for w in (a, b))
+    far, wide = np.int8(most + 1), int(lb.max(initial=0))
+    out = np.where(la == 0, lb, 0).astype(np.int8)
+    beyond = np.full(len(a), far)
+    two: list[np.ndarray] = []
+    one = [np.full(len(a), min(j, most + 1), dtype=np.int8) for j in range(wide + 1)]
+    for i in range(1, int(la.max(initial=0)) + 1):
+        row = [beyond] * (wide + 1)
+        row[0] = np.full(len(a), min(i, most + 1), dtype=np.int8)
+        for j in range(max(1, i - most), min(wide, i + most) + 1):
+            v = np.minimum(np.minimum(one[j], row[j - 1]) + np.int8(1), one[j - 1] + (x[i - 1] != y[j - 1]))
+            if i > 1 and j > 1:
+                swapped = (x[i - 1] == y[j - 2]) & (x[i - 2] == y[j - 1])
+                v = np.where(swapped, np.minimum(v, two[j - 2] + np.int8(1)), v)
+            row[j] = np.minimum(v, far)
+        for j in np.unique(lb[la == i]):
+            ends = (la == i) & (lb == j)
+            out[ends] = row[j][ends]
+        two, one = one, row
+    return out
+
+
+def edit_similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``edit_similarity`` of many pairs of words of up to ``USUAL_WORD`` letters."""
+    n = np.array([max(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+    out = np.zeros(len(n))
+    for quarter in np.unique(n // 4):  # of about one length, so that the band is as narrow as it can be
+        k = np.flatnonzero((n // 4 == quarter) & (n > 0))
+        d = edits_of_words(a[k], b[k], int(quarter) + 1)
+        out[k] = np.where(d > quarter + 1, 0.0, 1 - d / n[k])
+    return out
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sim = np.array([same_name(a, b) for a, b in zip(batch["na"], batch["nb"])])
+        # all comparisons of words that the names need, at once
+        needed: dict[tuple[str, str], float] = {}
+        for a, b in zip(batch["na"], batch["nb"]):
+            x, y = a.split(" "), b.split(" ")
+            for p in x:
+                for q in y:
+                    needed[p, q] = 0.0
+            if glued := _written_in_one(x, y):
+                needed[glued] = 0.0
+        words = [p for p in needed if len(p[0]) <= USUAL_WORD and len(p[1]) <= USUAL_WORD]
+        known = dict(zip(words, edit_similarities(*np.array(words, dtype=object).reshape(-1, 2).T).tolist()))
+
+        def similarity(p: str, q: str, known=known) -> float:
+            found = known.get((p, q))
+            if found is None:
+                found = known.get((q, p))
+            return edit_similarity(p, q) if found is None else found
+
+        sim = np.array([same_name(a, b, similarity) for a, b in zip(batch["na"], batch["nb"])], dtype=float)
         batch = batch[["field", "a", "b"]].assign(sim=sim)
         yield batch[batch["sim"] >= SIMILAR]
 
 
+def letters(name: str) -> int:
+    """The letters of a name as a set of bits, and from bit 32 on those that it has twice; letters may share a bit."""
+    m = 0
+    for c in name.replace(" ", ""):
+        bit = 1 << (ord(c) & 31)
+        m |= bit << 32 if m & bit else bit
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(mask=[letters(x) for x in batch["name"]])
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """What names of columns ``len, mask, one, div`` after these prefixes must have in common to be similar.  Lengths too different,
+    and two words that both stand beside many others, need no comparison; an edit takes away one letter at most, and a word whose
+    best match is longer loses no more than its share.  In names of several words one word may match more than one, so there
+    only letters that are missing altogether count."""
+    col = lambda p, c: F.col(p + c)
+    n = F.greatest(col(a, "len"), col(b, "len"))
+    near = F.abs(col(a, "len") - col(b, "len")) <= n * (1 - SIMILAR) + 1
+    own = (F.least(col(a, "div"), col(b, "div")) >= LEAST_NEIGHBOURS) & (F.least(col(a, "div"), col(b, "div")) >= F.greatest(col(a, "div"), col(b, "div")) * OWN_WORD)
+    words = col(a, "one") & col(b, "one")
+    counted = F.when(words, F.lit(-1).cast("bigint")).otherwise(F.lit(0xFFFFFFFF))
+    most = n * (1 - SIMILAR) + 0.01
+    gone = lambda p, q: F.bit_count(col(p, "mask").bitwiseAND(F.bitwise_not(col(q, "mask"))).bitwiseAND(counted)) <= most
+    return near & ~own & gone(a, b) & gone(b, a)
+
+
 _EDGE = "field string, a bigint, b bigint, sim double"
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``field, a, b, sim`` of the candidate ids that spell one name."""
-    side = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"n{c}"), F.col("div").alias(f"d{c}"), F.col("field").alias(f"f{c}"))
-    n = F.greatest(F.length("na"), F.length("nb"))
-    # lengths too different to be similar, and two words that both stand beside many others, need no comparison
-    near = (F.abs(F.length("na") - F.length("nb")) <= n * (1 - SIMILAR) + 1) & (F.col("fa") == F.col("fb"))
-    own = (F.least("da", "db") >= LEAST_NEIGHBOURS) & (F.least("da", "db") >= F.greatest("da", "db") * OWN_WORD)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near & ~own)
-    return _spread(both.select(F.col("fa").alias("field"), "a", "b", "na", "nb")).mapInPandas(_verified, _EDGE)
+    cols = ("name", "field", "len", "mask", "one", "div")
+    side = lambda p: nodes.select(F.col("id").alias(p), *[F.col(c).alias(p + c) for c in cols])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("afield") == F.col("bfield")) & _may_be_similar("a", "b"))
+    return _spread(both.select(F.col("afield").alias("field"), "a", "b", F.col("aname").alias("na"), F.col("bname").alias("nb"))).mapInPandas(_verified, _EDGE)
 
 
 def cluster(nodes: DataFrame) -> DataFrame:
-    """``field, name, center``: ``nodes(id, field, name, weight, div)`` by star clustering of the pairs that collide and are similar.
+    """``field, name, center``: ``nodes`` of ``_numbered`` by star clustering of the pairs that collide and are similar.
 
     First each node is compared with the most used node of each of its buckets; what finds its centre there is done.  The others
     are then compared in all pairs of their buckets, so no pair that collides is lost, while the many spellings of a frequent
-    name never meet each other.
+    name never meet each other.  Names that share a part collide by chance the more the larger the corpus is, so of a bucket's
+    pairs only those go on whose letters may be similar.
     """
     bands, rows = bands_for()
     banded = _spread(nodes.select("id", "field", "name")).mapInPandas(_banded(bands, rows), "id bigint, bucket bigint")
     w = Window.partitionBy("bucket")
-    placed = banded.join(nodes.select("id", "field", F.struct("weight", "name", "id").alias("prio")), "id").withColumn("bucket", F.xxhash64("field", "bucket"))
-    shared = durable(placed.withColumn("members", F.count(F.lit(1)).over(w)).withColumn("top", F.max("prio").over(w)["id"]).where("members > 1").select("id", "bucket", "top"))
+    shared = durable(banded.withColumn("members", F.count(F.lit(1)).over(w)).withColumn("top", F.max("id").over(w)).where("members > 1").select("id", "bucket", "top"))
     first = durable(_compared(shared.where("id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")).distinct(), nodes))
-    near = stars(nodes, first)
+    near = durable(stars(nodes, first))
     alone = near.where("id = center").select("id")
-    left = shared.join(alone, "id").select("id", "bucket")
-    pairs = left.withColumnRenamed("id", "a").join(left.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b").distinct()
-    far = stars(nodes.join(alone, "id"), durable(_compared(pairs, nodes)))
+    cols = ("id", "len", "mask", "one", "div")
+    left = shared.select("id", "bucket").join(nodes.join(alone, "id", "left_semi").select(*cols), "id")
+    side = lambda p: left.select("bucket", *[F.col(c).alias(p + c) for c in cols])
+    pairs = side("a").join(side("b"), "bucket").where((F.col("aid") < F.col("bid")) & _may_be_similar("a", "b")).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    found = durable(_compared(pairs, nodes))
+    release(shared)
+    far = stars(nodes.join(alone, "id", "left_semi"), found)
     label = nodes.select(F.col("id").alias("last"), F.col("name").alias("center"))
     return (
         near.withColumnRenamed("center", "mid").join(far.select(F.col("id").alias("mid"), F.col("center").alias("last")), "mid")
@@ -370,18 +494,15 @@ def cluster(nodes: DataFrame) -> DataFrame:
 
 
 def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, center``: star clustering.  A node heavier than all its free neighbours becomes a centre and takes them; this
-    repeats among the nodes still free until no edge is left (the heaviest free node always is a centre, so it ends)."""
-    nodes = nodes.select("id", F.struct("weight", "name", "id").alias("prio"))
-    both = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    free = durable(
-        both.join(nodes.select(F.col("id").alias("a"), F.col("prio").alias("pa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("prio").alias("pb")), "b")
-    )
+    """``id, center``: star clustering.  A node heavier than all its free neighbours, which is one of a larger id, becomes a centre
+    and takes them; this repeats among the nodes still free until no edge is left (the heaviest free node always is a centre,
+    so it ends)."""
+    free = durable(edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")))
     parts: list[DataFrame] = []
     while not free.isEmpty():
-        tops = free.groupBy("a").agg(F.max("pb").alias("top"), F.first("pa").alias("pa")).where("pa > top").select(F.col("a").alias("center"))
+        tops = free.groupBy("a").agg(F.max("b").alias("top")).where("a > top").select(F.col("a").alias("center"))
         joined = (
-            free.join(tops.withColumnRenamed("center", "a"), "a").groupBy("b").agg(F.max(F.struct("sim", "pa", "a")).alias("m"))
+            free.join(tops.withColumnRenamed("center", "a"), "a").groupBy("b").agg(F.max(F.struct("sim", "a")).alias("m"))
             .select(F.col("b").alias("id"), F.col("m.a").alias("center"))
         )
         new = durable(joined.unionByName(tops.select(F.col("center").alias("id"), "center")))
@@ -554,7 +675,10 @@ def _roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
-    return durable(nodes.withColumn("id", F.monotonically_increasing_id()))
+    """``nodes(field, name, weight, div)`` with ids in the order of their weights, and what is to be known of a name before it is compared."""
+    x = nodes.select("field", "name", "weight", F.col("div").cast("bigint").alias("div")).orderBy("weight", "name", "field")
+    x = x.mapInPandas(_lettered, "field string, name string, weight bigint, div bigint, mask bigint")
+    return durable(x.select("*", F.length("name").alias("len"), (F.instr("name", " ") == 0).alias("one"), F.monotonically_increasing_id().alias("id")))
 
 
 def spellings(accounts: DataFrame, nicknames: str = NICKNAMES) -> DataFrame:

@@ -216,3 +216,30 @@ def test_repair_uses_the_words_of_the_corpus(spark):
     assert set(got) == {20, 24} and got[24]["restored"].endswith("été")
     assert "číslo řádků chybí" in got[20]["restored"]
     assert encoding.repair(df.limit(0)).count() == 0
+
+
+def test_pairs_are_compared_many_at_a_time(spark):
+    """Same pairs and similarities as one at a time, and no similar pair is left out by its letters before."""
+    import pandas as pd
+
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice(["sha", "dru", "lo", "ke", "bi", "tre", "ö", "ж"]) for _ in range(rnd.choice([1, 2, 3, 4, 4, 25])))
+    some = [" ".join(word() for _ in range(rnd.choice([1, 1, 2]))) for _ in range(1500)]
+    other = [misspelt(misspelt(a, rnd), rnd).strip() if rnd.random() < 0.7 and len(a) > 5 else rnd.choice(some) for a in some]
+    other = [" ".join(b.split()) for b in other]
+    want = {i: s for i, (a, b) in enumerate(zip(some, other)) if (s := names.same_name(a, b)) >= names.SIMILAR}
+    got = next(names._verified(iter([pd.DataFrame({"field": "acct_nm", "a": range(1500), "b": 0, "na": some, "nb": other})])))
+    assert dict(zip(got["a"], got["sim"])) == want and 300 < len(want) < 1400
+    assert len(next(names._verified(iter([got.assign(na="", nb="")[:0]])))) == 0
+    rows = [(i, a, names.letters(a), b, names.letters(b)) for i, (a, b) in enumerate(zip(some, other))]
+    df = spark.createDataFrame(rows, "i int, a string, amask bigint, b string, bmask bigint")
+    for p in "ab":
+        df = df.withColumns({f"{p}len": F.length(p), f"{p}one": F.instr(p, " ") == 0, f"{p}div": F.lit(0)})
+    kept = {r["i"] for r in df.where(names._may_be_similar("a", "b")).select("i").collect()}
+    assert set(want) <= kept and len(kept) < 1400  # before, all pairs of about one length were compared
+
+
+def test_numbers_of_names_follow_their_use(spark):
+    rows = [("acct_nm", "b", 2, 0), ("acct_nm", "a", 2, 0), ("prim_cntct", "z y", 1, 9), ("acct_nm", "c", 30, 0)]
+    got = names._numbered(spark.createDataFrame(rows, "field string, name string, weight bigint, div int")).orderBy("id").collect()
+    assert [(r["name"], r["one"]) for r in got] == [("z y", False), ("a", True), ("b", True), ("c", True)]
