@@ -8,12 +8,13 @@ is one row, so nothing larger than a request is ever gathered.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semframe.functions.text import clean, estimate, tagged_id
+from semframe.functions.text import clean, estimate, estimate_json_plain, tagged_id
 from semframe.operators.sequence import numbered, over_neighbours
 from semframe.plans.judge import BatchJudge, Limits
 from semframe.plans.planner import packed_requests
@@ -88,6 +89,51 @@ def choose_in_windows(rows: DataFrame, judge: BatchJudge, wording: str, exists:
     return answers.select(*rows.columns, "p", "exists")
 
 
+def asking_choices(judge: BatchJudge, wording: str, exists: str, context: dict[str, str] | None = None) -> Callable:
+    """``choose_in_windows`` within a worker: what a worker makes itself a function of, from windows, each the cleaned texts of its
+    records, none of them blank, and whether to ask if there is an answer, to ``(p of each, exists)`` of each window or its halves."""
+    dumped = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    best, there = ({"key": k, "type": t, "instructions": dumped({"question": w}), "criteria": None} for k, t, w in (("best", "choice", wording), ("exists", "noul", exists)))
+    answering, there_est, line_ends = judge.answering(), estimate_json_plain(there["instructions"]), re.compile("[\\r\\n]+")
+
+    def make():
+        answered = answering()
+        #: by the number of lines, as all else of these questions is alike
+        choices: dict[int, tuple[list[str], dict, int]] = {}
+
+        def choice(n: int) -> tuple[list[str], dict, int]:
+            if n not in choices:
+                tags = [f"L{i:04d}" for i in range(1, n + 1)]
+                asked = best | {"criteria": dumped(dict.fromkeys(tags, ""))}
+                choices[n] = tags, asked, estimate_json_plain(asked["instructions"] + asked["criteria"])
+            return choices[n]
+
+        def request(texts: list[str], first: bool) -> tuple:
+            tags, asked, est = choice(len(texts))
+            document = "\n".join([f"{tag}| {line_ends.sub(' ', t)}" for tag, t in zip(tags, texts)])
+            state = dumped({**(context or {}), "document": document})
+            return state, [asked, there] if first else [asked], estimate_json_plain(state), [est, there_est] if first else [est]
+
+        def ask(windows: list[list[str]], first: bool) -> list[list[tuple[list[float | None], float | None]]]:
+            out: list[list] = [[] for _ in windows]
+            halves, of = [], []
+            for i, (texts, got) in enumerate(zip(windows, answered([request(texts, first) for texts in windows]))):
+                if len(texts) > 1 and (got[0]["error"] or "").startswith("too large"):
+                    half = -(-len(texts) // 2)
+                    halves += [texts[:half], texts[half:]]
+                    of += [i, i]
+                    continue
+                share = None if got[0]["probabilities"] is None else dict(got[0]["probabilities"])
+                out[i].append(([None if share is None else float(share.get(tag) or 0.0) for tag in choice(len(texts))[0]], got[1]["noul"] if first else None))
+            for i, parts in zip(of, ask(halves, first) if halves else []):
+                out[i] += parts
+            return out
+
+        return ask
+
+    return make
+
+
 def ask_at_breaks(rows: DataFrame, judge: BatchJudge, condition: Column, wording: Callable[[Column], Column], *, group: Sequence[str], text: str, size: int, tokens: int,
                   prefix: str, around: int = 0, yes: str | None = None, no: str | None = None, context: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with ``_answer`` (``noul, error``) on the break before each record that fulfils ``condition``, null elsewhere.

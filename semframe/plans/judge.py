@@ -244,38 +244,53 @@ class BatchJudge(Judge):
 
         return run
 
+    def answering(self) -> Callable[[], Callable[[list[tuple]], list[list[dict]]]]:
+        """What a worker makes itself a function of: from windows ``(state, questions, state_est, ests)`` to the answers of each
+        (``WINDOW_ANSWERS``), by one request for each or as many as its questions need; a handler may have several open at once."""
+        handler, limits = self.handler, self.limits
+
+        def make():
+            ask_all = _asking(handler)
+
+            def answered(windows: list[tuple]) -> list[list[dict]]:
+                calls, asked, out = [], [], []
+                for state, questions, state_est, ests in windows:
+                    qs = [{"type": q["type"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"]) if q["criteria"] else None} for q in questions]
+                    mine = [None] * len(qs)
+                    out.append(mine)
+                    for idx in pack([state] * len(qs), [state_est] * len(qs), ests, limits):
+                        # a question that does not fit beside its document stands alone and is not sent
+                        lost = len(idx) == 1 and limits.frame + state_est + ests[idx[0]] + limits.per_question > limits.lone_room
+                        calls.append((lambda: [{"error": "too large for a request"}]) if lost else (lambda state=state, some=[qs[i] for i in idx]: ask_all(state, some)))
+                        asked.append((mine, questions, idx))
+                for (mine, questions, idx), answers in zip(asked, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
+                    for i, a in zip(idx, answers):
+                        probs = a.get("probabilities")
+                        mine[i] = {"key": questions[i]["key"], **{n: a.get(n) for n in ("noul", "choice", "confidence", "error")}, "probabilities": None if probs is None else list(probs.items())}
+                return out
+
+            return answered
+
+        return make
+
     def attach_windows(self, windows: DataFrame) -> DataFrame:
         """``windows`` with ``answers`` (``WINDOW_ANSWERS``) to their ``questions(key, type, instructions, criteria)`` about their
         ``state``: a request for each window, or as many as its questions need.
 
         The answers are put beside the row that was asked and written once.  They are not joined back: a table of many like
         answers takes few bytes on disk, so a join would send it whole through the driver."""
-        handler, limits = self.handler, self.limits
-        kind = _parse_datatype_string(WINDOW_ANSWERS)
+        kind, answering = _parse_datatype_string(WINDOW_ANSWERS), self.answering()
         kept = [f for f in windows.schema.fields if f.name not in ("state", "questions")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ask_all, arrow = _asking(handler), to_arrow_type(kind)
+            answered, arrow = answering(), to_arrow_type(kind)
             for batch in batches:
                 beside = batch.select([f.name for f in kept])
                 for lo in range(0, batch.num_rows, WINDOWS_AT_ONCE):
                     part = batch.slice(lo, WINDOWS_AT_ONCE)
-                    got = [answered(ask_all, *x) for x in zip(*[part.column(c).to_pylist() for c in ("state", "questions", "_state_est", "_ests")])]
+                    got = answered(list(zip(*[part.column(c).to_pylist() for c in ("state", "questions", "_state_est", "_ests")])))
                     yield beside.slice(lo, WINDOWS_AT_ONCE).append_column("answers", pa.array(got, arrow))
 
-        def answered(ask_all, state: str, questions: list[dict], state_est: int, ests: list[int]) -> list[dict]:
-            qs = [{"type": q["type"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"]) if q["criteria"] else None} for q in questions]
-            packed = pack([state] * len(qs), [state_est] * len(qs), ests, limits)
-            # a question that does not fit beside its document stands alone and is not sent
-            lost = [len(idx) == 1 and limits.frame + state_est + ests[idx[0]] + limits.per_question > limits.lone_room for idx in packed]
-            calls = [(lambda: [{"error": "too large for a request"}]) if bad else (lambda idx=idx: ask_all(state, [qs[i] for i in idx])) for idx, bad in zip(packed, lost)]
-            out = [None] * len(qs)
-            for idx, answers in zip(packed, handler.many(calls) if hasattr(handler, "many") else (c() for c in calls)):
-                for i, a in zip(idx, answers):
-                    probs = a.get("probabilities")
-                    out[i] = {"key": questions[i]["key"], **{n: a.get(n) for n in ("noul", "choice", "confidence", "error")}, "probabilities": None if probs is None else list(probs.items())}
-            return out
-
         sized = windows.select("*", estimate_json(F.col("state")).alias("_state_est"),
                                F.transform("questions", lambda q: estimate_json(F.concat(q["instructions"], F.coalesce(q["criteria"], F.lit(""))))).alias("_ests"))
         if self.partitions:
